@@ -32,6 +32,7 @@ EXCLUDED = ("NATION_1", "NATION_2")
 SUBSET_STATE = "NATION_3"
 SIZE_RANGE = (10, 20)
 PRICE_RANGE = (920.0, 960.0)
+LOOKUP_USER = "17"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -76,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_artists_national": lambda s, d: artists.top_artists(_L(s, d), None, 10),
         "top_artists_state": lambda s, d: artists.top_artists(_L(s, d), STATE, 10),
         "top_artists_pick": lambda s, d: artists.top_artist_at(_L(s, d), 3, None, 10),
+        "top_artists_display": lambda s, d: artists.top_artists_display(_L(s, d), STATE, 10),
         "top50_artists": lambda s, d: artists.top_artists(_L(s, d), "Nationwide", 50),
         "artist_list": lambda s, d: artists.artist_list(_L(s, d), None, 50),
         "artist_list_state": lambda s, d: artists.artist_list(_L(s, d), STATE, 50),
@@ -130,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drop_null_users": lambda s, d: cl.drop_null_users(tv.audit_events(s, d)),
         "null_level_rows": lambda s, d: cl.null_level_rows(tv.audit_events(s, d)),
         "auth_projection": lambda s, d: cl.auth_view(tv.audit_events(s, d)),
+        "user_rows": lambda s, d: users.user_rows(tv.audit_events(s, d), LOOKUP_USER),
         # P2, P5, P6, P7, P8
         "listen_projection": lambda s, d: cl.listen_view(tv.raw_listen_events(s, d)),
         "clean_events": lambda s, d: cl.clean(tv.raw_listen_events(s, d)),
@@ -296,6 +299,8 @@ def oracle_sql() -> dict[str, str]:
                                  f"(SELECT artist, listens, row_number() OVER "
                                  f"(ORDER BY listens DESC, artist) AS rank FROM {top10}) "
                                  f"WHERE rank = 3",
+        "top_artists_display": wl + f'SELECT artist AS "Artist", listens AS "Total Streams" '
+                                    f"FROM ({_top_artists_sql(state)})",
         "top50_artists": wl + _top_artists_sql(n=50),
         "artist_list": wl + f"SELECT string_agg(artist, ', ' ORDER BY listens DESC, artist) "
                             f"AS artists FROM ({_top_artists_sql(n=50)})",
@@ -375,6 +380,7 @@ def oracle_sql() -> dict[str, str]:
                             f"{SIZE_RANGE[1]} AND p_retailprice BETWEEN {PRICE_RANGE[0]} "
                             f"AND {PRICE_RANGE[1]}",
         "null_user_rows": _with(_AUDIT_SQL) + "SELECT * FROM A WHERE userId IS NULL",
+        "user_rows": _with(_AUDIT_SQL) + f"SELECT * FROM A WHERE userId = '{LOOKUP_USER}'",
         "drop_null_users": _with(_AUDIT_SQL) + "SELECT * FROM A WHERE userId IS NOT NULL",
         "null_level_rows": _with(_AUDIT_SQL)
             + "SELECT * FROM A WHERE level IS NULL AND userId IS NOT NULL",

@@ -1,5 +1,6 @@
 from .artists import (artist_by_state, artist_list, artist_state_listens, artist_totals,
-                      artists_over, artists_over_count, top_artist_at, top_artists, top_n)
+                      artists_over, artists_over_count, top_artist_at, top_artists,
+                      top_artists_display, top_n)
 from .cleaning import (auth_view, clean, complete_rows, drop_null_users, listen_view,
                     null_level_rows, null_user_rows, with_calendar)
 from .distinct import distinct_count, distinct_values, row_count, states_list
@@ -10,16 +11,16 @@ from .scope import NATIONWIDE, in_scope
 from .songs import state_songs, top_free_songs, top_paid_songs, top_songs
 from .subs import breakdown_labels, subscription_breakdown
 from .users import (ever_paid_users, kpi_labels, kpis, monthly_listening,
-                    relabel_ever_paid)
+                    relabel_ever_paid, user_rows)
 
 __all__ = [
     "artist_by_state", "artist_list", "artist_state_listens", "artist_totals", "artists_over",
-    "artists_over_count", "top_artist_at", "top_artists", "top_n", "auth_view", "clean",
+    "artists_over_count", "top_artist_at", "top_artists", "top_artists_display", "top_n", "auth_view", "clean",
     "complete_rows", "drop_null_users", "listen_view", "null_level_rows", "null_user_rows",
     "with_calendar", "distinct_count", "distinct_values", "row_count", "states_list",
     "attach_boundaries", "exclude_states", "in_alaska_box", "in_hawaii_box", "in_rectangle",
     "listens_bounds", "map_join_inline", "map_prep", "map_scale", "only_state", "NATIONWIDE",
     "in_scope", "state_songs", "top_free_songs", "top_paid_songs", "top_songs",
     "breakdown_labels", "subscription_breakdown", "ever_paid_users", "kpi_labels", "kpis",
-    "monthly_listening", "relabel_ever_paid",
+    "monthly_listening", "relabel_ever_paid", "user_rows",
 ]

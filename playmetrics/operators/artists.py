@@ -66,6 +66,12 @@ def top_artists(df: DataFrame, state: str | None = None, n: int = 10) -> DataFra
     return top_n(artist_totals(df, state), n, LISTENS, "artist")
 
 
+def top_artists_display(df: DataFrame, state: str | None = None, n: int = 10) -> DataFrame:
+    """`top_artists` under the dashboard's column names ``Artist``, ``Total Streams``."""
+    return top_artists(df, state, n).select(F.col("artist").alias("Artist"),
+                                            F.col(LISTENS).alias("Total Streams"))
+
+
 def top_artist_at(df: DataFrame, position: int, state: str | None = None,
                   n: int = 10) -> DataFrame:
     """Row ``position`` (1-based) of the top-``n`` table (O8): a click on a row.

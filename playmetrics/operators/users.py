@@ -22,7 +22,6 @@ from .distinct import distinct_count_with_null
 from .scope import in_scope, is_national
 
 PAID = "paid"
-MONTH_KEYS = ["year", "month", "month_name"]
 
 
 def kpis(df: DataFrame, state: str | None = None) -> DataFrame:
@@ -71,7 +70,13 @@ def relabel_ever_paid(df: DataFrame) -> DataFrame:
 
 
 def _folded_with_ever_paid(df: DataFrame, keep_state: bool) -> DataFrame:
-    keys = ["userId"] + (["state"] if keep_state else []) + MONTH_KEYS + ["subscription"]
+    """One row per (user[, state], year, month, level) with summed duration and
+    the level relabelled to 'paid' for users who ever paid.
+
+    ``month_name`` is a function of (year, month), so it stays out of the fold
+    keys (smaller shuffle rows) and is derived again by the caller.
+    """
+    keys = ["userId"] + (["state"] if keep_state else []) + ["year", "month", "subscription"]
     folded = df.groupBy(*keys).agg(F.sum("duration").alias("__dur"))
     paid_ever = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0)) \
         .over(Window.partitionBy("userId"))
@@ -81,6 +86,11 @@ def _folded_with_ever_paid(df: DataFrame, keep_state: bool) -> DataFrame:
         .otherwise(F.col("subscription")))
 
 
+def month_name_of(year: str = "year", month: str = "month") -> "F.Column":
+    """Full English month name from INT year and month columns."""
+    return F.date_format(F.make_date(F.col(year), F.col(month), F.lit(1)), "MMMM")
+
+
 def monthly_listening(df: DataFrame, state: str | None = None) -> DataFrame:
     """Minutes listened per month and level, users who ever paid counted as
     paid in every month (A11).
@@ -91,6 +101,13 @@ def monthly_listening(df: DataFrame, state: str | None = None) -> DataFrame:
     """
     relabeled = _folded_with_ever_paid(df, keep_state=not is_national(state))
     return (in_scope(relabeled, state)
-            .groupBy(*MONTH_KEYS, "subscription")
+            .groupBy("year", "month", "subscription")
             .agg((F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
+            .select("year", "month", month_name_of().alias("month_name"), "subscription",
+                    "total_duration")
             .orderBy("year", "month", "subscription"))
+
+
+def user_rows(df: DataFrame, user_id, col: str = "userId") -> DataFrame:
+    """All rows of one user (F4 point lookup); a pushed-down equality filter."""
+    return df.where(F.col(col) == F.lit(user_id))

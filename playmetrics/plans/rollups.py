@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.distinct import distinct_count_with_null
 from ..operators.scope import NATIONWIDE
-from ..operators.users import MONTH_KEYS, PAID, _folded_with_ever_paid
+from ..operators.users import PAID, _folded_with_ever_paid, month_name_of
 
 LISTENS = "listens"
 _G = "__g_state"
@@ -79,6 +79,7 @@ def monthly_listening_all_scopes(df: DataFrame) -> DataFrame:
     """``scope`` plus `monthly_listening` columns for every scope; the
     ever-paid relabel is computed once, nationally."""
     folded = _folded_with_ever_paid(df, keep_state=True)
-    keys = [*MONTH_KEYS, "subscription"]
-    g = _by_scope(folded, keys, (F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
-    return g.select(_scope().alias("scope"), *keys, "total_duration")
+    g = _by_scope(folded, ["year", "month", "subscription"],
+                  (F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
+    return g.select(_scope().alias("scope"), "year", "month",
+                    month_name_of().alias("month_name"), "subscription", "total_duration")
