@@ -135,7 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_rows": lambda s, d: users.user_rows(tv.audit_events(s, d), LOOKUP_USER),
         # P2, P5, P6, P7, P8
         "listen_projection": lambda s, d: cl.listen_view(tv.raw_listen_events(s, d)),
-        "clean_events": lambda s, d: cl.clean(tv.raw_listen_events(s, d)),
+        "clean_events": lambda s, d: cl.clean(tv.raw_listen_events(s, d), time_zone="UTC"),
         "repair_text": lambda s, d: _docs_damaged(s, d, 2).select(
             "doc_id", repair_text("text").alias("text")),
         "repair_text_once": lambda s, d: _docs_damaged(s, d, 1).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import repair_text
-from ..functions.time import calendar_columns, epoch_millis_to_ts
+from ..functions.time import calendar_columns, epoch_millis_to_local, epoch_millis_to_ts
 from ..sources.schemas import AUTH_COLUMNS, LISTEN_COLUMNS
 
 
@@ -26,12 +26,16 @@ def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumns(calendar_columns(ts))
 
 
-def clean(df: DataFrame, repair_mode: str = "intended") -> DataFrame:
+def clean(df: DataFrame, repair_mode: str = "intended",
+          time_zone: str | None = None) -> DataFrame:
     """Raw listen events to the cleaned listen table.
 
     Repairs ``artist`` and ``song`` text, keeps the 19 listen columns with
-    ``level`` as ``subscription``, turns epoch-ms ``ts`` into a TIMESTAMP and
-    adds the calendar columns. One projection, all native expressions, so
+    ``level`` as ``subscription``, turns epoch-ms ``ts`` into a timestamp and
+    adds the calendar columns. With ``time_zone=None`` ``ts`` is a TIMESTAMP
+    and the calendar follows the session time zone (pin it); with a zone name
+    ``ts`` is that zone's wall-clock TIMESTAMP_NTZ and the calendar no longer
+    depends on the session. One projection, all native expressions, so
     filters on untouched columns still reach the scan and unused columns are
     pruned. Persist or `materialize` the result when several queries share it.
     """
@@ -42,7 +46,9 @@ def clean(df: DataFrame, repair_mode: str = "intended") -> DataFrame:
         elif c == "level":
             cols.append(F.col(c).alias("subscription"))
         elif c == "ts":
-            cols.append(epoch_millis_to_ts(F.col(c)).alias(c))
+            ts = (epoch_millis_to_ts(F.col(c)) if time_zone is None
+                  else epoch_millis_to_local(F.col(c), time_zone))
+            cols.append(ts.alias(c))
         else:
             cols.append(F.col(c))
     return with_calendar(df.select(*cols))

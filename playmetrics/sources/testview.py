@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import calendar_columns
+from ..functions.time import calendar_columns, ntz_to_epoch_millis
 
 
 # Fixed schemas of the driver tables (as stored in their parquet files).
@@ -115,7 +115,7 @@ def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         null("double").alias("lon"),
         null("long").alias("registration"),
         null("string").alias("userAgent"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"),
+        ntz_to_epoch_millis("o_orderdate").alias("ts"),
     )
 
 
@@ -181,6 +181,6 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") >= F.lit(50.0), F.lit("true")).otherwise(F.lit("false"))
         .alias("success"),
         null("string").alias("userAgent"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        ntz_to_epoch_millis("ts").alias("ts"),
         "event_id", "event_type",
     )

@@ -113,3 +113,24 @@ def test_boundaries(spark, tmp_path):
         .write.parquet(p)
     b = read_boundaries(spark, p)
     assert b.columns == ["NAME", "STUSPS", "geometry"] and b.count() == 1
+
+
+def test_clean_with_fixed_zone_ignores_session_zone(spark, listen_dir):
+    raw = read_listen_events(spark, listen_dir)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = {r.song: (r.ts.isoformat(), r.month) for r in
+               clean(raw, time_zone="UTC").select("song", "ts", "month").collect()}
+        assert got["Halo"] in {("2024-01-31T23:59:59.999000", 1), ("2024-02-01T00:00:00", 2)}
+        assert got["Yellow"] == ("2024-02-01T00:00:00", 2)
+        # New York wall clock: both listens fall on January 31
+        ny = {r.song: r.month for r in
+              clean(raw, time_zone="America/New_York").select("song", "month").collect()}
+        assert ny["Yellow"] == 1
+        # session-zone form: Tokyo is 9h ahead, so the last-January listen is February
+        jp = {r.ts_ms: r.month for r in clean(raw).select(
+            F.unix_millis("ts").alias("ts_ms"), "month").collect()}
+        assert jp[JAN_LAST_MS] == 2 and jp[FEB_FIRST_MS] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
