@@ -88,3 +88,32 @@ def test_no_python_udf_in_plan(spark):
     df = spark.createDataFrame([("a",)], "t string").select(repair_text("t", "compat"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def compat_rule(t):
+    """The legacy rule restated: text with a character above U+00FF, with no
+    non-ASCII character, or with '?' is kept; otherwise decode the Latin-1
+    bytes as UTF-8 (bad bytes -> U+FFFD); if that holds a character above
+    U+00FF keep the input, else decode once more."""
+    if t is None:
+        return None
+    if any(ord(ch) > 0xFF for ch in t) or all(ord(ch) < 0x80 for ch in t) or "?" in t:
+        return t
+    once = t.encode("latin-1").decode("utf-8", errors="replace")
+    if any(ord(ch) > 0xFF for ch in once):
+        return t
+    return once.encode("latin-1").decode("utf-8", errors="replace")
+
+
+MIXED = st.sampled_from(list("ab ?é€中") + [chr(c) for c in (0x80, 0x9F, 0xA9, 0xC3, 0xE2, 0xFF)])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet=MIXED, max_size=12), st.integers(0, 2)),
+                min_size=1, max_size=25))
+def test_compat_property(spark, items):
+    texts = [damage(t, k) for t, k in items]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", repair_text("t", "compat").alias("r")).collect())
+    for i, t in enumerate(texts):
+        assert got[i] == compat_rule(t), (t, got[i], compat_rule(t))
