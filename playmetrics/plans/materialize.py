@@ -48,3 +48,17 @@ def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df.checkpoint()`` into the shared folder (never a local checkpoint)."""
     _require_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize_dashboard(clean_df: DataFrame, name: str = "dashboard",
+                          n_artists: int = 10, n_songs: int = 5) -> dict[str, DataFrame]:
+    """Write the cleaned table (partitioned by year and month) and every
+    all-scope table under the checkpoint folder; return the written copies.
+    A tile click then reads a small table instead of scanning the events."""
+    from .rollups import dashboard_tables
+
+    base = materialize(clean_df, f"{name}-listens", partition_by=["year", "month"])
+    out = {"listens": base}
+    for key, table in dashboard_tables(base, n_artists, n_songs).items():
+        out[key] = materialize(table, f"{name}-{key}")
+    return out

@@ -83,3 +83,17 @@ def monthly_listening_all_scopes(df: DataFrame) -> DataFrame:
                   (F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
     return g.select(_scope().alias("scope"), "year", "month",
                     month_name_of().alias("month_name"), "subscription", "total_duration")
+
+
+def dashboard_tables(df: DataFrame, n_artists: int = 10, n_songs: int = 5) -> dict[str, DataFrame]:
+    """Every all-scope table the dashboard reads, as lazy DataFrames over ``df``
+    (the cleaned listen table; materialize it first so each table reads the
+    written copy instead of recomputing it)."""
+    return {
+        "top_artists": top_artists_all_scopes(df, n_artists),
+        "top_free_songs": top_songs_all_scopes(df, "free", n_songs),
+        "top_paid_songs": top_songs_all_scopes(df, "paid", n_songs),
+        "subscription_breakdown": subscription_breakdown_all_scopes(df),
+        "kpis": kpis_all_scopes(df),
+        "monthly_listening": monthly_listening_all_scopes(df),
+    }

@@ -77,3 +77,14 @@ def test_materialize_roundtrip(spark, L):
     assert "PartitionFilters: [isnotnull(year" in p and "= 1996" in p
     c = reliable_checkpoint(L.select("userId", "artist"))
     assert c.count() == L.count()
+
+
+def test_materialize_dashboard(spark, L):
+    from playmetrics.plans import materialize_dashboard
+    out = materialize_dashboard(L, "t")
+    assert set(out) == {"listens", "top_artists", "top_free_songs", "top_paid_songs",
+                        "subscription_breakdown", "kpis", "monthly_listening"}
+    nat = [tuple(r) for r in out["top_artists"].where("scope = 'Nationwide'")
+           .orderBy("rank").select("artist", "listens").collect()]
+    assert nat == [tuple(r) for r in top_artists(L, None, 10).collect()]
+    assert out["kpis"].count() == L.select("state").distinct().count() + 1
