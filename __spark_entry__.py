@@ -131,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "null_user_rows": lambda s, d: cl.null_user_rows(tv.audit_events(s, d)),
         "drop_null_users": lambda s, d: cl.drop_null_users(tv.audit_events(s, d)),
         "null_level_rows": lambda s, d: cl.null_level_rows(tv.audit_events(s, d)),
+        "null_audit": lambda s, d: cl.null_audit(tv.audit_events(s, d)),
         "auth_projection": lambda s, d: cl.auth_view(tv.audit_events(s, d)),
         "user_rows": lambda s, d: users.user_rows(tv.audit_events(s, d), LOOKUP_USER),
         # P2, P5, P6, P7, P8
@@ -380,6 +381,11 @@ def oracle_sql() -> dict[str, str]:
                             f"{SIZE_RANGE[1]} AND p_retailprice BETWEEN {PRICE_RANGE[0]} "
                             f"AND {PRICE_RANGE[1]}",
         "null_user_rows": _with(_AUDIT_SQL) + "SELECT * FROM A WHERE userId IS NULL",
+        "null_audit": _with(_AUDIT_SQL)
+            + "SELECT count(*) FILTER (WHERE userId IS NULL) AS null_user_rows, "
+              "count(*) FILTER (WHERE userId IS NOT NULL) AS user_rows, "
+              "count(*) FILTER (WHERE userId IS NOT NULL AND level IS NULL) AS null_level_rows "
+              "FROM A",
         "user_rows": _with(_AUDIT_SQL) + f"SELECT * FROM A WHERE userId = '{LOOKUP_USER}'",
         "drop_null_users": _with(_AUDIT_SQL) + "SELECT * FROM A WHERE userId IS NOT NULL",
         "null_level_rows": _with(_AUDIT_SQL)

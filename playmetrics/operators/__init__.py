@@ -2,7 +2,7 @@ from .artists import (artist_by_state, artist_list, artist_state_listens, artist
                       artists_over, artists_over_count, top_artist_at, top_artists,
                       top_artists_display, top_n)
 from .cleaning import (auth_view, clean, complete_rows, drop_null_users, listen_view,
-                    null_level_rows, null_user_rows, with_calendar)
+                       null_audit, null_level_rows, null_user_rows, with_calendar)
 from .distinct import distinct_count, distinct_values, row_count, states_list
 from .geo import (attach_boundaries, exclude_states, in_alaska_box, in_hawaii_box,
                   in_rectangle, listens_bounds, map_join_inline, map_prep, map_scale,
@@ -16,7 +16,8 @@ from .users import (ever_paid_users, kpi_labels, kpis, monthly_listening,
 __all__ = [
     "artist_by_state", "artist_list", "artist_state_listens", "artist_totals", "artists_over",
     "artists_over_count", "top_artist_at", "top_artists", "top_artists_display", "top_n", "auth_view", "clean",
-    "complete_rows", "drop_null_users", "listen_view", "null_level_rows", "null_user_rows",
+    "complete_rows", "drop_null_users", "listen_view", "null_audit", "null_level_rows",
+    "null_user_rows",
     "with_calendar", "distinct_count", "distinct_values", "row_count", "states_list",
     "attach_boundaries", "exclude_states", "in_alaska_box", "in_hawaii_box", "in_rectangle",
     "listens_bounds", "map_join_inline", "map_prep", "map_scale", "only_state", "NATIONWIDE",

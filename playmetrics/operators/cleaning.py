@@ -69,6 +69,17 @@ def null_level_rows(df: DataFrame, level: str = "level", user: str = "userId") -
     return df.where(F.col(level).isNull() & F.col(user).isNotNull())
 
 
+def null_audit(df: DataFrame, user: str = "userId", level: str = "level") -> DataFrame:
+    """F1-F3 as counts, in one aggregate: rows without a user, rows with one,
+    and rows with a user but no level."""
+    u, lv = F.col(user), F.col(level)
+    return df.agg(
+        F.count(F.when(u.isNull(), 1)).alias("null_user_rows"),
+        F.count(F.when(u.isNotNull(), 1)).alias("user_rows"),
+        F.count(F.when(u.isNotNull() & lv.isNull(), 1)).alias("null_level_rows"),
+    )
+
+
 def complete_rows(df: DataFrame) -> DataFrame:
     """Rows with no NULL in any column."""
     return df.na.drop(how="any")
