@@ -217,10 +217,10 @@ _DIM_SQL = """D AS (
 _BOUNDS_SQL = """B AS (
   SELECT r_name || '/' || n_name AS NAME, n_name AS STUSPS,
          printf('POINT (%d %d)', n_nationkey, n_regionkey) AS geometry
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 0
+  FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL
   SELECT r_name AS NAME, r_name AS STUSPS, printf('POINT (%d 0)', r_regionkey) AS geometry
-  FROM region WHERE r_regionkey <> 0)"""
+  FROM region)"""
 
 
 def _counts_sql(artist: str) -> str:

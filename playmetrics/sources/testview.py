@@ -138,19 +138,17 @@ def nation_dim(spark: SparkSession, sf_dir: str, with_regions: bool = False) ->
 
 
 def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A boundary-style attribute table over `nation_dim(with_regions=True)`:
-    ``NAME``, ``STUSPS = state``, ``geometry`` a WKT point. Rows of region 0
-    are left out, so boundaries and dimension differ."""
+    """A boundary-style attribute table with one row per row of
+    `nation_dim(with_regions=True)`: ``NAME``, ``STUSPS = state``, and
+    ``geometry`` a WKT point (nationkey, regionkey) or (regionkey, 0)."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     nations = (n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-               .where(F.col("n_regionkey") != F.lit(0))
                .select(F.concat(F.col("r_name"), F.lit("/"), F.col("n_name")).alias("NAME"),
                        F.col("n_name").alias("STUSPS"),
                        F.format_string("POINT (%d %d)", F.col("n_nationkey"),
                                        F.col("n_regionkey")).alias("geometry")))
-    regions = (r.where(F.col("r_regionkey") != F.lit(0))
-               .select(F.col("r_name").alias("NAME"), F.col("r_name").alias("STUSPS"),
-                       F.format_string("POINT (%d 0)", F.col("r_regionkey")).alias("geometry")))
+    regions = r.select(F.col("r_name").alias("NAME"), F.col("r_name").alias("STUSPS"),
+                       F.format_string("POINT (%d 0)", F.col("r_regionkey")).alias("geometry"))
     return nations.unionByName(regions)
 
 

@@ -189,3 +189,18 @@ def test_rectangles(spark):
                                 "lon double, lat double")
     assert rows(in_alaska_box(pts)) == [(-150.0, 60.0)]
     assert rows(in_rectangle(pts, (-160, -120), (0, 90))) == [(-150.0, 60.0), (-157.8, 21.3)]
+
+
+def test_attach_boundaries_keeps_every_boundary(spark, small):
+    from playmetrics.operators import attach_boundaries, complete_rows
+    b = spark.createDataFrame([("California", "CA", "POINT (0 0)"), ("Texas", "TX", "POINT (1 1)"),
+                               ("Atlantis", "AT", "POINT (2 2)")],
+                              "NAME string, STUSPS string, geometry string")
+    m = map_prep(artist_by_state(small, "A"), "A", state_dim(spark))
+    got = {r.NAME: r for r in attach_boundaries(b, m).collect()}
+    assert len(got) == 3 and got["California"].listens == 2 and got["Texas"].listens == 0
+    assert got["Atlantis"].listens is None and got["Atlantis"].artist is None
+    inline = map_join_inline(artist_by_state(small, "A"), state_dim(spark))
+    joined = attach_boundaries(b, inline, right_on="state_y")
+    assert joined.count() == 3
+    assert [r.NAME for r in complete_rows(joined).collect()] == ["California"]
