@@ -89,6 +89,7 @@ def artist_list(df: DataFrame, state: str | None = None, n: int = 50,
 
     The string is built after the limit, from at most ``n`` rows.
     """
+    quoted = "'" + sep.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return top_artists(df, state, n).agg(
-        F.expr(f"listagg(artist, '{sep}') WITHIN GROUP "
+        F.expr(f"listagg(artist, {quoted}) WITHIN GROUP "
                f"(ORDER BY {LISTENS} DESC, artist ASC)").alias("artists"))

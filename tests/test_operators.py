@@ -204,3 +204,8 @@ def test_attach_boundaries_keeps_every_boundary(spark, small):
     joined = attach_boundaries(b, inline, right_on="state_y")
     assert joined.count() == 3
     assert [r.NAME for r in complete_rows(joined).collect()] == ["California"]
+
+
+def test_artist_list_separator_is_literal(small):
+    for sep in [" | ", "', '", "\\n"]:
+        assert rows(artist_list(small, None, 50, sep)) == [(sep.join(["A", "B", "C"]),)]
