@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from playmetrics.functions.text import damage_text, repair_text
 from playmetrics.operators import artists, cleaning as cl, distinct, geo, songs, subs, users
@@ -149,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_artists_all_scopes": lambda s, d: rollups.top_artists_all_scopes(_L(s, d), 10),
         "top_free_songs_all_scopes": lambda s, d: rollups.top_songs_all_scopes(
             _L(s, d), "free", 5),
+        "top_paid_songs_all_scopes": lambda s, d: rollups.top_songs_all_scopes(
+            _L(s, d), "paid", 5),
         "subscription_breakdown_all_scopes": lambda s, d:
             rollups.subscription_breakdown_all_scopes(_L(s, d)),
         "kpis_all_scopes": lambda s, d: rollups.kpis_all_scopes(_L(s, d)),
@@ -277,6 +278,14 @@ def _monthly_sql(where: str = "") -> str:
 _SCOPE = "CASE WHEN g = 1 THEN 'Nationwide' ELSE state END AS scope"
 
 
+def _top_songs_all_scopes_sql(level: str) -> str:
+    return (f"SELECT {_SCOPE}, CAST(rank AS INTEGER) AS rank, song, listens FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY g, state ORDER BY listens DESC, "
+            "song) AS rank FROM (SELECT state, song, count(*) AS listens, "
+            f"grouping(state) AS g FROM L WHERE subscription = '{level}' "
+            "GROUP BY GROUPING SETS ((song), (state, song)))) WHERE rank <= 5")
+
+
 def oracle_sql() -> dict[str, str]:
     wl = _with(_L_SQL)
     state = f"WHERE state = '{STATE}'"
@@ -412,12 +421,8 @@ def oracle_sql() -> dict[str, str]:
               "artist) AS rank FROM (SELECT state, artist, count(*) AS listens, "
               "grouping(state) AS g FROM L GROUP BY GROUPING SETS ((artist), (state, artist))))"
               " WHERE rank <= 10",
-        "top_free_songs_all_scopes": wl
-            + f"SELECT {_SCOPE}, CAST(rank AS INTEGER) AS rank, song, listens FROM ("
-              "SELECT *, row_number() OVER (PARTITION BY g, state ORDER BY listens DESC, "
-              "song) AS rank FROM (SELECT state, song, count(*) AS listens, "
-              "grouping(state) AS g FROM L WHERE subscription = 'free' "
-              "GROUP BY GROUPING SETS ((song), (state, song)))) WHERE rank <= 5",
+        "top_free_songs_all_scopes": wl + _top_songs_all_scopes_sql("free"),
+        "top_paid_songs_all_scopes": wl + _top_songs_all_scopes_sql("paid"),
         "subscription_breakdown_all_scopes": wl
             + f"SELECT {_SCOPE}, subscription, count, CAST(count AS DOUBLE) / "
               "CAST(sum(count) OVER (PARTITION BY g, state) AS DOUBLE) * 100.0 AS percentage "
