@@ -40,7 +40,7 @@ def map_prep(counts: DataFrame, artist: str, dim: DataFrame) -> DataFrame:
 
 def map_join_inline(counts: DataFrame, dim: DataFrame, name_col: str = "NAME",
                     code_col: str = "state") -> DataFrame:
-    """The notebook's fill without NULL filling.
+    """State fill without NULL filling, keeping both state columns.
 
     Counts are matched to the dimension on code; clashing names come out as
     ``state_x`` (the counts' code, NULL where none) and ``state_y`` (the
