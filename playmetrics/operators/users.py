@@ -52,18 +52,43 @@ def ever_paid_users(df: DataFrame) -> DataFrame:
             .select("userId").distinct())
 
 
-def relabel_ever_paid(df: DataFrame) -> DataFrame:
-    """Every row of a user who ever paid becomes ``paid`` (J4 + P9).
-
-    Row-level form: a left join with the ever-paid set (one row per user, so
-    the join never multiplies rows). Adaptive execution broadcasts the set
-    when its measured size allows, and splits a skewed ``userId`` partition on
-    the row side otherwise. NULL ids never match, as with ``isin``.
+def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
+                      salt_buckets: int | None = None) -> DataFrame:
+    """Every row of a user who ever paid becomes ``paid`` (J4 + P9), row level.
+
+    NULL ids never match, as with ``isin``. Built for a user who holds a
+    large share of all rows:
+
+    1. one aggregate per user gives its row count and ever-paid flag (partial
+       aggregation folds a hot user per task before the shuffle);
+    2. users holding more than 1/``max_hot_users`` of all rows are *hot*;
+       there are at most ``max_hot_users`` of them, so that table has a proven
+       size bound and is broadcast, and their rows get their flag without
+       moving;
+    3. rows of hot users and rows without an id are spread over
+       ``salt_buckets`` join keys (a hash of the whole row, so a recomputed
+       task salts identically) that match nothing; only cold users, each with
+       at most 1/``max_hot_users`` of the rows, are joined by ``userId``.
     """
-    flag = ever_paid_users(df).withColumn("__ever_paid", F.lit(True))
-    joined = df.join(flag, on="userId", how="left")
+    paid_flag = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0))
+    per_user = (df.groupBy("userId")
+                .agg(F.count(F.lit(1)).alias("__n"), paid_flag.alias("__paid")))
+    total = per_user.agg(F.sum("__n")).scalar()
+    is_hot = F.col("__n") * F.lit(max_hot_users) > total
+    known = F.col("userId").isNotNull()
+    hot = per_user.where(known & is_hot).select("userId", F.col("__paid").alias("__hot"))
+    cold = per_user.where(known & ~is_hot).select(
+        "userId", F.col("__paid").alias("__cold"), F.lit(0).cast("long").alias("__salt"))
+
+    buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.join(F.broadcast(hot), on="userId", how="left")
+    spread = F.col("userId").isNull() | F.col("__hot").isNotNull()
+    salt = F.when(spread, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
+                                 F.lit(buckets)) + 1).otherwise(F.lit(0).cast("long"))
+    joined = tagged.withColumn("__salt", salt).join(cold, on=["userId", "__salt"], how="left")
+    ever_paid = known & (F.coalesce(F.col("__hot"), F.col("__cold")) == 1)
     return joined.select(*[
-        F.when(F.col("__ever_paid"), F.lit(PAID)).otherwise(F.col(c)).alias(c)
+        F.when(ever_paid, F.lit(PAID)).otherwise(F.col(c)).alias(c)
         if c == "subscription" else F.col(c)
         for c in df.columns
     ])
