@@ -1,6 +1,5 @@
 """Event feeds written as JSON lines read back and cleaned."""
 
-import datetime as dt
 import json
 
 import pytest
