@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The session's checkpoint folder (``spark.checkpoint.dir`` or
     ``SparkContext.setCheckpointDir``), or None when neither is set."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext on the client (Spark Connect)
+        d = None
+    return d or spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def _require_dir(spark: SparkSession) -> str:
