@@ -133,3 +133,20 @@ def test_clean_with_fixed_zone_ignores_session_zone(spark, listen_dir):
         assert jp[JAN_LAST_MS] == 2 and jp[FEB_FIRST_MS] == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_json_round_trip_of_driver_events(spark, tmp_path):
+    from conftest import SF_SMALL
+    from playmetrics.operators import top_artists
+    from playmetrics.sources import testview as tv
+
+    raw = tv.raw_listen_events(spark, SF_SMALL)
+    out = str(tmp_path / "listen_events")
+    raw.write.json(out)
+    back = read_listen_events(spark, out)
+    a = clean(back, time_zone="UTC")
+    b = clean(raw, time_zone="UTC")
+    assert a.count() == b.count() == raw.count()
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert [tuple(r) for r in top_artists(a, None, 10).collect()] == \
+        [tuple(r) for r in top_artists(b, None, 10).collect()]
