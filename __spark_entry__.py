@@ -68,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_count": lambda s, d: distinct.row_count(_L(s, d)),
         "artist_state_listens": lambda s, d: artists.artist_state_listens(_L(s, d)),
         "artist_by_state": lambda s, d: artists.artist_by_state(_L(s, d), ARTIST),
+        "artist_by_state_raw": lambda s, d: artists.artist_by_state(cl.clean(
+            cl.where_clean_equals(tv.raw_listen_events(s, d), "artist", ARTIST)), ARTIST),
         "artists_over": lambda s, d: artists.artists_over(_L(s, d), THRESHOLD),
         "artists_over_count": lambda s, d: artists.artists_over_count(_L(s, d), THRESHOLD),
         "top5_states_for_artist": lambda s, d: artists.top_n(
@@ -296,6 +298,8 @@ def oracle_sql() -> dict[str, str]:
                                      "GROUP BY artist, state",
         "artist_by_state": wl + f"SELECT artist, state, count(*) AS listens FROM L "
                                 f"WHERE artist = '{ARTIST}' GROUP BY artist, state",
+        "artist_by_state_raw": wl + f"SELECT artist, state, count(*) AS listens FROM L "
+                                    f"WHERE artist = '{ARTIST}' GROUP BY artist, state",
         "artists_over": wl + f"SELECT artist, count(*) AS listens FROM L GROUP BY artist "
                              f"HAVING count(*) >= {THRESHOLD}",
         "artists_over_count": wl + f"SELECT count(*) AS n_artists FROM (SELECT artist FROM L "

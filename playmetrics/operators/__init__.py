@@ -2,7 +2,8 @@ from .artists import (artist_by_state, artist_list, artist_state_listens, artist
                       artists_over, artists_over_count, top_artist_at, top_artists,
                       top_artists_display, top_n)
 from .cleaning import (auth_view, clean, complete_rows, drop_null_users, listen_view,
-                       null_audit, null_level_rows, null_user_rows, with_calendar)
+                       null_audit, null_level_rows, null_user_rows, where_clean_equals,
+                       with_calendar)
 from .distinct import distinct_count, distinct_values, row_count, states_list
 from .geo import (attach_boundaries, exclude_states, in_alaska_box, in_hawaii_box,
                   in_rectangle, listens_bounds, map_join_inline, map_prep, map_scale,
@@ -18,7 +19,7 @@ __all__ = [
     "artists_over_count", "top_artist_at", "top_artists", "top_artists_display", "top_n", "auth_view", "clean",
     "complete_rows", "drop_null_users", "listen_view", "null_audit", "null_level_rows",
     "null_user_rows",
-    "with_calendar", "distinct_count", "distinct_values", "row_count", "states_list",
+    "where_clean_equals", "with_calendar", "distinct_count", "distinct_values", "row_count", "states_list",
     "attach_boundaries", "exclude_states", "in_alaska_box", "in_hawaii_box", "in_rectangle",
     "listens_bounds", "map_join_inline", "map_prep", "map_scale", "only_state", "NATIONWIDE",
     "in_scope", "state_songs", "top_free_songs", "top_paid_songs", "top_songs",

@@ -54,6 +54,30 @@ def clean(df: DataFrame, repair_mode: str = "intended",
     return with_calendar(df.select(*cols))
 
 
+def _damaged(value: str) -> str:
+    return value.encode("utf-8").decode("latin-1")
+
+
+def where_clean_equals(raw: DataFrame, col: str, value: str,
+                       repair_mode: str = "intended") -> DataFrame:
+    """Rows of a raw table whose repaired ``col`` equals ``value`` (F4 on raw data).
+
+    A filter on the repaired column cannot reach the scan, so a lookup such as
+    ``artist_by_state(clean(raw), 'X')`` would read and repair every row. Any
+    raw string that repairs to ``X`` is ``X`` itself or ``X`` damaged once or
+    twice, so those three literals form a necessary ``IN`` filter on the raw
+    column, which parquet pushes into the scan (row groups skipped by their
+    statistics and dictionaries); the exact check on the repaired value stays
+    on top. A compat-mode value holding U+FFFD has no finite set of sources
+    and gets the exact check only.
+    """
+    exact = repair_text(F.col(col), repair_mode) == F.lit(value)
+    if repair_mode == "compat" and "\ufffd" in value:
+        return raw.where(exact)
+    candidates = sorted({value, _damaged(value), _damaged(_damaged(value))})
+    return raw.where(F.col(col).isin(*candidates) & exact)
+
+
 def null_user_rows(df: DataFrame, user: str = "userId") -> DataFrame:
     """Rows without a user id (F1)."""
     return df.where(F.col(user).isNull())

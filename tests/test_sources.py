@@ -150,3 +150,29 @@ def test_json_round_trip_of_driver_events(spark, tmp_path):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert [tuple(r) for r in top_artists(a, None, 10).collect()] == \
         [tuple(r) for r in top_artists(b, None, 10).collect()]
+
+
+def test_where_clean_equals_pushes_candidates(spark, tmp_path):
+    from playmetrics.operators import artist_by_state, where_clean_equals
+
+    def dmg(s, k):
+        for _ in range(k):
+            s = s.encode("utf-8").decode("latin-1")
+        return s
+
+    recs = [_listen(i, "Halo", dmg("Beyoncé", i % 3), "free", "CA" if i % 2 else "NY",
+                    FEB_FIRST_MS) for i in range(30)]
+    recs += [_listen(100 + i, "Yellow", "Coldplay", "free", "CA", FEB_FIRST_MS)
+             for i in range(10)]
+    d = tmp_path / "feed"
+    d.mkdir()
+    (d / "p.json").write_text("\n".join(json.dumps(r) for r in recs))
+    pq = str(tmp_path / "pq")
+    read_listen_events(spark, str(d)).write.parquet(pq)
+    raw = read_listen_events(spark, pq, fmt="parquet")
+    fast = artist_by_state(clean(where_clean_equals(raw, "artist", "Beyoncé")), "Beyoncé")
+    slow = artist_by_state(clean(raw), "Beyoncé")
+    assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
+    assert sum(r.listens for r in fast.collect()) == 30
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "In(artist" in plan  # candidate set reaches the parquet scan
