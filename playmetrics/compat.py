@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from .functions.text import repair_text
 from .operators import artists, cleaning, distinct, geo, songs, subs, users
 from .sources.dims import state_dim
+from .sources.events import read_listen_events
+
+
+def load_data(spark, path: str) -> DataFrame:
+    """The listen feed at ``path`` (a folder or object-store URI of JSON lines),
+    read by the executors with the fixed listen schema."""
+    return read_listen_events(spark, path)
 
 
 def get_artist_state_listen(df: DataFrame, artist: str) -> DataFrame:

@@ -31,3 +31,11 @@ def test_null_audit(spark):
     df = spark.createDataFrame([(None, "free"), ("1", None), ("2", "paid"), (None, None)],
                                "userId string, level string")
     assert tuple(null_audit(df).collect()[0]) == (2, 2, 1)
+
+
+def test_load_data(spark, tmp_path):
+    d = tmp_path / "listen"
+    d.mkdir()
+    (d / "a.json").write_text('{"userId": 1, "artist": "A", "level": "free", "ts": 0}\n')
+    df = compat.clean(compat.load_data(spark, str(d)))
+    assert [r.artist for r in df.collect()] == ["A"] and "subscription" in df.columns
