@@ -14,25 +14,28 @@ from pyspark.sql.types import StructType
 from .schemas import AUTH_SCHEMA, BOUNDARY_SCHEMA, LISTEN_SCHEMA
 
 
-def read_events(spark: SparkSession, path: str, schema: StructType | None = None,
-                fmt: str = "json") -> DataFrame:
-    """Read one event feed (a folder of JSON lines, or parquet).
+def read_events(spark: SparkSession, path, schema: StructType | None = None,
+                fmt: str = "json", **options) -> DataFrame:
+    """Read one event feed (a folder of JSON lines, or parquet; ``path`` may be
+    a list of folders).
 
     With ``schema=None`` the JSON reader infers one, which costs an extra pass;
     pass a schema whenever the columns are known. A missing path raises.
+    ``options`` go to the reader, e.g. ``mode='DROPMALFORMED'`` to drop lines
+    that are not valid JSON (by default they become rows of NULLs).
     """
-    reader = spark.read.format(fmt)
+    reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
 
 
-def read_listen_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return read_events(spark, path, LISTEN_SCHEMA, fmt)
+def read_listen_events(spark: SparkSession, path, fmt: str = "json", **options) -> DataFrame:
+    return read_events(spark, path, LISTEN_SCHEMA, fmt, **options)
 
 
-def read_auth_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return read_events(spark, path, AUTH_SCHEMA, fmt)
+def read_auth_events(spark: SparkSession, path, fmt: str = "json", **options) -> DataFrame:
+    return read_events(spark, path, AUTH_SCHEMA, fmt, **options)
 
 
 def read_page_view_events(spark: SparkSession, path: str,

@@ -176,3 +176,13 @@ def test_where_clean_equals_pushes_candidates(spark, tmp_path):
     assert sum(r.listens for r in fast.collect()) == 30
     plan = fast._jdf.queryExecution().executedPlan().toString()
     assert "In(artist" in plan  # candidate set reaches the parquet scan
+
+
+def test_malformed_lines_and_many_folders(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir()
+    b.mkdir()
+    (a / "x.json").write_text('{"userId": 1, "artist": "A", "ts": 1}\nnot json\n')
+    (b / "y.json").write_text('{"userId": 2, "artist": "B", "ts": 2}\n')
+    assert read_listen_events(spark, [str(a), str(b)]).count() == 3
+    assert read_listen_events(spark, [str(a), str(b)], mode="DROPMALFORMED").count() == 2
