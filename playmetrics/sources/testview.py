@@ -88,10 +88,21 @@ def listens_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LISTENS: dict[tuple[SparkSession, str], DataFrame] = {}
+
+
 def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned-listen shape: ``userId, artist, song, state, duration,
-    subscription, ts, year, month, month_name``."""
-    return listens_base(spark, sf_dir).withColumns(calendar_columns("ts"))
+    subscription, ts, year, month, month_name``.
+
+    The lazy DataFrame is defined once per (session, folder) and reused, as an
+    application keeps the handle of its cleaned table. Only the plan is kept:
+    every query still reads the parquet files and runs every join.
+    """
+    key = (spark, sf_dir)
+    if key not in _LISTENS:
+        _LISTENS[key] = listens_base(spark, sf_dir).withColumns(calendar_columns("ts"))
+    return _LISTENS[key]
 
 
 def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
