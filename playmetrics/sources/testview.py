@@ -18,6 +18,8 @@ unless a side's file size is under the broadcast threshold.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,23 @@ DRIVER_SCHEMAS = {
 }
 
 
+def _defined_once(build):
+    """Define a view's lazy DataFrame once per (session, folder, arguments)
+    and hand out the same one afterwards, as an application keeps the handle
+    of its cleaned table. Only the plan is kept: every query still reads the
+    parquet files and runs every join."""
+    views: dict = {}
+
+    @functools.wraps(build)
+    def view(spark: SparkSession, sf_dir: str, *args, **kwargs) -> DataFrame:
+        key = (spark, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in views:
+            views[key] = build(spark, sf_dir, *args, **kwargs)
+        return views[key]
+
+    return view
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.format("parquet")
     if name in DRIVER_SCHEMAS:
@@ -88,23 +107,14 @@ def listens_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LISTENS: dict[tuple[SparkSession, str], DataFrame] = {}
-
-
+@_defined_once
 def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned-listen shape: ``userId, artist, song, state, duration,
-    subscription, ts, year, month, month_name``.
-
-    The lazy DataFrame is defined once per (session, folder) and reused, as an
-    application keeps the handle of its cleaned table. Only the plan is kept:
-    every query still reads the parquet files and runs every join.
-    """
-    key = (spark, sf_dir)
-    if key not in _LISTENS:
-        _LISTENS[key] = listens_base(spark, sf_dir).withColumns(calendar_columns("ts"))
-    return _LISTENS[key]
+    subscription, ts, year, month, month_name``."""
+    return listens_base(spark, sf_dir).withColumns(calendar_columns("ts"))
 
 
+@_defined_once
 def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listen-event shape (19 columns, ``level``, epoch-ms ``ts``).
 
@@ -136,6 +146,7 @@ def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_defined_once
 def nation_dim(spark: SparkSession, sf_dir: str, with_regions: bool = False) -> DataFrame:
     """A state-style dimension from ``nation`` x ``region``:
     ``NAME = r_name || '/' || n_name``, ``state = n_name``.
@@ -154,6 +165,7 @@ def nation_dim(spark: SparkSession, sf_dir: str, with_regions: bool = False) ->
                                         F.col("r_name").alias("state")))
 
 
+@_defined_once
 def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boundary-style attribute table with one row per row of
     `nation_dim(with_regions=True)`: ``NAME``, ``STUSPS = state``, and
@@ -169,6 +181,7 @@ def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.unionByName(regions)
 
 
+@_defined_once
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Auth-event shape (the 16 auth columns, typed as `AUTH_SCHEMA`) plus
     ``event_id`` and ``event_type``, from ``events``, with NULLs to audit:
