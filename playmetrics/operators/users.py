@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.labels import count_label
 from .distinct import distinct_count_with_null
@@ -84,7 +85,9 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = df.join(F.broadcast(hot), on="userId", how="left")
     spread = F.col("userId").isNull() | F.col("__hot").isNotNull()
-    salt = F.when(spread, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
+    hashable = [F.col(f.name) for f in df.schema.fields
+                if not isinstance(f.dataType, MapType)]  # hashing a map is an error
+    salt = F.when(spread, F.pmod(F.xxhash64(*hashable),
                                  F.lit(buckets)) + 1).otherwise(F.lit(0).cast("long"))
     joined = tagged.withColumn("__salt", salt).join(cold, on=["userId", "__salt"], how="left")
     ever_paid = known & (F.coalesce(F.col("__hot"), F.col("__cold")) == 1)
