@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.artists import top_artists
 from ..operators.cleaning import clean
 from ..plans.materialize import checkpoint_dir
 from ..sources.schemas import LISTEN_SCHEMA
@@ -40,6 +41,13 @@ def live_subscription_counts(raw_stream: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def live_top_artists(raw_stream: DataFrame, state: str | None = None,
+                     n: int = 10) -> DataFrame:
+    """The top-``n`` artist tile kept current; run it in complete output mode
+    (the only mode in which a stream may be sorted after its aggregation)."""
+    return top_artists(clean(raw_stream), state, n)
+
+
 def start_tile(live: DataFrame, name: str, sink: str = "memory",
                output_mode: str = "update", path: str | None = None,
                available_now: bool = False) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """The listen feed as a file stream gives the batch counts."""
 
 import json
+import os
 import uuid
 
 from playmetrics.operators import artist_state_listens, clean
@@ -31,3 +32,27 @@ def test_live_counts_equal_batch(spark, tmp_path):
                     available_now=True)
     q2.awaitTermination(120)
     assert spark.sql(f"SELECT sum(count) FROM {subs}").collect()[0][0] == 10
+
+
+def test_live_top_artists_and_checkpoint_location(spark, tmp_path):
+    from playmetrics.operators import top_artists
+    from playmetrics.plans import checkpoint_dir
+    from playmetrics.streaming import live_top_artists
+
+    d = tmp_path / "feed"
+    d.mkdir()
+    artists = ["A"] * 5 + ["B"] * 3 + ["C"] * 3 + ["D"]
+    for k, a in enumerate(artists):
+        (d / f"f{k}.json").write_text(json.dumps(
+            {"userId": "1", "artist": a, "state": "CA", "level": "free", "ts": k}))
+    name = f"live_top_{uuid.uuid4().hex[:8]}"
+    q = start_tile(live_top_artists(read_listen_stream(spark, str(d), max_files_per_trigger=4), None, 3), name,
+                   output_mode="complete", available_now=True)
+    q.awaitTermination(120)
+    got = [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
+    batch = top_artists(clean(read_listen_events(spark, str(d))), None, 3)
+    assert sorted(got) == sorted(tuple(r) for r in batch.collect()) == [
+        ("A", 5), ("B", 3), ("C", 3)]
+    assert q.lastProgress is not None
+    ckpt = checkpoint_dir(spark).rstrip("/")
+    assert os.path.isdir(os.path.join(ckpt.replace("file:", ""), "streams", name))
