@@ -88,3 +88,12 @@ def test_materialize_dashboard(spark, L):
            .orderBy("rank").select("artist", "listens").collect()]
     assert nat == [tuple(r) for r in top_artists(L, None, 10).collect()]
     assert out["kpis"].count() == L.select("state").distinct().count() + 1
+
+
+def test_no_python_and_no_cross_join_in_any_query(spark):
+    from __spark_entry__ import queries
+
+    for key, fn in queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for bad in ("EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert bad not in plan, (key, bad)
