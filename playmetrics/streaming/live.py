@@ -65,3 +65,27 @@ def start_tile(live: DataFrame, name: str, sink: str = "memory",
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def refresh_clean_table(spark: SparkSession, raw_path: str, table_path: str, name: str,
+                        time_zone: str | None = "UTC", fmt: str = "json") -> StreamingQuery:
+    """Bring the cleaned listen table at ``table_path`` up to date with the
+    event files under ``raw_path``: only files not seen before are read,
+    cleaned and appended (parquet, partitioned by year and month).
+
+    Runs as an ``availableNow`` file stream, so it processes what is there and
+    stops; the checkpoint under ``spark.checkpoint.dir`` records which files
+    are done, and the parquet sink commits each batch exactly once, so a rerun
+    after a failure neither loses nor repeats rows. Call ``awaitTermination()``
+    on the returned query.
+    """
+    base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
+    cleaned = clean(read_listen_stream(spark, raw_path, fmt), time_zone=time_zone)
+    return (cleaned.writeStream.format("parquet").outputMode("append")
+            .partitionBy("year", "month")
+            .option("path", table_path)
+            .option("checkpointLocation", f"{base.rstrip('/')}/streams/{name}")
+            .trigger(availableNow=True)
+            .start())

@@ -56,3 +56,27 @@ def test_live_top_artists_and_checkpoint_location(spark, tmp_path):
     assert q.lastProgress is not None
     ckpt = checkpoint_dir(spark).rstrip("/")
     assert os.path.isdir(os.path.join(ckpt.replace("file:", ""), "streams", name))
+
+
+def test_refresh_clean_table_is_incremental(spark, tmp_path):
+    from playmetrics.streaming import refresh_clean_table
+
+    feed, table = tmp_path / "feed", str(tmp_path / "clean")
+    feed.mkdir()
+    name = f"refresh_{uuid.uuid4().hex[:8]}"
+
+    def write(k, n):
+        (feed / f"f{k}.json").write_text("\n".join(json.dumps(
+            {"userId": str(i), "artist": "BeyoncÃ©", "song": "s", "level": "free",
+             "state": "CA", "duration": 1.0, "ts": 1706745600000 + i}) for i in range(n)))
+
+    write(0, 5)
+    refresh_clean_table(spark, str(feed), table, name).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 5
+    refresh_clean_table(spark, str(feed), table, name).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 5          # nothing new: nothing added
+    write(1, 3)
+    refresh_clean_table(spark, str(feed), table, name).awaitTermination(120)
+    t = spark.read.parquet(table)
+    assert t.count() == 8 and {r.artist for r in t.collect()} == {"Beyoncé"}
+    assert {(r.year, r.month) for r in t.select("year", "month").collect()} == {(2024, 2)}
