@@ -50,9 +50,12 @@ def read_status_change_events(spark: SparkSession, path: str,
     return read_events(spark, path, schema, fmt)
 
 
-def read_boundaries(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """State boundary attributes (NAME, STUSPS, geometry as WKT), one row per state."""
-    reader = spark.read.format(fmt)
+def read_boundaries(spark: SparkSession, path: str, fmt: str = "parquet",
+                    **options) -> DataFrame:
+    """State boundary attributes (NAME, STUSPS, geometry as WKT), one row per state.
+
+    ``options`` go to the reader (e.g. ``header=True`` for CSV)."""
+    reader = spark.read.format(fmt).options(**options)
     if fmt != "parquet":
         reader = reader.schema(BOUNDARY_SCHEMA)
     return reader.load(path).select("NAME", "STUSPS", "geometry")

@@ -186,3 +186,10 @@ def test_malformed_lines_and_many_folders(spark, tmp_path):
     (b / "y.json").write_text('{"userId": 2, "artist": "B", "ts": 2}\n')
     assert read_listen_events(spark, [str(a), str(b)]).count() == 3
     assert read_listen_events(spark, [str(a), str(b)], mode="DROPMALFORMED").count() == 2
+
+
+def test_boundaries_csv(spark, tmp_path):
+    p = tmp_path / "b.csv"
+    p.write_text('NAME,STUSPS,geometry\nTexas,TX,"POINT (1 2)"\n')
+    b = read_boundaries(spark, str(p), fmt="csv", header=True)
+    assert [tuple(r) for r in b.collect()] == [("Texas", "TX", "POINT (1 2)")]
