@@ -23,6 +23,21 @@ RECOMMENDED_CONF = {
 }
 
 
+# Starting points for a large cluster (~1000 executors, ~100 TB of events);
+# see the README for the reasoning. Pass to your launcher or to get_session(conf=...).
+CLUSTER_CONF = {
+    **RECOMMENDED_CONF,
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def get_session(master: str = "local[*]", app: str = "playmetrics",
                 shuffle_partitions: int = 8, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
