@@ -209,3 +209,18 @@ def test_attach_boundaries_keeps_every_boundary(spark, small):
 def test_artist_list_separator_is_literal(small):
     for sep in [" | ", "', '", "\\n"]:
         assert rows(artist_list(small, None, 50, sep)) == [(sep.join(["A", "B", "C"]),)]
+
+
+def test_edges_under_default_ansi_mode(spark, listens_schema):
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    df = spark.createDataFrame([("a", 5), ("b", 5), ("c", None)], "state string, listens long")
+    assert sorted(rows(map_scale(df)), key=str) == [("a", 5, 0.0), ("b", 5, 0.0), ("c", None, None)]
+    no_time = spark.createDataFrame(
+        [("1", "CA", 60.0, "free", None, None, None)],
+        "userId string, state string, duration double, subscription string, year int, "
+        "month int, month_name string")
+    assert rows(monthly_listening(no_time)) == [(None, None, None, "free", 1.0)]
+    empty = no_time.where("false")
+    assert rows(kpis(empty)) == [(0, None, None)]
+    assert rows(kpi_labels(kpis(empty))) == [("0k+", None, None)]
+    assert rows(subscription_breakdown(empty)) == [] and rows(monthly_listening(empty)) == []
