@@ -40,9 +40,23 @@ def _let(value: Column, body) -> Column:
 
 
 def _layer(x: Column) -> Column:
+    """One repair layer for a string known to hold a non-ASCII character."""
     fixed = _let(_latin1_bytes_as_string(x),
                  lambda b: F.when(F.is_valid_utf8(b), b).otherwise(x))
-    return F.when(x.rlike(NON_ASCII) & ~x.rlike(WIDE), fixed).otherwise(x)
+    return F.when(~x.rlike(WIDE), fixed).otherwise(x)
+
+
+def _layers(x: Column, k: int) -> Column:
+    """Up to ``k`` layers, stopping as soon as one changes nothing.
+
+    A layer that leaves its input unchanged would leave it unchanged again, so
+    clean text pays for one layer only. A layer that does change its input
+    decodes valid multi-byte sequences, so its output is again non-ASCII and
+    needs no second ASCII test.
+    """
+    if k == 1:
+        return _layer(x)
+    return _let(_layer(x), lambda y: F.when(y == x, y).otherwise(_layers(y, k - 1)))
 
 
 def _lossy_decode(x: Column) -> Column:
@@ -64,9 +78,7 @@ def repair_text(c: Column | str, mode: str = "intended") -> Column:
     """
     t = _col(c)
     if mode == "intended":
-        steps = F.array(*[F.lit(i) for i in range(MAX_LAYERS)])
-        repaired = F.aggregate(steps, t, lambda acc, _i: _layer(acc))
-        return F.when(t.rlike(NON_ASCII), repaired).otherwise(t)
+        return F.when(t.rlike(NON_ASCII), _layers(t, MAX_LAYERS)).otherwise(t)
     if mode == "compat":
         unchanged = (t.isNull() | ~t.rlike(NON_ASCII) | t.rlike(WIDE)
                      | (F.instr(t, "?") > 0))
