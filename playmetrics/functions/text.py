@@ -1,7 +1,9 @@
 """Repair of text that was decoded as Latin-1 when it was UTF-8.
 
-Everything is a native Catalyst expression: no Python worker, the rows stay in
-whole-stage codegen, and the expression can sit under filters and aggregates.
+Everything is a native Catalyst expression evaluated inside the JVM task: no
+Python worker and no serialization per row (the stage is whole-stage
+generated; the lambda-based parts run interpreted within it), and the
+expression can sit under filters and aggregates.
 
 One repair *layer* takes a string whose characters all fit in one byte
 (U+0000..U+00FF) and at least one of which is non-ASCII, re-encodes it as
@@ -11,7 +13,8 @@ Latin-1 and, if those bytes are valid UTF-8, reads them as UTF-8.
 ever runs inside a CASE branch guarded by ``NOT x RLIKE '[^\\x00-\\xff]'``.
 (``^[\\x00-\\xff]*$`` would be wrong: ``$`` also matches before a final line
 separator.) Intermediate values are bound as higher-order-function lambda
-variables, so each is computed once and the plan holds one copy of the body.
+variables, so each is computed once and the plan holds one copy of the layer
+body per layer.
 """
 
 from __future__ import annotations
