@@ -39,3 +39,29 @@ def test_load_data(spark, tmp_path):
     (d / "a.json").write_text('{"userId": 1, "artist": "A", "level": "free", "ts": 0}\n')
     df = compat.clean(compat.load_data(spark, str(d)))
     assert [r.artist for r in df.collect()] == ["A"] and "subscription" in df.columns
+
+
+def test_every_compat_function_runs(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from playmetrics.sources import testview as tv
+
+    L = tv.listens(spark, SF_SMALL)
+    state = L.select("state").first()[0]
+    artist = L.select("artist").first()[0]
+    counts = compat.get_artist_state(L, artist)
+    dim = tv.nation_dim(spark, SF_SMALL, with_regions=True)
+    mapped = compat.map_prep_df(counts, dim)
+    assert mapped.count() == dim.count()
+    assert compat.make_map_df(mapped, tv.nation_boundaries(spark, SF_SMALL)).count() == dim.count()
+    assert compat.get_artist_over_1000(L, 1).count() == L.select("artist").distinct().count()
+    assert compat.get_arist_over_1000(L, 10**9).count() == 0
+    assert compat.get_top_100(L, state).count() <= 50
+    assert compat.get_user_list(L, state).count() > 0
+    assert compat.get_states_list(L).count() == L.select("state").distinct().count()
+    assert compat.top_free_songs(L, "Nationwide").count() == 5
+    assert compat.top_paid_songs(L, state).count() <= 5
+    fixed = spark.createDataFrame([("BeyoncÃ©",)], "t string").select(
+        compat.fix_multiple_encoding(F.col("t"))).first()[0]
+    assert fixed == "Beyonc�"  # the legacy rule on single damage
