@@ -97,3 +97,8 @@ def test_no_python_and_no_cross_join_in_any_query(spark):
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         for bad in ("EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert bad not in plan, (key, bad)
+
+
+def test_fact_join_is_sort_merge(L):
+    p = plan(top_artists(L, None, 10))
+    assert "SortMergeJoin [l_orderkey" in p  # never a broadcast of either fact side
