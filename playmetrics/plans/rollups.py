@@ -41,22 +41,31 @@ def _top_per_scope(counted: DataFrame, name: str, n: int) -> DataFrame:
             .select(_scope().alias("scope"), "rank", name, LISTENS))
 
 
-def top_artists_all_scopes(df: DataFrame, n: int = 10) -> DataFrame:
-    """``scope, rank, artist, listens``: `top_artists` for every scope."""
-    counted = _by_scope(df, ["artist"], F.count(F.lit(1)).alias(LISTENS))
+def _measure(weight: str | None) -> "F.Column":
+    """Rows counted, or a count column of pre-aggregated input summed."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
+
+
+def top_artists_all_scopes(df: DataFrame, n: int = 10, weight: str | None = None) -> DataFrame:
+    """``scope, rank, artist, listens``: `top_artists` for every scope.
+
+    ``weight`` names a count column when ``df`` is already aggregated (see
+    `listen_counts`); the default counts rows."""
+    counted = _by_scope(df, ["artist"], _measure(weight).alias(LISTENS))
     return _top_per_scope(counted, "artist", n)
 
 
-def top_songs_all_scopes(df: DataFrame, level: str, n: int = 5) -> DataFrame:
+def top_songs_all_scopes(df: DataFrame, level: str, n: int = 5,
+                         weight: str | None = None) -> DataFrame:
     """``scope, rank, song, listens``: `top_songs` for every scope."""
     counted = _by_scope(df.where(F.col("subscription") == F.lit(level)), ["song"],
-                        F.count(F.lit(1)).alias(LISTENS))
+                        _measure(weight).alias(LISTENS))
     return _top_per_scope(counted, "song", n)
 
 
-def subscription_breakdown_all_scopes(df: DataFrame) -> DataFrame:
+def subscription_breakdown_all_scopes(df: DataFrame, weight: str | None = None) -> DataFrame:
     """``scope, subscription, count, percentage`` for every scope."""
-    counted = _by_scope(df, ["subscription"], F.count(F.lit(1)).alias("count"))
+    counted = _by_scope(df, ["subscription"], _measure(weight).alias("count"))
     total = F.sum("count").over(Window.partitionBy(_G, "state"))
     return counted.select(
         _scope().alias("scope"), "subscription", "count",
@@ -64,6 +73,17 @@ def subscription_breakdown_all_scopes(df: DataFrame) -> DataFrame:
         .alias("percentage"))
 
 
+def listen_counts(df: DataFrame) -> DataFrame:
+    """Listens per (year, month, state, artist, song, subscription): an additive
+    table, far smaller than the events, from which the count-based tiles can
+    be rebuilt. New months are appended (counts of different months never
+    overlap), so refreshing those tiles never rescans the history; pass
+    ``weight='listens'`` to the all-scope functions. KPIs and monthly
+    listening need per-user state and stay on the events."""
+    return (df.groupBy("year", "month", "state", "artist", "song", "subscription")
+            .agg(F.count(F.lit(1)).alias(LISTENS)))
+
+
 def kpis_all_scopes(df: DataFrame) -> DataFrame:
     """``scope, total_users, avg_duration, paid_duration`` for every scope."""
     g = df.groupingSets([[], ["state"]], "state").agg(

@@ -102,3 +102,24 @@ def test_no_python_and_no_cross_join_in_any_query(spark):
 def test_fact_join_is_sort_merge(L):
     p = plan(top_artists(L, None, 10))
     assert "SortMergeJoin [l_orderkey" in p  # never a broadcast of either fact side
+
+
+def test_tiles_from_additive_counts(spark, L):
+    from playmetrics.plans import listen_counts
+
+    # counts appended month by month equal counts of the whole history
+    months = [r[0] for r in L.select("year").distinct().collect()]
+    parts = [listen_counts(L.where(F.col("year") == y)) for y in months]
+    counts = parts[0]
+    for p_ in parts[1:]:
+        counts = counts.unionByName(p_)
+
+    def same(a, b):
+        return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+    assert same(top_artists_all_scopes(counts, 10, weight="listens"), top_artists_all_scopes(L, 10))
+    assert same(top_songs_all_scopes(counts, "paid", 5, weight="listens"),
+                top_songs_all_scopes(L, "paid", 5))
+    assert same(subscription_breakdown_all_scopes(counts, weight="listens"),
+                subscription_breakdown_all_scopes(L))
+    assert counts.count() < L.count()
