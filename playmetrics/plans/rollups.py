@@ -84,6 +84,29 @@ def listen_counts(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias(LISTENS)))
 
 
+def user_month_fold(df: DataFrame) -> DataFrame:
+    """Duration summed (and its non-NULL values counted) per (userId, state,
+    year, month, subscription): the additive table behind the user-level
+    tiles. Months never overlap, so new months are appended; rebuild with
+    `kpis_all_scopes_from_fold` and `monthly_listening_all_scopes` (which
+    accepts the fold as its input, since its first step is this same fold)."""
+    return (df.groupBy("userId", "state", "year", "month", "subscription")
+            .agg(F.sum("duration").alias("duration"),
+                 F.count("duration").alias("n_duration")))
+
+
+def kpis_all_scopes_from_fold(fold: DataFrame) -> DataFrame:
+    """`kpis_all_scopes` computed from `user_month_fold` output: distinct users
+    from the fold's ids, mean duration as summed duration over summed counts."""
+    g = fold.groupingSets([[], ["state"]], "state").agg(
+        distinct_count_with_null("userId").alias("total_users"),
+        (F.sum("duration") / F.sum("n_duration")).alias("avg_duration"),
+        F.sum(F.when(F.col("subscription") == F.lit(PAID), F.col("duration")))
+        .alias("paid_duration"),
+        F.grouping("state").alias(_G))
+    return g.select(_scope().alias("scope"), "total_users", "avg_duration", "paid_duration")
+
+
 def kpis_all_scopes(df: DataFrame) -> DataFrame:
     """``scope, total_users, avg_duration, paid_duration`` for every scope."""
     g = df.groupingSets([[], ["state"]], "state").agg(

@@ -123,3 +123,19 @@ def test_tiles_from_additive_counts(spark, L):
     assert same(subscription_breakdown_all_scopes(counts, weight="listens"),
                 subscription_breakdown_all_scopes(L))
     assert counts.count() < L.count()
+
+
+def test_user_tiles_from_additive_fold(spark, L):
+    from playmetrics.plans import kpis_all_scopes_from_fold, user_month_fold
+
+    years = [r[0] for r in L.select("year").distinct().collect()]
+    fold = user_month_fold(L.where(F.col("year") == years[0]))
+    for y in years[1:]:
+        fold = fold.unionByName(user_month_fold(L.where(F.col("year") == y)))
+
+    def rows_of(df):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                       for r in df.collect()), key=str)
+
+    assert rows_of(kpis_all_scopes_from_fold(fold)) == rows_of(kpis_all_scopes(L))
+    assert rows_of(monthly_listening_all_scopes(fold)) == rows_of(monthly_listening_all_scopes(L))
