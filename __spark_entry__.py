@@ -155,6 +155,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "subscription_breakdown_all_scopes": lambda s, d:
             rollups.subscription_breakdown_all_scopes(_L(s, d)),
         "kpis_all_scopes": lambda s, d: rollups.kpis_all_scopes(_L(s, d)),
+        "kpis_all_scopes_from_fold": lambda s, d: rollups.kpis_all_scopes_from_fold(
+            rollups.user_month_fold(_L(s, d))),
+        "top_artists_all_scopes_from_counts": lambda s, d: rollups.top_artists_all_scopes(
+            rollups.listen_counts(_L(s, d)), 10, weight="listens"),
         "monthly_listening_all_scopes": lambda s, d:
             rollups.monthly_listening_all_scopes(_L(s, d)),
     }
@@ -448,4 +452,7 @@ def oracle_sql() -> dict[str, str]:
               "GROUP BY GROUPING SETS ((year, month, month_name, subscription), "
               "(state, year, month, month_name, subscription)))",
     }
+    # the incremental paths must give exactly the direct results
+    sql["kpis_all_scopes_from_fold"] = sql["kpis_all_scopes"]
+    sql["top_artists_all_scopes_from_counts"] = sql["top_artists_all_scopes"]
     return sql
