@@ -1,11 +1,13 @@
-from .materialize import checkpoint_dir, materialize, materialize_dashboard, reliable_checkpoint
+from .materialize import (append_tile_parts, checkpoint_dir, materialize, materialize_dashboard,
+                          reliable_checkpoint, tiles_from_parts)
 from .rollups import (dashboard_tables, kpis_all_scopes, kpis_all_scopes_from_fold,
                       listen_counts, monthly_listening_all_scopes,
                       subscription_breakdown_all_scopes, top_artists_all_scopes,
                       top_songs_all_scopes, user_month_fold)
 
 __all__ = [
-    "checkpoint_dir", "materialize", "materialize_dashboard", "reliable_checkpoint",
+    "append_tile_parts", "checkpoint_dir", "materialize", "materialize_dashboard",
+    "reliable_checkpoint", "tiles_from_parts",
     "dashboard_tables", "listen_counts", "user_month_fold", "kpis_all_scopes",
     "kpis_all_scopes_from_fold", "monthly_listening_all_scopes",
     "subscription_breakdown_all_scopes", "top_artists_all_scopes", "top_songs_all_scopes",

@@ -63,3 +63,35 @@ def materialize_dashboard(clean_df: DataFrame, name: str = "dashboard",
     for key, table in dashboard_tables(base, n_artists, n_songs).items():
         out[key] = materialize(table, f"{name}-{key}")
     return out
+
+
+def append_tile_parts(new_listens: DataFrame, name: str = "dashboard") -> dict[str, str]:
+    """Append the additive tables of a batch of cleaned listens (typically one
+    new month) under ``<checkpoint dir>/playmetrics/<name>-parts/``; returns
+    their paths. Batches must not overlap in time."""
+    from .rollups import listen_counts, user_month_fold
+
+    base = f"{_require_dir(new_listens.sparkSession)}/playmetrics/{name}-parts"
+    paths = {"counts": f"{base}/listen_counts", "fold": f"{base}/user_month_fold"}
+    listen_counts(new_listens).write.mode("append").parquet(paths["counts"])
+    user_month_fold(new_listens).write.mode("append").parquet(paths["fold"])
+    return paths
+
+
+def tiles_from_parts(spark: SparkSession, paths: dict[str, str], n_artists: int = 10,
+                     n_songs: int = 5) -> dict[str, DataFrame]:
+    """Every all-scope tile rebuilt from the appended additive tables; the
+    events themselves are not read."""
+    from .rollups import (kpis_all_scopes_from_fold, monthly_listening_all_scopes,
+                          subscription_breakdown_all_scopes, top_artists_all_scopes,
+                          top_songs_all_scopes)
+
+    counts, fold = spark.read.parquet(paths["counts"]), spark.read.parquet(paths["fold"])
+    return {
+        "top_artists": top_artists_all_scopes(counts, n_artists, weight="listens"),
+        "top_free_songs": top_songs_all_scopes(counts, "free", n_songs, weight="listens"),
+        "top_paid_songs": top_songs_all_scopes(counts, "paid", n_songs, weight="listens"),
+        "subscription_breakdown": subscription_breakdown_all_scopes(counts, weight="listens"),
+        "kpis": kpis_all_scopes_from_fold(fold),
+        "monthly_listening": monthly_listening_all_scopes(fold),
+    }

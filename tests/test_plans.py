@@ -139,3 +139,21 @@ def test_user_tiles_from_additive_fold(spark, L):
 
     assert rows_of(kpis_all_scopes_from_fold(fold)) == rows_of(kpis_all_scopes(L))
     assert rows_of(monthly_listening_all_scopes(fold)) == rows_of(monthly_listening_all_scopes(L))
+
+
+def test_tiles_from_appended_parts(spark, L):
+    import uuid
+
+    from playmetrics.plans import append_tile_parts, dashboard_tables, tiles_from_parts
+
+    name = f"parts-{uuid.uuid4().hex[:8]}"
+    for (y,) in L.select("year").distinct().collect():
+        paths = append_tile_parts(L.where(F.col("year") == y), name)
+    got = tiles_from_parts(spark, paths)
+    want = dashboard_tables(L)
+    assert set(got) == set(want)
+    for k in want:
+        def rows_of(df):
+            return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                           for r in df.select(*sorted(df.columns)).collect()), key=str)
+        assert rows_of(got[k]) == rows_of(want[k]), k
