@@ -19,6 +19,16 @@ from playmetrics.operators import artists, cleaning as cl, distinct, geo, songs,
 from playmetrics.plans import rollups
 from playmetrics.sources import testview as tv
 
+try:  # the training-data operators are optional; nothing else here needs them
+    import corpus_pipeline
+    import playmetrics.llm.oracle as llm_oracle
+    import playmetrics.llm.queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "playmetrics.llm", "playmetrics.llm.oracle",
+                            "playmetrics.llm.queries"):
+        raise
+    corpus_pipeline = llm_oracle = llm_queries = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 # Query parameters (chosen from the sf0.01 data: 25 artists with listens
@@ -63,6 +73,14 @@ def _docs_damaged(spark, d, times):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The library's own queries, and those of the training-data operators if they are there."""
+    q = core_queries()
+    if corpus_pipeline is not None:
+        q |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return q
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # A12, A1, A2, A3, A13, O6
         "row_count": lambda s, d: distinct.row_count(_L(s, d)),
@@ -293,6 +311,15 @@ def _top_songs_all_scopes_sql(level: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = core_oracle_sql()
+    if corpus_pipeline is not None:
+        sql |= llm_oracle.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
+
+
+def core_oracle_sql() -> dict[str, str]:
     wl = _with(_L_SQL)
     state = f"WHERE state = '{STATE}'"
     top10 = f"({_top_artists_sql()})"

@@ -11,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import core_oracle_sql as oracle_sql, core_queries as queries, entry
 from conftest import SF_SMALL
 
 SF = os.environ.get("PLAYMETRICS_ORACLE_SF", SF_SMALL)

@@ -91,7 +91,7 @@ def test_materialize_dashboard(spark, L):
 
 
 def test_no_python_and_no_cross_join_in_any_query(spark):
-    from __spark_entry__ import queries
+    from __spark_entry__ import core_queries as queries
 
     for key, fn in queries().items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
