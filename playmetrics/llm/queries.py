@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playmetrics.llm import decontaminate, secret_ledger
-from playmetrics.llm.common import read_table
+from playmetrics.llm import (
+    decontaminate, pack_harmonic, reshard_flow, secret_ledger, simhash_pivots,
+)
+from playmetrics.llm.common import read_table, text_of
 
 
 def op1_secret_ledger(spark, sf_dir):
@@ -32,6 +34,35 @@ def op5_benchmark_windows(spark, sf_dir):
         "contaminated")
 
 
+def op3_harmonic_packing(spark, sf_dir):
+    pieces = pack_harmonic.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+#: The layout before: so many shards, dealt by a hash of the id.
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+def op6_flow_resharding(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int").alias("old"),
+        reshard_flow.size_of("text").alias("size"), F.crc32(text_of("text")).alias("text_crc32"),
+        F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("row"))
+    assigned, _ = reshard_flow.assign(rows, shards=NEW_SHARDS)
+    return reshard_flow.with_slots(assigned).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+def op9_simhash_pivots(spark, sf_dir):
+    found = simhash_pivots.components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_ledger, op5_benchmark_windows,
+    op1_secret_ledger, op3_harmonic_packing, op5_benchmark_windows, op6_flow_resharding,
+    op9_simhash_pivots,
 )}
