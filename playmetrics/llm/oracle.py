@@ -60,5 +60,21 @@ _OP5 = r"""WITH
     FROM W LEFT JOIN P USING (doc_id) LEFT JOIN I USING (doc_id)"""
 
 
+_OP4 = r"""WITH
+    W AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+            lambda x: x <> '') AS w FROM documents),
+    G AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (
+            SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM W)),
+    M AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY g) AS first FROM G),
+    R AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM M WHERE first < doc_id),
+    L AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM R GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(
+             list_transform(range(1, len(w) + 1), lambda i: {'i': i, 'w': w[i]}),
+             lambda x: NOT list_contains(gone, x.i)), lambda x: x.w) END, ' ')) AS kept_sha256
+    FROM W LEFT JOIN L USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ledger": _op1(), "op5_benchmark_windows": _OP5}
+    return {"op1_secret_ledger": _op1(), "op4_superkmer_dedup": _OP4,
+            "op5_benchmark_windows": _OP5}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from playmetrics.llm import (
     decontaminate, pack_harmonic, reshard_flow, secret_ledger, simhash_pivots,
+    superkmer_dedup,
 )
 from playmetrics.llm.common import read_table, text_of
 
@@ -25,6 +26,11 @@ def op1_secret_ledger(spark, sf_dir):
         secret_ledger.span_text(F.col("spans")).alias("spans"))
 
 
+def op4_superkmer_dedup(spark, sf_dir):
+    left = superkmer_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_benchmark_windows(spark, sf_dir):
     found = decontaminate.verdict(decontaminate.find_contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
@@ -63,6 +69,6 @@ def op9_simhash_pivots(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_ledger, op3_harmonic_packing, op5_benchmark_windows, op6_flow_resharding,
-    op9_simhash_pivots,
+    op1_secret_ledger, op3_harmonic_packing, op4_superkmer_dedup,
+    op5_benchmark_windows, op6_flow_resharding, op9_simhash_pivots,
 )}
