@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playmetrics.llm import (
-    decontaminate, pack_harmonic, reshard_flow, secret_ledger, simhash_pivots,
-    superkmer_dedup,
+    decontaminate, lattice_lm, pack_harmonic, quality_rff, reshard_flow, secret_ledger,
+    simhash_pivots, superkmer_dedup,
 )
 from playmetrics.llm.common import read_table, text_of
 
@@ -62,6 +62,16 @@ def op6_flow_resharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
+def op7_rff_quality(spark, sf_dir):
+    scored = quality_rff.score_documents(read_table(spark, sf_dir, "documents"),
+                                         read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op8_lattice_likelihood(spark, sf_dir):
+    return lattice_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_pivots(spark, sf_dir):
     found = simhash_pivots.components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -70,5 +80,6 @@ def op9_simhash_pivots(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_ledger, op3_harmonic_packing, op4_superkmer_dedup,
-    op5_benchmark_windows, op6_flow_resharding, op9_simhash_pivots,
+    op5_benchmark_windows, op6_flow_resharding, op7_rff_quality,
+    op8_lattice_likelihood, op9_simhash_pivots,
 )}
