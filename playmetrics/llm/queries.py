@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playmetrics.llm import (
-    decontaminate, lattice_lm, pack_harmonic, quality_rff, reshard_flow, secret_ledger,
-    simhash_pivots, superkmer_dedup,
+    decontaminate, lattice_lm, pack_harmonic, perplexity_rules, quality_rff, reshard_flow,
+    secret_ledger, simhash_pivots, superkmer_dedup,
 )
 from playmetrics.llm.common import read_table, text_of
 
@@ -40,6 +40,12 @@ def op5_benchmark_windows(spark, sf_dir):
         "contaminated")
 
 
+def op2_perplexity_bands(spark, sf_dir):
+    judged = perplexity_rules.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op3_harmonic_packing(spark, sf_dir):
     pieces = pack_harmonic.pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -79,7 +85,7 @@ def op9_simhash_pivots(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_ledger, op3_harmonic_packing, op4_superkmer_dedup,
+    op1_secret_ledger, op2_perplexity_bands, op3_harmonic_packing, op4_superkmer_dedup,
     op5_benchmark_windows, op6_flow_resharding, op7_rff_quality,
     op8_lattice_likelihood, op9_simhash_pivots,
 )}
