@@ -85,3 +85,15 @@ def null_back(ids, pa):
     """int64 to Arrow, ``NULL_ID`` as null."""
     ids = np.asarray(ids, dtype=np.int64)
     return pa.array(ids, mask=ids == NULL_ID)
+
+
+def slices(batch, column: int, most: int):
+    """``batch`` in slices of about ``most`` bytes of a binary column, so that memory is bounded."""
+    start, held = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        held += len(text.as_buffer())
+        if held > most:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(batch):
+        yield batch.slice(start)

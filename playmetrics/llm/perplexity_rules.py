@@ -26,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from playmetrics.llm.common import text_of, write_table
+from playmetrics.llm.common import slices, text_of, write_table
 
 ORDER, BITS = 4, 12
 SYMBOLS = b"#*$%&|<>"
-#: Characters that are worked on together.
-CHUNK = 3_000_000
+#: Bytes of text that are worked on together.
+CHUNK = 1_500_000
+#: Entries that a task gathers before it merges them; it sends them on beyond four times that.
+HELD = 1_000_000
 
 
 def codes(text: bytes) -> np.ndarray:
@@ -56,21 +58,12 @@ def grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_language(langs, texts):
-    """Groups of row numbers: one language, about CHUNK characters."""
+    """Row numbers of the texts of each language that are not empty."""
     groups: dict[str, list[int]] = {}
     for i, (lang, text) in enumerate(zip(langs, texts)):
         if len(text):
             groups.setdefault(lang, []).append(i)
-    for lang, rows in groups.items():
-        part, held = [], 0
-        for i in rows:
-            part.append(i)
-            held += len(texts[i])
-            if held > CHUNK:
-                yield lang, part
-                part, held = [], 0
-        if part:
-            yield lang, part
+    return groups.items()
 
 
 def _count(batches):
@@ -88,14 +81,14 @@ def _count(batches):
                 [pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[a:a + 100_000])],
                 ["lang", "key", "n"])
 
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, 1, CHUNK)):
         texts = [codes(t.as_py()) for t in b.column(1)]
         for lang, rows in _by_language(b.column(0).to_pylist(), texts):
             parts = total.setdefault(lang, [])
             parts.append(np.unique(grams([texts[i] for i in rows])[0], return_counts=True))
-            if len(parts) > 8:
+            if sum(len(k) for k, _ in parts[1:]) > HELD:
                 total[lang] = [merged(parts)]
-                if len(total[lang][0][0]) > 4_000_000:  # bounded memory
+                if len(total[lang][0][0]) > 4 * HELD:
                     yield from out(lang, total.pop(lang))
     for lang, parts in total.items():
         yield from out(lang, parts)
@@ -228,7 +221,7 @@ def _score(arrays, hash_bits: int):
              "log_perplexity"]
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 2, CHUNK)):
             raw = [t.as_py() for t in b.column(2)]
             rules = list(zip(*map(text_rules, raw))) if raw else [[]] * 5
             texts, langs = [codes(t) for t in raw], b.column(1).to_pylist()
