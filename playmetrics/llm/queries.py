@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from playmetrics.llm import (
     decontaminate, lattice_lm, pack_harmonic, perplexity_rules, quality_rff, reshard_flow,
-    secret_ledger, simhash_pivots, superkmer_dedup,
+    secret_ledger, simhash_pivots, suffix_dedup, superkmer_dedup,
 )
 from playmetrics.llm.common import read_table, text_of
 
@@ -84,8 +84,14 @@ def op9_simhash_pivots(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    left = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_ledger, op2_perplexity_bands, op3_harmonic_packing, op4_superkmer_dedup,
     op5_benchmark_windows, op6_flow_resharding, op7_rff_quality,
-    op8_lattice_likelihood, op9_simhash_pivots,
+    op8_lattice_likelihood, op9_simhash_pivots, op10_suffix_dedup,
 )}

@@ -1,0 +1,96 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from playmetrics.llm import suffix_dedup as sd
+from playmetrics.llm.queries import op10_suffix_dedup
+
+
+def brute(docs, width):
+    """docs: [(id, text)] -> [(id, n_bytes, n_removed, n_spans, kept)]"""
+    rows = [(-1 if i is None else i, (t or "").encode()) for i, t in docs]
+    least = {}
+    for i, t in rows:
+        for k in range(len(t) - width + 1):
+            g = t[k:k + width]
+            least[g] = min(least.get(g, i), i)
+    out = []
+    for (i, _), (key, t) in zip(docs, rows):
+        gone, seen = np.zeros(len(t) + 1, bool), set()
+        for k in range(len(t) - width + 1):
+            g = t[k:k + width]
+            if least[g] < key or g in seen:
+                gone[k:k + width] = True
+            seen.add(g)
+        gone[-1] = False
+        spans = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(t) else 0
+        kept = bytes(b for b, x in zip(t, gone) if not x)
+        out.append((i, len(t), int(gone.sum()), spans, kept))
+    return sorted(out, key=str)
+
+
+def run(df, **how):
+    return sorted(((*r[:4], bytes(r[4])) for r in sd.remove_repeats(df, **how).collect()), key=str)
+
+
+def test_suffix_order_against_sorting():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = ["".join(rng.choices("ab", k=rng.randint(1, 12))).encode() for _ in range(rng.randint(1, 7))]
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        lens = np.array([len(t) for t in texts])
+        at = np.cumsum(lens) - lens
+        where, lcp = sd.suffix_order(flat, at, lens)
+        suffixes = sorted((t[k:], n) for n, t in enumerate(texts) for k in range(len(t) + 1))
+        # ends are smaller than symbols and ordered by text; equal suffixes keep the order of texts
+        want = [s for s, _ in suffixes]
+        by_text = []
+        for k, w in enumerate(where.tolist()):
+            options = [flat[w:a + n].tobytes() for a, n in zip(at, lens) if a <= w <= a + n]
+            assert want[k] in options
+            by_text.append(want[k])
+        common = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                        for a, b in zip(by_text, by_text[1:])]
+        assert lcp.tolist() == common
+
+
+@pytest.mark.parametrize("chunk", [300, 100_000])
+def test_random_documents(spark, chunk):
+    rng = random.Random(chunk)
+    passages = ["".join(rng.choices("abcé ", k=60)) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(passages)[rng.randrange(20):] if rng.random() < .5
+                 else "".join(rng.choices("abcé ", k=rng.randrange(40))) for _ in range(rng.randrange(5))]
+        docs.append((rng.randrange(40), "".join(parts)))
+    docs += [(50, "abc" * 100), (51, "x" * 200), (52, "ab" * 40 + "c" + "ab" * 40), (None, passages[0]),
+             (None, passages[0] + "!"), (53, None), (54, ""), (55, "short")]
+    docs += docs[:8]  # repeated rows
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "1 AS bucket", "'x' AS h").repartition(3)
+    got = run(df, width=20, gram=6, buckets=5, chunk=chunk)
+    assert got == brute(docs, 20)
+
+
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in op10_suffix_dedup(spark, d).collect()), key=str)
+    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(docs, 100)]
+    assert got == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    assert run(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_collections_are_cut_at_minimisers(monkeypatch):
+    monkeypatch.setattr(sd, "COLLECTION", 50)
+    text = b"abcdefghijklmnopqrstuvwxyz"
+    n, width = 6, 10
+    flat = np.frombuffer(b"".join(text[k:k + 15] for k in range(n)), np.uint8)
+    one = np.ones(n, np.int64)
+    spans = sd.repeated_in(np.arange(n), one, 0 * one, 15 * one, one.astype(np.uint32), one == 0, flat, width)
+    assert [list(map(int, s)) for s in zip(*spans)] == [[k, 1, 0, 14] for k in range(1, n)]
