@@ -40,8 +40,10 @@ from playmetrics.llm.superkmer_dedup import mixed, ragged, sliding_min
 
 #: Bytes of text that a task works on together.
 CHUNK = 2_500_000
+#: Bytes of segments that a task gathers before it packs them for their buckets.
+PACK = 48_000_000
 #: Bytes of segments whose transform is built together.
-COLLECTION = 1_500_000
+COLLECTION = 250_000
 DONE = 255  # never a byte of UTF-8
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
@@ -68,11 +70,13 @@ class Hashes:
         return mixed((self.sums[width:] - self.sums[:-width]) * self.up[:len(self.sums) - width])
 
 
-def equal_ranges(flat, a, b, lens) -> np.ndarray:
-    if not len(a):
-        return np.zeros(0, bool)
-    same = flat[ragged(a, lens)] == flat[ragged(b, lens)]
-    return np.logical_and.reduceat(same, np.cumsum(lens) - lens)
+def equal_ranges(flat, a, b, lens, step: int = 20_000) -> np.ndarray:
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), step):  # bounded memory
+        n = lens[k:k + step]
+        same = flat[ragged(a[k:k + step], n)] == flat[ragged(b[k:k + step], n)]
+        out[k:k + step] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
 
 
 def first_equal(flat, at, lens, hashes) -> np.ndarray:
@@ -89,12 +93,14 @@ def first_equal(flat, at, lens, hashes) -> np.ndarray:
 
 
 def segments(flat, piece, hashes: Hashes, width: int, gram: int):
-    """(start, strings, minimiser, periodic) of the segments; ``piece``: number of each byte's text."""
+    """(start, strings, minimiser, its place, periodic) of the segments.
+
+    ``piece``: number of each byte's text. Place: the minimiser's first, from the start."""
     n = len(flat) - width + 1
     span = width - gram + 1  # grams in a string
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return empty, empty, np.zeros(0, np.uint64), empty, np.zeros(0, bool)
     grams = hashes.every(gram)
     least = sliding_min(grams, span)
     inside = piece[:n] == piece[width - 1:]
@@ -112,17 +118,25 @@ def segments(flat, piece, hashes: Hashes, width: int, gram: int):
     pair = np.flatnonzero(grams[at[1:]] == grams[at[:-1]])
     left, right = np.append(at[:-1][pair], 2 ** 60), np.append(at[1:][pair], 2 ** 60)
     periodic = right[np.searchsorted(left, starts)] <= starts + count - 1 + span - 1
-    return starts, count, least[starts], periodic
+    here = np.searchsorted(at, starts)
+    while len(wrong := np.flatnonzero(grams[at[here]] != least[starts])):
+        here[wrong] += 1
+    return starts, count, least[starts], at[here] - starts, periodic
 
 
 def suffix_order(flat: np.ndarray, at: np.ndarray, lens: np.ndarray):
-    """(positions, common prefixes) of all suffixes of the texts flat[at:at + len], sorted.
+    """(text, place, common prefix) of all suffixes of the texts flat[at:at + len], sorted.
 
     Ends are smaller than any symbol and differ from each other. Texts are under 255 long.
     """
     n = len(at)
-    symbol = np.where(lens > 0, flat[np.maximum(at + lens - 1, 0)], DONE).astype(np.uint8)
-    bwt, lcp, where = symbol, np.zeros(n, np.uint8), (at + lens).astype(np.int64)
+    # the texts on their own, each after the one before and with a place for its end
+    begin_of = np.cumsum(lens + 1) - lens - 1
+    places = ragged(begin_of, lens)
+    previous = np.full(int((lens + 1).sum()), DONE, np.uint8)
+    previous[places + 1] = flat[ragged(at, lens)]
+    where = (begin_of + lens).astype(np.int32)
+    bwt, lcp = previous[where], np.zeros(n, np.uint8)
     newest = np.arange(n)
     for r in range(1, int(lens.max()) + 1 if n else 1):
         live = np.flatnonzero(lens >= r)
@@ -132,37 +146,31 @@ def suffix_order(flat: np.ndarray, at: np.ndarray, lens: np.ndarray):
         order = order[:begin[DONE]]
         p = newest[live]
         c = bwt[p].astype(np.int64)
-        rank = np.empty(len(live), np.int64)
-        for s in np.unique(c).tolist():
-            mine = c == s
-            rank[mine] = begin[s] + np.searchsorted(order[begin[s]:begin[s + 1]], p[mine])
+        ranks = np.empty(len(bwt), np.int32)
+        ranks[order] = np.arange(len(order), dtype=np.int32)
+        rank = ranks[p].astype(np.int64)
         by_rank = np.argsort(rank)
         live, p, c, rank = live[by_rank], p[by_rank], c[by_rank], rank[by_rank]
-        # common prefix with the one before, and of the one after with it
+            # common prefix with the one before, and of the one after with it
         before = np.where(rank > begin[c], order[np.maximum(rank - 1, 0)], -1)
         after = np.where(rank + 1 < begin[c + 1], order[np.minimum(rank + 1, len(order) - 1)], -1)
         low = _range_minima(lcp, before, p)
         high = _range_minima(lcp, p, after)
-        # one pass from front to back: old entries in order, the new ones at their places
+        # from front to back: each suffix is one symbol longer than the one of its rank
         place = n + rank
-        old = np.ones(len(bwt) + len(live), bool)
+        where = np.concatenate((where[:n], where[order] - 1))
+        bwt = np.concatenate((bwt[:n], previous[where[n:]]))
+        old = np.ones(len(bwt), bool)
         old[place] = False
-        symbol = np.where(lens[live] > r, flat[np.maximum(at[live] + lens[live] - r - 1, 0)], DONE)
-        bwt, lcp, where = (_merged(old, place, x, y) for x, y in (
-            (bwt, symbol), (lcp, low), (where, at[live] + lens[live] - r)))
+        grown = np.empty(len(bwt), np.uint8)
+        grown[old], grown[place] = lcp, low
+        lcp = grown
         then = place + 1 < len(lcp)
         lcp[place[then] + 1] = high[then]
         lcp[place] = low  # a new one right after a new one has the same value from both sides
-        newest = np.flatnonzero(old)[newest]
         newest[live] = place
-    return where, lcp
-
-
-def _merged(old, place, x, y):
-    out = np.empty(len(old), x.dtype)
-    out[old] = x
-    out[place] = y
-    return out
+    text = np.repeat(np.arange(n), lens + 1)[where]
+    return text, where - begin_of[text], lcp
 
 
 def _range_minima(lcp, a, b) -> np.ndarray:
@@ -204,8 +212,9 @@ def merge_spans(doc, h, a, b):
     return doc[new], h[new], a[new], np.maximum.reduceat(b, np.flatnonzero(new))
 
 
-def _chunk(pieces, width: int, gram: int, buckets: int):
-    """pieces: [(id, text hash, offset, bytes)]; yields (bucket, kind, payload)."""
+def _chunk(pieces, width: int, gram: int):
+    """pieces: [(id, text hash, offset, bytes)]: spans found, and the segments to send as
+    (doc, h, start, len, minimiser, place, periodic, hash, bytes)."""
     pieces = sorted(pieces, key=lambda x: x[:3])
     flat = np.frombuffer(b"".join(x[3] for x in pieces), np.uint8)
     size = np.array([len(x[3]) for x in pieces])
@@ -213,61 +222,86 @@ def _chunk(pieces, width: int, gram: int, buckets: int):
     doc, h, offset = (np.array([x[k] for x in pieces], np.int64) for k in range(3))
     offset = offset - (np.cumsum(size) - size)  # from a place in flat to one in the text
     hashes = Hashes(flat)
-    at, count, least, periodic = segments(flat, piece, hashes, width, gram)
-    if not len(at):
-        return
+    at, count, least, place, periodic = segments(flat, piece, hashes, width, gram)
     lens = count + width - 1
-    lead = first_equal(flat, at, lens, hashes.of(at, lens))
+    whole = hashes.of(at, lens)
+    lead = first_equal(flat, at, lens, whole)
     t, u = piece[at], piece[at[lead]]
     gone = (doc[t] > doc[u]) | ((doc[t] == doc[u]) & (h[t] == h[u]) & (lead != np.arange(len(at))))
-    if gone.any():
-        a = at[gone] + offset[t[gone]]
-        spans = merge_spans(doc[t[gone]], h[t[gone]], a, a + lens[gone])
-        yield int(least[0] % np.uint64(buckets)), 1, b"".join(c.astype(np.int64).tobytes()
-                                                              for c in spans)
-    at, lens, least, periodic, t = (x[~gone] for x in (at, lens, least, periodic, t))
+    a = at[gone] + offset[t[gone]]
+    spans = merge_spans(doc[t[gone]], h[t[gone]], a, a + lens[gone])
+    k = ~gone
+    at, lens, t = at[k], lens[k], t[k]
+    return spans, (doc[t], h[t], at + offset[t], lens, least[k], place[k], periodic[k],
+                   (whole[k] >> np.uint64(32)).astype(np.uint32), flat[ragged(at, lens)])
+
+
+def _packed(spans, sent, buckets: int):
+    """Rows (bucket, kind, payload) of what `_chunk` gave for some chunks."""
+    spans = merge_spans(*(np.concatenate(x) for x in zip(*spans)))
+    if len(spans[0]):
+        yield int(spans[1][0] % buckets), 1, b"".join(c.astype(np.int64).tobytes() for c in spans)
+    doc, h, start, lens, least, place, periodic, whole, flat = (
+        np.concatenate(x) for x in zip(*sent))
+    if not len(doc):
+        return
+    at = np.cumsum(lens) - lens
     bucket = (least % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((least, bucket))
     edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        some = order[a:z]
-        used, text = np.unique(t[some], return_inverse=True)
+        k = order[a:z]
+        # texts by number: the neighbours in `sent` that are of one text
+        by_text = np.sort(k)
+        new = np.concatenate(([True], (doc[by_text][1:] != doc[by_text][:-1])
+                              | (h[by_text][1:] != h[by_text][:-1])))
+        text = np.empty(len(k), np.int64)
+        text[np.argsort(k)] = np.cumsum(new) - 1
+        used = by_text[new]
         raw = b"".join([
-            struct.pack("<qqq", len(some), len(used), int(lens[some].sum())),
+            struct.pack("<qqq", len(k), len(used), int(lens[k].sum())),
             doc[used].tobytes(), h[used].tobytes(), text.astype(np.int32).tobytes(),
-            (at[some] + offset[t[some]]).astype(np.int64).tobytes(),
-            lens[some].astype(np.uint16).tobytes(),
-            (least[some] >> np.uint64(32)).astype(np.uint32).tobytes(),
-            periodic[some].astype(np.uint8).tobytes(), flat[ragged(at[some], lens[some])].tobytes()])
-        yield int(bucket[some[0]]), 0, struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(
+            start[k].astype(np.int64).tobytes(), lens[k].astype(np.uint16).tobytes(),
+            (least[k] >> np.uint64(32)).astype(np.uint32).tobytes(), place[k].astype(
+                np.uint16).tobytes(), periodic[k].astype(np.uint8).tobytes(), whole[k].tobytes(),
+            flat[ragged(at[k], lens[k])].tobytes()])
+        yield int(bucket[k[0]]), 0, struct.pack("<q", len(raw)) + pa.Codec("zstd", 3).compress(
             raw, asbytes=True)
 
 
 def _unpacked(blob: bytes):
     raw = pa.Codec("zstd").decompress(blob[8:], struct.unpack("<q", blob[:8])[0], asbytes=True)
     n, texts, size = struct.unpack("<qqq", raw[:24])
-    place = 24
+    at = 24
     out = []
     for kind, many in ((np.int64, texts), (np.int64, texts), (np.int32, n), (np.int64, n),
-                       (np.uint16, n), (np.uint32, n), (np.uint8, n), (np.uint8, size)):
-        out.append(np.frombuffer(raw, kind, many, place))
-        place += out[-1].nbytes
-    doc, h, text, start, lens, tag, periodic, flat = out
-    return doc[text], h[text], start, lens.astype(np.int64), tag, periodic.astype(bool), flat
+                       (np.uint16, n), (np.uint32, n), (np.uint16, n), (np.uint8, n),
+                       (np.uint32, n), (np.uint8, size)):
+        out.append(np.frombuffer(raw, kind, many, at))
+        at += out[-1].nbytes
+    doc, h, text, start, lens, tag, place, periodic, whole, flat = out
+    return (doc[text], h[text], start, lens.astype(np.int64), tag, place.astype(np.int64),
+            periodic.astype(bool), whole, flat)
 
 
 def _segments_sent(width: int, gram: int, buckets: int, chunk: int):
     def run(batches):
-        pieces, held, seen = [], 0, set()
+        pieces, held, seen, spans, sent = [], 0, set(), [], []
 
-        def flush():
-            rows = list(_chunk(pieces, width, gram, buckets))
+        def work():
+            found, segments_ = _chunk(pieces, width, gram)
+            spans.append(found)
+            sent.append(segments_)
             pieces.clear()
             seen.clear()
-            if rows:
-                b, k, p = zip(*rows)
+
+        def flush():
+            rows = list(_packed(spans, sent, buckets))
+            spans.clear()
+            sent.clear()
+            for b, k, p in rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b, pa.int32()), pa.array(k, pa.int8()), pa.array(p, pa.binary())],
+                    [pa.array([b], pa.int32()), pa.array([k], pa.int8()), pa.array([p], pa.binary())],
                     ["bucket", "kind", "payload"])
 
         for batch in batches:
@@ -281,55 +315,74 @@ def _segments_sent(width: int, gram: int, buckets: int, chunk: int):
                     pieces.append((key, h, a, text[a:a + chunk + width - 1]))
                     held += len(pieces[-1][3])
                     if held > chunk:
-                        yield from flush()
+                        work()
                         seen.add((key, h))
                         held = 0
+                        if sum(len(x[-1]) for x in sent) > PACK:
+                            yield from flush()
         if pieces:
+            work()
+        if sent:
             yield from flush()
 
     return run
 
 
-def repeated_in(doc, h, start, lens, tag, periodic, flat, width: int):
+def may_repeat(tag, place, periodic, at, lens, flat, width: int, gram: int) -> np.ndarray:
+    """Segments that may share a string with another one, or have one twice.
+
+    A string that two segments share holds the minimiser at the same place, and half of
+    its other bytes or more lie on one side of it: the segments agree there. A minimiser that
+    some segment has twice takes all its segments.
+    """
+    _, number, many = np.unique(tag, return_inverse=True, return_counts=True)
+    out = np.bincount(number, periodic, len(many))[number] > 0
+    k = np.flatnonzero((many[number] > 1) & ~out)
+    half = (width - gram + 1) // 2
+    for a, z in ((place[k] - half, place[k] + gram), (place[k], place[k] + gram + half)):
+        fits = np.flatnonzero((a >= 0) & (z <= lens[k]))
+        if not len(fits):
+            continue
+        rows = flat[(at[k] + a)[fits][:, None] + np.arange(gram + half)[None, :]].astype(np.uint64)
+        h = mixed((rows + np.uint64(1)) @ powers(_R, gram + half)) ^ tag[k[fits]].astype(np.uint64)
+        _, same, times = np.unique(h, return_inverse=True, return_counts=True)
+        out[k[fits[times[same] > 1]]] = True
+    return out
+
+
+def repeated_in(doc, h, start, lens, tag, place, periodic, whole, flat, width: int, gram: int):
     """Spans (doc, h, start, end) of the repeated strings of one bucket's segments."""
     order = np.lexsort((start, h, doc))
     at = (np.cumsum(lens) - lens)[order]
-    doc, h, start, lens, tag, periodic = (x[order] for x in (doc, h, start, lens, tag, periodic))
-    lead = first_equal(flat, at, lens, Hashes(flat).of(at, lens))
+    doc, h, start, lens, tag, place, periodic, whole = (
+        x[order] for x in (doc, h, start, lens, tag, place, periodic, whole))
+    lead = first_equal(flat, at, lens, (tag.astype(np.uint64) << np.uint64(32)) | whole)
     here = (doc == doc[lead]) & (h == h[lead])
     gone = (doc > doc[lead]) | (here & (start > start[lead]))
     found = [(doc[gone], h[gone], start[gone], start[gone] + lens[gone])]
     gone |= here & (lead != np.arange(len(lead)))  # the same place, from a repeated row
-    doc, h, start, lens, tag, periodic, at = (
-        x[~gone] for x in (doc, h, start, lens, tag, periodic, at))
-    _, number, many = np.unique(tag, return_inverse=True, return_counts=True)
-    some = np.flatnonzero((many[number] > 1) | periodic)
-    some = some[np.argsort(number[some], kind="stable")]
+    doc, h, start, lens, tag, place, periodic, at = (
+        x[~gone] for x in (doc, h, start, lens, tag, place, periodic, at))
+    some = np.flatnonzero(may_repeat(tag, place, periodic, at, lens, flat, width, gram))
+    some = some[np.argsort(tag[some], kind="stable")]
     # whole minimisers together, about COLLECTION bytes at a time
-    total = np.cumsum(lens[some])
-    batch = total // COLLECTION
-    same = np.concatenate(([False], number[some][1:] == number[some][:-1]))
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(some)))) if len(some) else some
-    batch = batch[lead]
-    edges = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1], [True]))) if len(
-        some) else np.zeros(1, int)
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+    batch = (np.cumsum(lens[some]) // COLLECTION)
+    new = np.concatenate(([True], tag[some][1:] != tag[some][:-1]))[:len(some)]
+    batch = batch[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    edges = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1], [True])))
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()) if len(some) else ():
         s = some[a:z]
-        where, lcp = suffix_order(flat, at[s], lens[s])
-        group = np.cumsum(lcp < width)
-        repeat = lcp >= width
+        text, place, lcp = suffix_order(flat, at[s], lens[s])
+        group, repeat = np.cumsum(lcp < width), lcp >= width
         repeat[:-1] |= repeat[1:]
-        where, group = where[repeat], group[repeat]
-        by_place = np.argsort(at[s])
-        mine = s[by_place[np.searchsorted(at[s][by_place], where, side="right") - 1]]
-        begin = start[mine] + where - at[mine]
-        later = later_occurrences(group, doc[mine], h[mine], begin)
+        mine, begin = s[text[repeat]], start[s[text[repeat]]] + place[repeat]
+        later = later_occurrences(group[repeat], doc[mine], h[mine], begin)
         begin, mine = begin[later], mine[later]
         found.append((doc[mine], h[mine], begin, begin + width))
     return merge_spans(*(np.concatenate(x) for x in zip(*found)))
 
 
-def _bucket(width: int):
+def _bucket(width: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         spans, parts = [], []
         for kind, payload in zip(table.column("kind"), table.column("payload")):
@@ -339,7 +392,7 @@ def _bucket(width: int):
             else:
                 parts.append(_unpacked(blob))
         if parts:
-            spans.append(repeated_in(*(np.concatenate(x) for x in zip(*parts)), width))
+            spans.append(repeated_in(*(np.concatenate(x) for x in zip(*parts)), width, gram))
         columns = [np.concatenate(x) for x in zip(*spans)] if spans else [np.zeros(0, np.int64)] * 4
         return pa.table({k: pa.array(c.astype(np.int64))
                          for k, c in zip(("id", "h", "start", "end"), columns)})
@@ -353,12 +406,12 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100
 
     ``h``: XXH64 of the text, so that rows with equal ids stay apart; a null id is ``NULL_ID``.
     """
-    buckets = buckets or 2 * shuffle_partitions(docs.sparkSession)
+    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col))
                        .alias("h"), text_of(text_col).cast("binary").alias("text"))
     sent = rows.mapInArrow(_segments_sent(width, gram, buckets, chunk),
                            "bucket int, kind byte, payload binary")
-    return sent.groupBy("bucket").applyInArrow(_bucket(width),
+    return sent.groupBy("bucket").applyInArrow(_bucket(width, gram),
                                                "id long, h long, start long, end long")
 
 
