@@ -55,13 +55,19 @@ def powers(r: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+#: Powers of ``_R`` and of its inverse, as many as were needed so far.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 class Hashes:
     """Hashes of any ranges of ``flat`` in constant time; wraps on purpose."""
 
     def __init__(self, flat: np.ndarray):
-        self.up = powers(_R, len(flat) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(
-            (flat.astype(np.uint64) + np.uint64(1)) * powers(_RI, len(flat) + 1)[:-1])))
+        if len(_POWERS[0]) <= len(flat):
+            _POWERS[:] = [powers(r, len(flat) + len(flat) // 8 + 1) for r in (_R, _RI)]
+        self.up, down = _POWERS
+        self.sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * down[:len(flat)], out=self.sums[1:])
 
     def of(self, starts, lens) -> np.ndarray:
         return mixed((self.sums[starts + lens] - self.sums[starts]) * self.up[starts])
@@ -105,12 +111,14 @@ def segments(flat, piece, hashes: Hashes, width: int, gram: int):
     least = sliding_min(grams, span)
     inside = piece[:n] == piece[width - 1:]
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (piece[1:n] != piece[:n - 1])
-                          | ~inside[:-1]))
-    run = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    new |= (np.arange(n) - run) % span == 0  # long runs of one minimiser are cut
-    starts = np.flatnonzero(new & inside)
-    edges = np.flatnonzero(np.concatenate((new | ~inside, [True])))
-    count = edges[np.searchsorted(edges, starts, side="right")] - starts
+                          | (inside[1:] != inside[:-1])))
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, n))[inside[starts]]
+    starts = starts[inside[starts]]
+    parts = -(-count // span)  # long runs of one minimiser are cut
+    nth = ragged(np.zeros(len(parts), np.int64), parts)
+    count = np.minimum(np.repeat(count, parts) - nth * span, span)
+    starts = np.repeat(starts, parts) + nth * span
     # a minimiser twice in a segment: only then can the segment repeat a string of its own
     most = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
     most = ~sliding_min(~most, span)  # the largest minimum of the strings that hold a gram
@@ -155,19 +163,20 @@ def suffix_order(flat: np.ndarray, at: np.ndarray, lens: np.ndarray):
         before = np.where(rank > begin[c], order[np.maximum(rank - 1, 0)], -1)
         after = np.where(rank + 1 < begin[c + 1], order[np.minimum(rank + 1, len(order) - 1)], -1)
         low = _range_minima(lcp, before, p)
-        high = _range_minima(lcp, p, after)
+        # only where the one after was there before: a new one after a new one has its own
+        alone = np.concatenate((rank[1:] != rank[:-1] + 1, [True]))
+        high = _range_minima(lcp, p, np.where(alone, after, -1))
         # from front to back: each suffix is one symbol longer than the one of its rank
         place = n + rank
-        where = np.concatenate((where[:n], where[order] - 1))
-        bwt = np.concatenate((bwt[:n], previous[where[n:]]))
+        where = np.concatenate((where[:n], np.take(where, order) - 1))
+        bwt = np.concatenate((bwt[:n], np.take(previous, where[n:])))
         old = np.ones(len(bwt), bool)
         old[place] = False
         grown = np.empty(len(bwt), np.uint8)
         grown[old], grown[place] = lcp, low
         lcp = grown
-        then = place + 1 < len(lcp)
+        then = alone & (place + 1 < len(lcp))
         lcp[place[then] + 1] = high[then]
-        lcp[place] = low  # a new one right after a new one has the same value from both sides
         newest[live] = place
     text = np.repeat(np.arange(n), lens + 1)[where]
     return text, where - begin_of[text], lcp
