@@ -9,13 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playmetrics.llm import decontaminate, secret_ledger
+from playmetrics.llm import (
+    decontaminate, pack_harmonic, quality_rff, secret_ledger, simhash_pivots,
+)
 from playmetrics.llm.common import read_table, write_table
 
 #: Not expressible in SQL: the classifier, the packing. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.7 or more, learnt from the table's labels."""
+    return quality_rff.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group whose fingerprints link."""
+    return simhash_pivots.drop_near_duplicates(docs, width=3, limit=2)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those contaminated by a benchmark item."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -26,7 +38,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_ledger.redact_secrets(docs, "doc_id", "text")
 
 
-STAGES = [("benchmark", benchmark), ("secrets", secrets)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    return pack_harmonic.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark),
+          ("secrets", secrets), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
