@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from playmetrics.functions.text import damage_text, repair_text
 from playmetrics.operators import artists, cleaning as cl, distinct, geo, songs, subs, users
 from playmetrics.plans import rollups
-from playmetrics.sources import testview as tv
+from playmetrics.sources import read_events, state_dim, testview as tv
+from playmetrics.sources.schemas import US_STATES, US_TERRITORIES
 
 try:  # the training-data operators are optional; nothing else here needs them
     import corpus_pipeline
@@ -42,6 +43,11 @@ SUBSET_STATE = "NATION_3"
 SIZE_RANGE = (10, 20)
 PRICE_RANGE = (920.0, 960.0)
 LOOKUP_USER = "17"
+# Of the harder view: a state, an artist, and a bound that splits the users of sf0.01 (1,500 with
+# 60,000 listens) into hot and cold ones.
+HARD_STATE = "CA"
+HARD_SONG = "Brand#3"
+SPLIT_USERS = 1500
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -57,6 +63,17 @@ def _L(spark, d):
     return tv.listens(spark, d)
 
 
+def _H(spark, d):
+    return tv.hard_listens(spark, d)
+
+
+def _hard_counts(spark, d):
+    """Listens of one brand by US state, in the shape of an artist's counts."""
+    listens = _H(spark, d)
+    by_brand = listens.withColumn("artist", listens["song"])
+    return artists.artist_by_state(by_brand, HARD_SONG)
+
+
 def _map_table(spark, d, artist=ARTIST):
     counts = artists.artist_by_state(_L(spark, d), artist)
     return geo.map_prep(counts, artist, tv.nation_dim(spark, d, with_regions=True))
@@ -118,6 +135,20 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # J4, P9, A11, P6
         "ever_paid_users": lambda s, d: users.ever_paid_users(_L(s, d)),
         "relabeled_listens": lambda s, d: users.relabel_ever_paid(_L(s, d)),
+        "relabeled_listens_split": lambda s, d: users.relabel_ever_paid(_L(s, d), SPLIT_USERS),
+        # the same operators on NULLs, fractions, more artists than the limit, US codes
+        "top50_binding": lambda s, d: artists.top_artists(_H(s, d), None, 50),
+        "kpis_nulls": lambda s, d: users.kpis(_H(s, d)),
+        "monthly_fractional": lambda s, d: users.monthly_listening(_H(s, d), HARD_STATE),
+        "top_artists_all_scopes_nulls": lambda s, d: rollups.top_artists_all_scopes(_H(s, d), 3),
+        "top_artists_all_scopes_deep": lambda s, d: rollups.top_artists_all_scopes(_H(s, d), 1001),
+        "map_prep_us": lambda s, d: geo.map_prep(_hard_counts(s, d), HARD_SONG, state_dim(s)),
+        "map_join_inline_57": lambda s, d: geo.map_join_inline(
+            _hard_counts(s, d), state_dim(s, include_territories=True)),
+        # A parquet feed through the reader
+        "read_parquet_feed": lambda s, d: read_events(
+            s, f"{d}/events.parquet", "event_id bigint, user_id bigint, event_type string, "
+            "value double", "parquet"),
         "monthly_listening": lambda s, d: users.monthly_listening(_L(s, d)),
         "monthly_listening_state": lambda s, d: users.monthly_listening(_L(s, d), STATE),
         # D1, D2, D3, D4, D5
@@ -218,6 +249,31 @@ _RAW_SQL = """R AS (
   JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey)"""
 
+_CODES = ", ".join(f"'{code}'" for _, code in US_STATES[:25])
+_H_SQL = f"""L AS (
+  SELECT CASE WHEN l_linenumber <> 7 THEN o_custkey END AS userId,
+         CASE WHEN l_linenumber <> 6 THEN p_name END AS artist, p_brand AS song,
+         CASE WHEN l_linenumber <> 5 THEN [{_CODES}][CAST(n_nationkey AS INTEGER) + 1] END AS state,
+         l_quantity + l_linenumber * 0.25::DOUBLE AS duration,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'paid' ELSE 'free' END AS subscription,
+         o_orderdate AS ts,
+         CAST(year(o_orderdate) AS INTEGER) AS year,
+         CAST(month(o_orderdate) AS INTEGER) AS month,
+         monthname(o_orderdate) AS month_name
+  FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey
+  JOIN part ON l_partkey = p_partkey
+  JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey)"""
+_HC_SQL = (f"C AS (SELECT song AS artist, state, count(*) AS listens FROM L "
+           f"WHERE song = '{HARD_SONG}' GROUP BY song, state)")
+
+
+def _states_sql(rows) -> str:
+    values = ", ".join("('{}', '{}')".format(n.replace("'", "''"), c) for n, c in rows)
+    return f"U AS (SELECT * FROM (VALUES {values}) AS t(NAME, state))"
+
+
 _AUDIT_SQL = """A AS (
   SELECT CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS userId,
          CAST(NULL AS VARCHAR) AS lastName, CAST(NULL AS VARCHAR) AS firstName,
@@ -310,6 +366,14 @@ def _top_songs_all_scopes_sql(level: str) -> str:
             "GROUP BY GROUPING SETS ((song), (state, song)))) WHERE rank <= 5")
 
 
+def _top_all_scopes_sql(n: int) -> str:
+    return (f"SELECT {_SCOPE}, CAST(rank AS INTEGER) AS rank, artist, listens FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY g, state ORDER BY listens DESC, "
+            "artist NULLS FIRST) AS rank FROM (SELECT state, artist, count(*) AS listens, "
+            "grouping(state) AS g FROM L GROUP BY GROUPING SETS ((artist), (state, artist))))"
+            f" WHERE rank <= {n}")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = core_oracle_sql()
     if corpus_pipeline is not None:
@@ -321,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
 
 def core_oracle_sql() -> dict[str, str]:
     wl = _with(_L_SQL)
+    wh = _with(_H_SQL)
     state = f"WHERE state = '{STATE}'"
     top10 = f"({_top_artists_sql()})"
     sql = {
@@ -378,6 +443,18 @@ def core_oracle_sql() -> dict[str, str]:
             "CASE WHEN userId IN (SELECT userId FROM L WHERE subscription = 'paid') "
             "THEN 'paid' ELSE subscription END AS subscription, ts, year, month, month_name "
             "FROM L",
+        "top50_binding": wh + _top_artists_sql(n=50),
+        "kpis_nulls": wh + _kpis_sql(),
+        "monthly_fractional": wh + _monthly_sql(f"WHERE state = '{HARD_STATE}'"),
+        "top_artists_all_scopes_nulls": wh + _top_all_scopes_sql(3),
+        "top_artists_all_scopes_deep": wh + _top_all_scopes_sql(1001),
+        "map_prep_us": _with(_H_SQL, _HC_SQL, _states_sql(US_STATES))
+            + f"SELECT coalesce(C.artist, '{HARD_SONG}') AS artist, U.state, "
+              "coalesce(C.listens, 0) AS listens, U.NAME FROM U LEFT JOIN C ON U.state = C.state",
+        "map_join_inline_57": _with(_H_SQL, _HC_SQL, _states_sql(US_STATES + US_TERRITORIES))
+            + "SELECT C.artist, C.state AS state_x, C.listens, U.NAME AS state_y "
+              "FROM U LEFT JOIN C ON U.state = C.state",
+        "read_parquet_feed": "SELECT event_id, user_id, event_type, value FROM events",
         "monthly_listening": wl + _monthly_sql(),
         "monthly_listening_state": wl + _monthly_sql(state),
         "distinct_values": _with(_AUDIT_SQL) + "SELECT DISTINCT success FROM A",
@@ -450,12 +527,7 @@ def core_oracle_sql() -> dict[str, str]:
         "repair_text_once": "SELECT doc_id, text FROM documents",
         "repair_text_compat": "SELECT doc_id, text FROM documents",
         "repair_text_clean_input": "SELECT doc_id, text FROM documents",
-        "top_artists_all_scopes": wl
-            + f"SELECT {_SCOPE}, CAST(rank AS INTEGER) AS rank, artist, listens FROM ("
-              "SELECT *, row_number() OVER (PARTITION BY g, state ORDER BY listens DESC, "
-              "artist) AS rank FROM (SELECT state, artist, count(*) AS listens, "
-              "grouping(state) AS g FROM L GROUP BY GROUPING SETS ((artist), (state, artist))))"
-              " WHERE rank <= 10",
+        "top_artists_all_scopes": wl + _top_all_scopes_sql(10),
         "top_free_songs_all_scopes": wl + _top_songs_all_scopes_sql("free"),
         "top_paid_songs_all_scopes": wl + _top_songs_all_scopes_sql("paid"),
         "subscription_breakdown_all_scopes": wl
@@ -479,6 +551,7 @@ def core_oracle_sql() -> dict[str, str]:
               "GROUP BY GROUPING SETS ((year, month, month_name, subscription), "
               "(state, year, month, month_name, subscription)))",
     }
+    sql["relabeled_listens_split"] = sql["relabeled_listens"]
     # the incremental paths must give exactly the direct results
     sql["kpis_all_scopes_from_fold"] = sql["kpis_all_scopes"]
     sql["top_artists_all_scopes_from_counts"] = sql["top_artists_all_scopes"]

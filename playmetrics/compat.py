@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import repair_text
 from .operators import artists, cleaning, distinct, geo, songs, subs, users
+from .operators.scope import is_national
 from .sources.dims import state_dim
 from .sources.events import read_listen_events
 
@@ -45,11 +46,7 @@ def map_prep_df(counts: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     counts themselves (a scalar subquery), or left NULL when they are empty."""
     dim = dim if dim is not None else state_dim(counts.sparkSession)
     artist: Column = counts.agg(F.max("artist")).scalar()
-    c = counts.select(F.col("artist").alias("__a"), "state", F.col("listens").alias("__l"))
-    joined = dim.select("NAME", "state").join(c, on="state", how="left")
-    return joined.select(F.coalesce(F.col("__a"), artist).alias("artist"), "state",
-                         F.coalesce(F.col("__l"), F.lit(0).cast("long")).alias("listens"),
-                         "NAME")
+    return geo.map_prep(counts, artist, dim)
 
 
 def make_map_df(mapped: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -57,7 +54,7 @@ def make_map_df(mapped: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def top_5(df: DataFrame) -> DataFrame:
-    return artists.top_n(df, 5)
+    return artists.top_n(df, 5, "listens", "state" if "state" in df.columns else "artist")
 
 
 def get_top_50(df: DataFrame, state: str) -> DataFrame:
@@ -65,7 +62,9 @@ def get_top_50(df: DataFrame, state: str) -> DataFrame:
     return artists.top_artists(df, state, 50).select("artist")
 
 
-get_top_100 = get_top_50
+def get_top_100(df: DataFrame, state: str) -> DataFrame:
+    """``Artist, Total Streams`` of the 100 most streamed artists of a scope."""
+    return artists.top_artists_display(df, state, 100)
 
 
 def calculate_kpis(df: DataFrame) -> DataFrame:
@@ -97,9 +96,14 @@ def fix_multiple_encoding(col: Column | str) -> Column:
     return repair_text(col, mode="compat")
 
 
+def _with_state(top: DataFrame, state: str) -> DataFrame:
+    """``state, song, listens`` for one state, ``song, listens`` for the nation."""
+    return top if is_national(state) else top.select(F.lit(state).alias("state"), *top.columns)
+
+
 def top_free_songs(df: DataFrame, state: str) -> DataFrame:
-    return songs.top_free_songs(df, state)
+    return _with_state(songs.top_free_songs(df, state), state)
 
 
 def top_paid_songs(df: DataFrame, state: str) -> DataFrame:
-    return songs.top_paid_songs(df, state)
+    return _with_state(songs.top_paid_songs(df, state), state)

@@ -54,11 +54,9 @@ def artists_over_count(df: DataFrame, threshold: int) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_artists")))
 
 
-def top_n(df: DataFrame, n: int = 5, measure: str = LISTENS,
-          tie: str | None = None) -> DataFrame:
-    """The ``n`` rows with the largest ``measure``."""
-    order = [F.desc(measure)] + ([F.asc(tie)] if tie else [])
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, n: int, measure: str, tie: str) -> DataFrame:
+    """The ``n`` rows with the largest ``measure``, ties by ``tie``."""
+    return df.orderBy(F.desc(measure), F.asc(tie)).limit(n)
 
 
 def top_artists(df: DataFrame, state: str | None = None, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ which broadcasts them when they fit and keeps a sort-merge join when not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import clipped_minmax
@@ -19,7 +19,7 @@ from ..sources.schemas import ALASKA_BOX, HAWAII_BOX
 LISTENS = "listens"
 
 
-def map_prep(counts: DataFrame, artist: str, dim: DataFrame) -> DataFrame:
+def map_prep(counts: DataFrame, artist: "str | F.Column", dim: DataFrame) -> DataFrame:
     """Every dimension state with the artist's listens, 0 where none.
 
     ``counts`` is the output of `artist_by_state` (``artist, state, listens``);
@@ -31,7 +31,8 @@ def map_prep(counts: DataFrame, artist: str, dim: DataFrame) -> DataFrame:
                       F.col(LISTENS).alias("__listens"))
     joined = dim.select("NAME", "state").join(c, on="state", how="left")
     return joined.select(
-        F.coalesce(F.col("__artist"), F.lit(artist)).alias("artist"),
+        F.coalesce(F.col("__artist"), artist if isinstance(artist, Column) else F.lit(artist))
+        .alias("artist"),
         "state",
         F.coalesce(F.col("__listens"), F.lit(0).cast("long")).alias(LISTENS),
         "NAME",

@@ -74,8 +74,8 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     paid_flag = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0))
     per_user = (df.groupBy("userId")
                 .agg(F.count(F.lit(1)).alias("__n"), paid_flag.alias("__paid")))
-    # the row count alone: no shuffle, and no column data read from parquet
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # from the per-user table, whose exchange it reuses: ``df`` is not computed again for it
+    total = per_user.agg(F.sum("__n")).scalar()
     is_hot = F.col("__n") * F.lit(max_hot_users) > total
     known = F.col("userId").isNotNull()
     hot = per_user.where(known & is_hot).select("userId", F.col("__paid").alias("__hot"))
@@ -98,14 +98,14 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     ])
 
 
-def _folded_with_ever_paid(df: DataFrame, keep_state: bool) -> DataFrame:
-    """One row per (user[, state], year, month, level) with summed duration and
+def _folded_with_ever_paid(df: DataFrame, *more_keys: str) -> DataFrame:
+    """One row per (user[, more keys], year, month, level) with summed duration and
     the level relabelled to 'paid' for users who ever paid.
 
     ``month_name`` is a function of (year, month), so it stays out of the fold
     keys (smaller shuffle rows) and is derived again by the caller.
     """
-    keys = ["userId"] + (["state"] if keep_state else []) + ["year", "month", "subscription"]
+    keys = ["userId", *more_keys, "year", "month", "subscription"]
     folded = df.groupBy(*keys).agg(F.sum("duration").alias("__dur"))
     paid_ever = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0)) \
         .over(Window.partitionBy("userId"))
@@ -128,8 +128,17 @@ def monthly_listening(df: DataFrame, state: str | None = None) -> DataFrame:
     relabel happens before the state filter, as in the original query.
     Columns ``year, month, month_name, subscription, total_duration``.
     """
-    relabeled = _folded_with_ever_paid(df, keep_state=not is_national(state))
-    return (in_scope(relabeled, state)
+    if is_national(state):
+        relabeled = _folded_with_ever_paid(df)
+    else:
+        # rows out of scope only say whether their user ever paid: without a month they
+        # fold to one row per (user, level), and the state is no fold key
+        inside = F.coalesce(F.col("state") == F.lit(state), F.lit(False))
+        flagged = df.select(
+            "userId", "subscription", inside.alias("__in"),
+            *[F.when(inside, F.col(c)).alias(c) for c in ("year", "month", "duration")])
+        relabeled = _folded_with_ever_paid(flagged, "__in").where("__in")
+    return (relabeled
             .groupBy("year", "month", "subscription")
             .agg((F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
             .select("year", "month", month_name_of().alias("month_name"), "subscription",

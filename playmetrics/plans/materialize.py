@@ -35,9 +35,14 @@ def _require_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
+    """Write ``df`` as parquet under the checkpoint folder and read it back.
+
+    With ``partition_by`` rows are first brought together by those columns (large groups are
+    split, small ones joined), so there are about as many files as groups, not tasks x groups."""
     spark = df.sparkSession
     path = f"{_require_dir(spark)}/playmetrics/{name}-{uuid.uuid4().hex}"
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -66,15 +71,19 @@ def materialize_dashboard(clean_df: DataFrame, name: str = "dashboard",
 
 
 def append_tile_parts(new_listens: DataFrame, name: str = "dashboard") -> dict[str, str]:
-    """Append the additive tables of a batch of cleaned listens (typically one
-    new month) under ``<checkpoint dir>/playmetrics/<name>-parts/``; returns
-    their paths. Batches must not overlap in time."""
+    """Put the additive tables of a batch of cleaned listens, whole months, under
+    ``<checkpoint dir>/playmetrics/<name>-parts/``; returns their paths.
+
+    Each month of the batch replaces that month's partition, so running a batch again, also
+    after a crash between the two tables, changes nothing else; other months stay."""
     from .rollups import listen_counts, user_month_fold
 
     base = f"{_require_dir(new_listens.sparkSession)}/playmetrics/{name}-parts"
     paths = {"counts": f"{base}/listen_counts", "fold": f"{base}/user_month_fold"}
-    listen_counts(new_listens).write.mode("append").parquet(paths["counts"])
-    user_month_fold(new_listens).write.mode("append").parquet(paths["fold"])
+    for table, path in ((listen_counts(new_listens), paths["counts"]),
+                        (user_month_fold(new_listens), paths["fold"])):
+        (table.hint("rebalance", "year", "month").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path))
     return paths
 
 

@@ -6,10 +6,10 @@ grouping sets ``(keys)`` and ``(state, keys)``; ``scope`` is the state, or
 'Nationwide' for the national grouping (told apart from a NULL state by
 ``grouping(state)``).
 
-Top-N per scope uses ``row_number() <= n`` over a window partitioned by
-scope. Spark plans this with a partial window-group-limit before the shuffle,
-so each task forwards at most ``n`` rows per scope and no single task ever
-receives a whole scope's candidates.
+Top-N per scope ranks in two stages: first within (scope, bucket of the name's
+hash), then among the at most ``RANK_BUCKETS * n`` rows per scope that are left. So
+no task receives a whole scope's names, whatever ``n`` is (Spark's own partial
+limit before a ranking window stops working above a threshold of ``n``).
 """
 
 from __future__ import annotations
@@ -34,7 +34,16 @@ def _by_scope(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
         *aggs, F.grouping("state").alias(_G))
 
 
+#: Buckets of names that are ranked on their own before a scope is.
+RANK_BUCKETS = 64
+
+
 def _top_per_scope(counted: DataFrame, name: str, n: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(name), F.lit(RANK_BUCKETS))
+    first = Window.partitionBy(_G, "state", "__bucket").orderBy(F.desc(LISTENS), F.asc(name))
+    counted = (counted.withColumn("__bucket", bucket)
+               .withColumn("__rank", F.row_number().over(first))
+               .where(F.col("__rank") <= F.lit(n)).drop("__bucket", "__rank"))
     w = Window.partitionBy(_G, "state").orderBy(F.desc(LISTENS), F.asc(name))
     return (counted.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.lit(n))
@@ -79,7 +88,7 @@ def listen_counts(df: DataFrame) -> DataFrame:
     be rebuilt. New months are appended (counts of different months never
     overlap), so refreshing those tiles never rescans the history; pass
     ``weight='listens'`` to the all-scope functions. KPIs and monthly
-    listening need per-user state and stay on the events."""
+    listening have an additive table of their own, `user_month_fold`."""
     return (df.groupBy("year", "month", "state", "artist", "song", "subscription")
             .agg(F.count(F.lit(1)).alias(LISTENS)))
 
@@ -121,7 +130,7 @@ def kpis_all_scopes(df: DataFrame) -> DataFrame:
 def monthly_listening_all_scopes(df: DataFrame) -> DataFrame:
     """``scope`` plus `monthly_listening` columns for every scope; the
     ever-paid relabel is computed once, nationally."""
-    folded = _folded_with_ever_paid(df, keep_state=True)
+    folded = _folded_with_ever_paid(df, "state")
     g = _by_scope(folded, ["year", "month", "subscription"],
                   (F.sum("__dur") / F.lit(60.0)).alias("total_duration"))
     return g.select(_scope().alias("scope"), "year", "month",

@@ -38,15 +38,15 @@ def read_auth_events(spark: SparkSession, path, fmt: str = "json", **options) ->
     return read_events(spark, path, AUTH_SCHEMA, fmt, **options)
 
 
-def read_page_view_events(spark: SparkSession, path: str,
-                          schema: StructType | None = None, fmt: str = "json") -> DataFrame:
-    """Page-view feed; no column of it is used by any query, so no fixed schema."""
+def read_page_view_events(spark: SparkSession, path: str, schema: StructType | str,
+                          fmt: str = "json") -> DataFrame:
+    """Page-view feed; no column of it is used by any query, so the caller names the columns."""
     return read_events(spark, path, schema, fmt)
 
 
-def read_status_change_events(spark: SparkSession, path: str,
-                              schema: StructType | None = None, fmt: str = "json") -> DataFrame:
-    """Status-change feed; no column of it is used by any query, so no fixed schema."""
+def read_status_change_events(spark: SparkSession, path: str, schema: StructType | str,
+                              fmt: str = "json") -> DataFrame:
+    """Status-change feed; no column of it is used by any query, so the caller names them."""
     return read_events(spark, path, schema, fmt)
 
 

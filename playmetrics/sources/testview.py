@@ -18,12 +18,11 @@ unless a side's file size is under the broadcast threshold.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import calendar_columns, ntz_to_epoch_millis
+from .schemas import US_STATES
 
 
 # Fixed schemas of the driver tables (as stored in their parquet files).
@@ -52,23 +51,6 @@ DRIVER_SCHEMAS = {
 }
 
 
-def _defined_once(build):
-    """Define a view's lazy DataFrame once per (session, folder, arguments)
-    and hand out the same one afterwards, as an application keeps the handle
-    of its cleaned table. Only the plan is kept: every query still reads the
-    parquet files and runs every join."""
-    views: dict = {}
-
-    @functools.wraps(build)
-    def view(spark: SparkSession, sf_dir: str, *args, **kwargs) -> DataFrame:
-        key = (spark, sf_dir, args, tuple(sorted(kwargs.items())))
-        if key not in views:
-            views[key] = build(spark, sf_dir, *args, **kwargs)
-        return views[key]
-
-    return view
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.format("parquet")
     if name in DRIVER_SCHEMAS:
@@ -107,14 +89,30 @@ def listens_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_defined_once
 def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned-listen shape: ``userId, artist, song, state, duration,
     subscription, ts, year, month, month_name``."""
     return listens_base(spark, sf_dir).withColumns(calendar_columns("ts"))
 
 
-@_defined_once
+def hard_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned-listen shape with harder values: NULL users, artists and states, fractional
+    durations (quarters, so that sums are exact), the 64 part names as artists, and USPS codes
+    (the first 25 of the state table) for the nations."""
+    line = F.col("l_linenumber")
+    codes = F.array(*[F.lit(code) for _, code in US_STATES[:25]])
+    return _joined(spark, sf_dir).select(
+        F.when(line != 7, F.col("o_custkey")).alias("userId"),
+        F.when(line != 6, F.col("p_name")).alias("artist"),
+        F.col("p_brand").alias("song"),
+        F.when(line != 5, F.element_at(codes, (F.col("n_nationkey") + 1).cast("int")))
+        .alias("state"),
+        (F.col("l_quantity") + line * F.lit(0.25)).alias("duration"),
+        _subscription().alias("subscription"),
+        F.col("o_orderdate").alias("ts"),
+    ).withColumns(calendar_columns("ts"))
+
+
 def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listen-event shape (19 columns, ``level``, epoch-ms ``ts``).
 
@@ -146,7 +144,6 @@ def raw_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_defined_once
 def nation_dim(spark: SparkSession, sf_dir: str, with_regions: bool = False) -> DataFrame:
     """A state-style dimension from ``nation`` x ``region``:
     ``NAME = r_name || '/' || n_name``, ``state = n_name``.
@@ -165,7 +162,6 @@ def nation_dim(spark: SparkSession, sf_dir: str, with_regions: bool = False) ->
                                         F.col("r_name").alias("state")))
 
 
-@_defined_once
 def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boundary-style attribute table with one row per row of
     `nation_dim(with_regions=True)`: ``NAME``, ``STUSPS = state``, and
@@ -181,7 +177,6 @@ def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.unionByName(regions)
 
 
-@_defined_once
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Auth-event shape (the 16 auth columns, typed as `AUTH_SCHEMA`) plus
     ``event_id`` and ``event_type``, from ``events``, with NULLs to audit:

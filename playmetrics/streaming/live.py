@@ -48,18 +48,25 @@ def live_top_artists(raw_stream: DataFrame, state: str | None = None,
     return top_artists(clean(raw_stream), state, n)
 
 
-def start_tile(live: DataFrame, name: str, sink: str = "memory",
-               output_mode: str = "update", path: str | None = None,
-               available_now: bool = False) -> StreamingQuery:
-    """Start a live tile; its checkpoint lives under the shared folder."""
+def start_tile(live: DataFrame, name: str, sink: str, output_mode: str,
+               path: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Start a live tile; its checkpoint lives under the shared folder, so starting it again
+    under the same name goes on where it stopped.
+
+    The ``memory`` sink keeps its table on the driver and cannot go on: it is allowed in
+    complete mode only (one bounded table, not every update), and starts anew each time.
+    """
+    if sink == "memory" and output_mode != "complete":
+        raise ValueError("the memory sink would gather every update on the driver")
     spark = live.sparkSession
     base = checkpoint_dir(spark)
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
-    writer = (live.writeStream.format(sink).outputMode(output_mode)
-              .option("checkpointLocation", f"{base.rstrip('/')}/streams/{name}"))
+    writer = live.writeStream.format(sink).outputMode(output_mode)
     if sink == "memory":
         writer = writer.queryName(name)
+    else:
+        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/streams/{name}")
     if path is not None:
         writer = writer.option("path", path)
     if available_now:

@@ -74,7 +74,7 @@ def test_artist_operators(small):
     assert rows(artists_over_count(small, 3)) == [(3,)]
     assert rows(top_artist_at(small, 2, None, 10)) == [(2, "A", 3)]
     assert rows(artist_list(small, None, 50)) == [("A, B, C",)]  # listagg skips NULL
-    assert rows(top_n(artist_by_state(small, "A"), 1)) == [("A", "CA", 2)]
+    assert rows(top_n(artist_by_state(small, "A"), 1, "listens", "state")) == [("A", "CA", 2)]
     assert rows(state_songs(small, "NY")) == [("NY", "s2", 2)]
 
 

@@ -149,6 +149,7 @@ def test_tiles_from_appended_parts(spark, L):
     name = f"parts-{uuid.uuid4().hex[:8]}"
     for (y,) in L.select("year").distinct().collect():
         paths = append_tile_parts(L.where(F.col("year") == y), name)
+    append_tile_parts(L.where(F.col("year") == y), name)  # the same batch again changes nothing
     got = tiles_from_parts(spark, paths)
     want = dashboard_tables(L)
     assert set(got) == set(want)
@@ -157,3 +158,40 @@ def test_tiles_from_appended_parts(spark, L):
             return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r)
                            for r in df.select(*sorted(df.columns)).collect()), key=str)
         assert rows_of(got[k]) == rows_of(want[k]), k
+
+
+def test_ranking_never_takes_a_whole_scope(spark, L):
+    """Above the threshold of Spark's own limit the first window still spans name buckets."""
+    from playmetrics.plans.rollups import top_artists_all_scopes
+
+    p = plan(top_artists_all_scopes(L, 5000))
+    assert p.count("Window [row_number") == 2 and "__bucket" in p
+
+
+def test_relabel_runs_the_fact_join_twice_at_most(spark, L):
+    from playmetrics.operators import relabel_ever_paid
+
+    df = relabel_ever_paid(L, 100)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("SortMergeJoin [l_orderkey") <= 2
+
+
+def test_views_see_appended_files(spark, tmp_path):
+    import shutil
+
+    from playmetrics.sources import testview as tv
+
+    for name in ("customer", "nation", "orders", "part", "lineitem"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = tv.listens(spark, str(tmp_path)).count()
+    part = next((tmp_path / "lineitem.parquet").glob("part-*.parquet"))
+    shutil.copy(part, part.with_name("part-again.parquet"))
+    assert tv.listens(spark, str(tmp_path)).count() > before
+
+
+def test_partitioned_writes_are_clustered(spark, L):
+    from playmetrics.plans import materialize
+
+    m = materialize(L.repartition(8), "clustered", ["year", "month"])
+    assert len(m.inputFiles()) <= 2 * m.select("year", "month").distinct().count()

@@ -79,8 +79,8 @@ def test_untyped_feeds(spark, tmp_path):
     d = tmp_path / "page_view_events"
     d.mkdir()
     (d / "p.json").write_text('{"page": "Home", "ts": 1}\n{"page": "NextSong", "ts": 2}\n')
-    assert read_page_view_events(spark, str(d)).count() == 2
-    assert read_status_change_events(spark, str(d)).columns == ["page", "ts"]
+    assert read_page_view_events(spark, str(d), "page string, ts bigint").count() == 2
+    assert read_status_change_events(spark, str(d), "page string, ts bigint").columns == ["page", "ts"]
 
 
 def test_missing_path_raises(spark, tmp_path):

@@ -4,6 +4,8 @@ import json
 import os
 import uuid
 
+import pytest
+
 from playmetrics.operators import artist_state_listens, clean
 from playmetrics.sources import read_listen_events
 from playmetrics.streaming import (live_artist_state_listens, live_subscription_counts,
@@ -21,14 +23,14 @@ def test_live_counts_equal_batch(spark, tmp_path):
     stream = read_listen_stream(spark, str(d), max_files_per_trigger=1)
     name = f"live_artist_state_{uuid.uuid4().hex[:8]}"
     q = start_tile(live_artist_state_listens(stream), name,
-                   output_mode="complete", available_now=True)
+                   sink="memory", output_mode="complete", available_now=True)
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect())
     batch = artist_state_listens(clean(read_listen_events(spark, str(d))))
     assert got == sorted(tuple(r) for r in batch.collect())
     assert ("Beyoncé", "CA", 3) in got
     subs = f"live_subs_{uuid.uuid4().hex[:8]}"
-    q2 = start_tile(live_subscription_counts(stream), subs, output_mode="complete",
+    q2 = start_tile(live_subscription_counts(stream), subs, sink="memory", output_mode="complete",
                     available_now=True)
     q2.awaitTermination(120)
     assert spark.sql(f"SELECT sum(count) FROM {subs}").collect()[0][0] == 10
@@ -47,15 +49,26 @@ def test_live_top_artists_and_checkpoint_location(spark, tmp_path):
             {"userId": "1", "artist": a, "state": "CA", "level": "free", "ts": k}))
     name = f"live_top_{uuid.uuid4().hex[:8]}"
     q = start_tile(live_top_artists(read_listen_stream(spark, str(d), max_files_per_trigger=4), None, 3), name,
-                   output_mode="complete", available_now=True)
+                   sink="memory", output_mode="complete", available_now=True)
     q.awaitTermination(120)
     got = [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
     batch = top_artists(clean(read_listen_events(spark, str(d))), None, 3)
     assert sorted(got) == sorted(tuple(r) for r in batch.collect()) == [
         ("A", 5), ("B", 3), ("C", 3)]
     assert q.lastProgress is not None
+    # a started tile goes on under its name: the second start reads the new file only
     ckpt = checkpoint_dir(spark).rstrip("/")
+    rows = clean(read_listen_stream(spark, str(d))).select("artist", "state")
+    name, out = f"rows_{uuid.uuid4().hex[:8]}", str(tmp_path / "out")
+    for extra in (None, "E"):
+        if extra:
+            (d / "more.json").write_text(json.dumps(
+                {"userId": "1", "artist": extra, "state": "CA", "level": "free", "ts": 99}))
+        start_tile(rows, name, "parquet", "append", out, available_now=True).awaitTermination(120)
     assert os.path.isdir(os.path.join(ckpt.replace("file:", ""), "streams", name))
+    assert spark.read.parquet(out).count() == len(artists) + 1
+    with pytest.raises(ValueError):
+        start_tile(rows, name, "memory", "append")
 
 
 def test_refresh_clean_table_is_incremental(spark, tmp_path):
