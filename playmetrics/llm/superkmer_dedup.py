@@ -97,26 +97,36 @@ def runs_of(flag: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(flag & ~after) - starts + 1
 
 
-def packed(words: list[bytes], ids: np.ndarray, columns: list[np.ndarray]) -> bytes:
+def packed(words: list[bytes], ids: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray,
+           hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> bytes:
+    """Words once, documents once, and for each string its document, start and windows."""
     used, numbers = np.unique(ids, return_inverse=True)
     text = b" ".join([words[i] for i in used.tolist()])
     kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-    parts = [text, numbers.astype(kind).tobytes(), *(c.astype(np.int64).tobytes() for c in columns)]
-    raw = struct.pack("<qqq", len(text), len(ids), len(columns[0])) + (
+    some, number = np.unique(docs, return_inverse=True)
+    parts = [text, numbers.astype(kind).tobytes(), doc_ids[some].tobytes(), hashes[some].tobytes(),
+             number.astype(np.int32).tobytes(), starts.astype(np.int64).tobytes(),
+             counts.astype(np.int32).tobytes()]
+    raw = struct.pack("<qqqq", len(text), len(ids), len(some), len(docs)) + (
         b"2" if kind == np.uint16 else b"4") + b"".join(parts)
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def unpacked(blob: bytes, n_columns: int):
+def unpacked(blob: bytes):
+    """Words, word numbers, and for each string: document id, text hash, start, windows."""
     raw = pa.Codec("zstd").decompress(blob[8:], struct.unpack("<q", blob[:8])[0], asbytes=True)
-    n_text, n_ids, n_rows = struct.unpack("<qqq", raw[:24])
-    kind, at = (np.uint16 if raw[24:25] == b"2" else np.uint32), 25
+    n_text, n_ids, n_docs, n_rows = struct.unpack("<qqqq", raw[:32])
+    kind, at = (np.uint16 if raw[32:33] == b"2" else np.uint32), 33
     words = raw[at:at + n_text].split(b" ")
     at += n_text
-    ids = np.frombuffer(raw, kind, n_ids, at).astype(np.int32)
-    at += n_ids * np.dtype(kind).itemsize
-    columns = [np.frombuffer(raw, np.int64, n_rows, at + 8 * n_rows * k) for k in range(n_columns)]
-    return words, ids, columns
+    out = []
+    for dtype, n in ((kind, n_ids), (np.int64, n_docs), (np.int64, n_docs), (np.int32, n_rows),
+                     (np.int64, n_rows), (np.int32, n_rows)):
+        out.append(np.frombuffer(raw, dtype, n, at))
+        at += out[-1].nbytes
+    ids, doc_ids, hashes, number, starts, counts = out
+    return words, ids.astype(np.int32), [doc_ids[number], hashes[number], starts,
+                                         counts.astype(np.int64)]
 
 
 def _chunk(docs, width: int, gram: int, buckets: int):
@@ -156,11 +166,11 @@ def _chunk(docs, width: int, gram: int, buckets: int):
     order = np.argsort(bucket, kind="stable")
     starts, count, bucket = starts[order], count[order], bucket[order]
     d = doc[starts]
-    columns = [doc_ids[d], hashes[d], starts - begin[d], count]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, z in zip(edges[:-1], edges[1:]):
         part = ids[ragged(starts[a:z], count[a:z] + width - 1)]
-        yield int(bucket[a]), 0, packed(words, part, [c[a:z] for c in columns])
+        yield int(bucket[a]), 0, packed(words, part, d[a:z], doc_ids, hashes,
+                                        starts[a:z] - begin[d[a:z]], count[a:z])
 
 
 def _super_kmers(width: int, gram: int, buckets: int, chunk_words: int):
@@ -209,7 +219,7 @@ def _sort_bucket(width: int):
                 for f, p in zip(found, parts):
                     f.append(p)
                 continue
-            words, local, cols = unpacked(blob, 4)
+            words, local, cols = unpacked(blob)
             ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32,
                                    len(words))[local])
             columns.append(cols)
