@@ -1,7 +1,7 @@
-import os
-import sys
 """Plan shapes that matter at scale, and C1 materialization / all-scope tables."""
 
+import os
+import sys
 import pytest
 from pyspark.sql import functions as F
 
