@@ -109,7 +109,7 @@ def packed(words: list[bytes], ids: np.ndarray, docs: np.ndarray, doc_ids: np.nd
              counts.astype(np.int32).tobytes()]
     raw = struct.pack("<qqqq", len(text), len(ids), len(some), len(docs)) + (
         b"2" if kind == np.uint16 else b"4") + b"".join(parts)
-    return struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes):
