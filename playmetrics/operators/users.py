@@ -74,8 +74,9 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     paid_flag = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0))
     per_user = (df.groupBy("userId")
                 .agg(F.count(F.lit(1)).alias("__n"), paid_flag.alias("__paid")))
-    # from the per-user table, whose exchange it reuses: ``df`` is not computed again for it
-    total = per_user.agg(F.sum("__n")).scalar()
+    # from the per-user table; reading the flag too makes its exchange the one used below,
+    # so ``df`` is not computed again for the total
+    total = per_user.agg(F.sum(F.when(F.col("__paid") >= 0, F.col("__n")))).scalar()
     is_hot = F.col("__n") * F.lit(max_hot_users) > total
     known = F.col("userId").isNotNull()
     hot = per_user.where(known & is_hot).select("userId", F.col("__paid").alias("__hot"))
