@@ -34,6 +34,15 @@ from playmetrics.llm.common import (
 #: Words that a task gathers before it packs them.
 CHUNK_WORDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
+
+
+class Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,12 +52,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` values; wraps on purpose."""
+    """Hash of each run of ``width`` values, from running sums; wraps on purpose."""
     n = len(h) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(width if n > 0 else 0):
-        out = out * _MIX + h[j:j + n]
-    return mixed(out)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(h), r, np.uint64))))
+                for r in (_MIX, _UNMIX))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * down[:-1], out=sums[1:])
+    return mixed((sums[width:] - sums[:-width]) * up[:n])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -175,7 +187,7 @@ def _chunk(docs, width: int, gram: int, buckets: int):
 
 def _super_kmers(width: int, gram: int, buckets: int, chunk_words: int):
     def run(batches):
-        docs, number, held, seen = [], {}, 0, set()
+        docs, number, held, seen = [], Numbers(), 0, set()
 
         def flush():
             rows = list(_chunk((docs, list(number)), width, gram, buckets))
@@ -193,8 +205,8 @@ def _super_kmers(width: int, gram: int, buckets: int, chunk_words: int):
                 if len(words) < width or (key, h) in seen:
                     continue  # a repeated row fares like the first
                 seen.add((key, h))
-                docs.append((key, h, np.fromiter(
-                    (number.setdefault(w, len(number)) for w in words), np.int32, len(words))))
+                docs.append((key, h, np.fromiter(map(number.__getitem__, words), np.int32,
+                                                 len(words))))
                 held += len(words)
                 if held > chunk_words:
                     yield from flush()
