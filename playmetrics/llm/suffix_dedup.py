@@ -143,43 +143,57 @@ def suffix_order(flat: np.ndarray, at: np.ndarray, lens: np.ndarray):
     places = ragged(begin_of, lens)
     previous = np.full(int((lens + 1).sum()), DONE, np.uint8)
     previous[places + 1] = flat[ragged(at, lens)]
-    where = (begin_of + lens).astype(np.int32)
-    bwt, lcp = previous[where], np.zeros(n, np.uint8)
+    bwt = previous[begin_of + lens]
+    lcp = np.zeros(n + 1, np.uint8)  # and one more, so that a range can end at the last
     newest = np.arange(n)
     for r in range(1, int(lens.max()) + 1 if n else 1):
         live = np.flatnonzero(lens >= r)
-        order = np.argsort(bwt, kind="stable")
-        count = np.bincount(bwt, minlength=256)
-        begin = np.concatenate(([0], np.cumsum(count)))
-        order = order[:begin[DONE]]
+        order, ranks, begin = _ranks(bwt)
+        rank = ranks[newest[live]]
+        by_rank = np.argsort(rank)
+        live, rank = live[by_rank], rank[by_rank].astype(np.int64)
         p = newest[live]
         c = bwt[p].astype(np.int64)
-        ranks = np.empty(len(bwt), np.int32)
-        ranks[order] = np.arange(len(order), dtype=np.int32)
-        rank = ranks[p].astype(np.int64)
-        by_rank = np.argsort(rank)
-        live, p, c, rank = live[by_rank], p[by_rank], c[by_rank], rank[by_rank]
-            # common prefix with the one before, and of the one after with it
+        # common prefix with the one before, and of the one after with it
         before = np.where(rank > begin[c], order[np.maximum(rank - 1, 0)], -1)
         after = np.where(rank + 1 < begin[c + 1], order[np.minimum(rank + 1, len(order) - 1)], -1)
-        low = _range_minima(lcp, before, p)
         # only where the one after was there before: a new one after a new one has its own
         alone = np.concatenate((rank[1:] != rank[:-1] + 1, [True]))
-        high = _range_minima(lcp, p, np.where(alone, after, -1))
-        # from front to back: each suffix is one symbol longer than the one of its rank
+        common = _range_minima(lcp, np.concatenate((before, p)),
+                               np.concatenate((p, np.where(alone, after, -1))))
+        # from front to back: what is there, and the new ones in their places
         place = n + rank
-        where = np.concatenate((where[:n], np.take(where, order) - 1))
-        bwt = np.concatenate((bwt[:n], np.take(previous, where[n:])))
-        old = np.ones(len(bwt), bool)
+        old = np.ones(len(lcp) + len(place), bool)
         old[place] = False
-        grown = np.empty(len(bwt), np.uint8)
-        grown[old], grown[place] = lcp, low
-        lcp = grown
-        then = alone & (place + 1 < len(lcp))
-        lcp[place[then] + 1] = high[then]
+        bwt = _inserted(bwt, old[:-1], place, previous[(begin_of + lens)[live] - r])
+        lcp = _inserted(lcp, old, place, common[:len(p)])
+        then = alone & (place + 1 < len(bwt))
+        lcp[place[then] + 1] = common[len(p):][then]
         newest[live] = place
-    text = np.repeat(np.arange(n), lens + 1)[where]
-    return text, where - begin_of[text], lcp
+    text, start = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
+    row, (_, ranks, _) = np.arange(n), _ranks(bwt)
+    text[:n], start[:n] = row, lens
+    for r in range(1, int(lens.max()) + 1 if n else 1):  # from each suffix to the one longer by one
+        live = np.flatnonzero(lens >= r)
+        row[live] = n + ranks[row[live]]
+        text[row[live]], start[row[live]] = live, lens[live] - r
+    return text, start, lcp[:-1]
+
+
+def _ranks(bwt):
+    """Places of the symbols in their order, the rank of each place, and where each symbol begins."""
+    order = np.argsort(bwt, kind="stable")
+    begin = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=256))))
+    order = order[:begin[DONE]]
+    ranks = np.empty(len(bwt), np.int32)
+    ranks[order] = np.arange(len(order), dtype=np.int32)
+    return order, ranks, begin
+
+
+def _inserted(column, old, place, values):
+    out = np.empty(len(old), column.dtype)
+    out[old], out[place] = column, values
+    return out
 
 
 def _range_minima(lcp, a, b) -> np.ndarray:
@@ -187,9 +201,10 @@ def _range_minima(lcp, a, b) -> np.ndarray:
     out = np.zeros(len(a), np.uint8)
     has = np.flatnonzero((a >= 0) & (b >= 0))
     if len(has):
-        lens = b[has] - a[has]
-        values = lcp[ragged(a[has] + 1, lens)]
-        out[has] = np.minimum(np.minimum.reduceat(values, np.cumsum(lens) - lens), 253) + 1
+        has = has[np.argsort(-a[has])]
+        # from the last range to the first, so that what lies between two takes one step
+        edges = np.column_stack((a[has], b[has])).ravel() + 1
+        out[has] = np.minimum(np.minimum.reduceat(lcp, edges)[::2], 253) + 1
     return out
 
 
@@ -337,25 +352,53 @@ def _segments_sent(width: int, gram: int, buckets: int, chunk: int):
     return run
 
 
-def may_repeat(tag, place, periodic, at, lens, flat, width: int, gram: int) -> np.ndarray:
-    """Segments that may share a string with another one, or have one twice.
+def minimiser_places(tag, place, periodic, at, lens, flat, gram: int):
+    """(segment, place in ``flat``) of every minimiser: all its places where a segment has it twice."""
+    once, more = np.flatnonzero(~periodic), np.flatnonzero(periodic)
+    if not len(more):
+        return once, at[once] + place[once]
+    held, places = np.repeat(more, lens[more]), ragged(at[more], lens[more])
+    grams = Hashes(flat[places]).every(gram) >> np.uint64(32)
+    n = len(grams)
+    hit = np.flatnonzero((grams == tag[held[:n]]) & (held[:n] == held[gram - 1:]))
+    return np.concatenate((once, held[hit])), np.concatenate((at[once] + place[once], places[hit]))
+
 
-    A string that two segments share holds the minimiser at the same place, and half of
-    its other bytes or more lie on one side of it: the segments agree there. A minimiser that
-    some segment has twice takes all its segments.
+def agreeing(seg, pos, tag, at, lens, flat, width: int, gram: int, parts: int) -> np.ndarray:
+    """Mask of the minimisers around which another one has the same bytes.
+
+    A string holds its first minimiser after 0 to ``width - gram`` bytes. That range falls into
+    ``parts``; the least bytes before and after that a part leaves are compared.
     """
-    _, number, many = np.unique(tag, return_inverse=True, return_counts=True)
-    out = np.bincount(number, periodic, len(many))[number] > 0
-    k = np.flatnonzero((many[number] > 1) & ~out)
-    half = (width - gram + 1) // 2
-    for a, z in ((place[k] - half, place[k] + gram), (place[k], place[k] + gram + half)):
-        fits = np.flatnonzero((a >= 0) & (z <= lens[k]))
-        if not len(fits):
-            continue
-        rows = flat[(at[k] + a)[fits][:, None] + np.arange(gram + half)[None, :]].astype(np.uint64)
-        h = mixed((rows + np.uint64(1)) @ powers(_R, gram + half)) ^ tag[k[fits]].astype(np.uint64)
-        _, same, times = np.unique(h, return_inverse=True, return_counts=True)
-        out[k[fits[times[same] > 1]]] = True
+    room = width - gram + 1
+    bounds = [room * j // parts for j in range(parts + 1)]
+    out = np.zeros(len(seg), bool)
+    for before, after in zip(bounds, (room - b for b in bounds[1:])):
+        n = before + gram + after
+        fits = np.flatnonzero((pos - before >= at[seg]) & (pos + gram + after <= (at + lens)[seg]))
+        for_each = powers(_R, n)
+        h = np.empty(len(fits), np.uint64)
+        for a in range(0, len(fits), 20_000):  # bounded memory
+            some = fits[a:a + 20_000]
+            rows = flat[(pos[some] - before)[:, None] + np.arange(n)[None, :]].astype(np.uint64)
+            h[a:a + 20_000] = mixed((rows + np.uint64(1)) @ for_each)
+        _, same, times = np.unique(h ^ tag[seg[fits]].astype(np.uint64), return_inverse=True,
+                                   return_counts=True)
+        out[fits[times[same] > 1]] = True
+    return out
+
+
+def may_repeat(tag, place, periodic, at, lens, flat, width: int, gram: int) -> np.ndarray:
+    """Segments that may share a string with another one, or have one twice."""
+    seg, pos = minimiser_places(tag, place, periodic, at, lens, flat, gram)
+    _, number, many = np.unique(tag[seg], return_inverse=True, return_counts=True)
+    several = many[number] > 1
+    seg, pos = seg[several], pos[several]
+    for parts in (2, 8):  # few bytes first, then what is left by more
+        keep = agreeing(seg, pos, tag, at, lens, flat, width, gram, parts)
+        seg, pos = seg[keep], pos[keep]
+    out = np.zeros(len(tag), bool)
+    out[seg] = True
     return out
 
 

@@ -94,3 +94,18 @@ def test_collections_are_cut_at_minimisers(monkeypatch):
     spans = sd.repeated_in(np.arange(n), one, 0 * one, 15 * one, one.astype(np.uint32), place, one == 0,
                            whole, flat, width, 4)
     assert [list(map(int, s)) for s in zip(*spans)] == [[k, 1, 0, 14] for k in range(1, n)]
+
+
+def test_periodic_texts(spark):
+    """Texts that repeat a short unit, whole and broken, at different phases."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(40):
+        unit = "".join(rng.choices("abcdef", k=rng.choice([1, 2, 7, 30, 45, 60, 77])))
+        body = unit * (260 // len(unit) + 1)
+        cut = rng.randint(0, 200)
+        docs.append((i, body[rng.randint(0, 5):cut] + rng.choice(["", "x", "é"]) + body[cut:]))
+    docs += [(100 + i, "pre" * i + t[i:]) for i, (_, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert run(df) == brute(docs, 100)
+    assert sum(r[2] for r in run(df)) > 0
