@@ -30,6 +30,10 @@ from playmetrics.llm.common import slices, text_of, write_table
 
 ORDER, BITS = 4, 12
 SYMBOLS = b"#*$%&|<>"
+#: The model's tables: uniform share, K-grams, contexts of K-grams.
+TABLES = ("v", *(f"{t}{k}" for t in "gc" for k in range(1, ORDER + 1)))
+#: Keys that the rows of one language are dealt to where they meet its discounts or band.
+SALTS = 64
 #: Bytes of text that are worked on together.
 CHUNK = 1_500_000
 #: Entries that a task gathers before it merges them; it sends them on beyond four times that.
@@ -119,6 +123,10 @@ def _slotted(hash_bits: int):
     return run
 
 
+def on_every_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(table, lang, key, share) from (lang, key, n): table gK has the discounted share of each
     K-gram, cK what each context of K-grams passes down, v the uniform share of a language."""
@@ -138,7 +146,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         "k", "lang", *[F.when(usual, F.greatest(F.lit(0.1), F.least(
             F.lit(i - 0.1), F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))))
             .otherwise(F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)])
-    part = every.join(discounts, ["k", "lang"]).select(
+    # an order and language may hold a third of the rows
+    part = every.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(
+        on_every_salt(discounts), ["k", "lang", "salt"]).select(
         "k", "lang", "key", F.shiftright("key", BITS).alias("ctx"), "n",
         F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2"))
         .otherwise(F.col("d3")).alias("d"))
@@ -156,14 +166,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 def hash_arrays(model: DataFrame, hash_bits: int = 22) -> dict:
     """{table: (sorted slots, shares)}; at most 2 ** ``hash_bits`` entries each."""
-    rows = model.select("table", "lang", "key", "share").mapInArrow(
+    slotted = write_table(model.select("table", "lang", "key", "share").mapInArrow(
         _slotted(hash_bits), "table string, slot long, share double").groupBy(
-            "table", "slot").agg(F.max("share").cast("float").alias("share")).toArrow()
-    names, slot = np.array(rows.column("table").to_pylist()), rows.column("slot").to_numpy()
-    share, out = rows.column("share").to_numpy(), {}
-    for name in np.unique(names).tolist():
-        at = np.flatnonzero(names == name)
-        at = at[np.argsort(slot[at])]
+            "table", "slot").agg(F.max("share").cast("float").alias("share")), "perplexity-slots")
+    out = {}
+    for name in TABLES:  # one at a time, 8 bytes a slot
+        rows = slotted.where(F.col("table") == name).select(
+            F.col("slot").cast("int"), "share").toArrow()
+        slot, share = rows.column("slot").to_numpy(), rows.column("share").to_numpy()
+        at = np.argsort(slot)
         out[name] = (slot[at].astype(np.uint32), share[at])
     return out
 
@@ -254,7 +265,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scored = write_table(rows.mapInArrow(
         _score(spark.sparkContext.broadcast(arrays), hash_bits),
         f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, log_perplexity double"), "perplexity-scored")
+        "n_repeat_words long, log_perplexity double").withColumn("salt", F.pmod(
+            F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "perplexity-scored")
     scored = scored.withColumn("base_failed", F.expr(
         "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     bands = scored.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx(
@@ -262,6 +274,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     room = (F.col("q")[1] - F.col("q")[0]) * spread * F.sqrt(
         1 + F.lit(slack_words) / F.greatest("n_words", F.lit(1)))
     inside = F.expr("NOT base_failed AND log_perplexity BETWEEN low AND high")
-    return scored.join(bands, "lang", "left").withColumn("low", F.col("q")[0] - room).withColumn(
-        "high", F.col("q")[1] + room).withColumn("kept", F.coalesce(inside, F.lit(False))).drop(
-            "lang", "q").withColumnRenamed("id", id_col)
+    return scored.join(on_every_salt(bands), ["lang", "salt"], "left").withColumn(
+        "low", F.col("q")[0] - room).withColumn("high", F.col("q")[1] + room).withColumn(
+            "kept", F.coalesce(inside, F.lit(False))).drop("lang", "q", "salt").withColumnRenamed("id", id_col)
