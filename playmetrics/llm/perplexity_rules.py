@@ -7,7 +7,8 @@ sorted hash arrays: each n-gram and context falls into one of 2 ** ``hash_bits``
 slots of its order, so no array can outgrow that, however large the corpus;
 n-grams that share a slot share the larger share. The arrays are broadcast. A
 document's perplexity is kept within a band of its language: the quartiles of
-log perplexity, widened on both sides by ``spread`` times their distance, and more for
+log perplexity over its distinct texts that pass the rules (copies count once),
+widened on both sides by ``spread`` times their distance, ``FLOOR`` at least, and more for
 short texts, whose means vary more: times sqrt(1 + ``slack_words`` / words).
 
 Text rules, from whole texts: words ``[^\\x20\\x09-\\x0D]+``, code points in words,
@@ -15,7 +16,7 @@ symbols of ``#*$%&|<>``, repeated lines, words in repeated 8-word windows; a tex
 with under 20 words or over 30 % of its words in repeated windows.
 
 Null and empty texts have no words and fail; they have no perplexity. Null
-languages are a language of their own. Repeated rows count each. The characters of
+languages are a language of their own. Repeated rows count each, except in the quartiles. The characters of
 an n-gram: white space runs are one space; code points beyond 3071 share 1023
 classes.
 """
@@ -34,6 +35,9 @@ SYMBOLS = b"#*$%&|<>"
 TABLES = ("v", *(f"{t}{k}" for t in "gc" for k in range(1, ORDER + 1)))
 #: Keys that the rows of one language are dealt to where they meet its discounts or band.
 SALTS = 64
+#: The least distance of a language's quartiles of log perplexity that its band is made of: a
+#: language of few or nearly equal texts still has a band (one per cent of perplexity).
+FLOOR = 0.01
 #: Bytes of text that are worked on together.
 CHUNK = 1_500_000
 #: Entries that a task gathers before it merges them; it sends them on beyond four times that.
@@ -229,9 +233,11 @@ def text_rules(text: bytes) -> tuple[int, int, int, int, int]:
 
 def _score(arrays, hash_bits: int):
     names = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-             "log_perplexity"]
+             "log_perplexity", "text_hash"]
 
     def run(batches):
+        import xxhash
+
         for b in (part for batch in batches for part in slices(batch, 2, CHUNK)):
             raw = [t.as_py() for t in b.column(2)]
             rules = list(zip(*map(text_rules, raw))) if raw else [[]] * 5
@@ -244,7 +250,8 @@ def _score(arrays, hash_bits: int):
                 mean[rows] = -np.bincount(of, logs) / np.bincount(of)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in rules),
-                 pa.array(mean, mask=np.isnan(mean))], names)
+                 pa.array(mean, mask=np.isnan(mean)),
+                 pa.array(map(xxhash.xxh3_128_digest, raw), pa.binary())], names)
 
     return run
 
@@ -265,15 +272,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scored = write_table(rows.mapInArrow(
         _score(spark.sparkContext.broadcast(arrays), hash_bits),
         f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, log_perplexity double").withColumn("salt", F.pmod(
+        "n_repeat_words long, log_perplexity double, text_hash binary").withColumn("salt", F.pmod(
             F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "perplexity-scored")
     scored = scored.withColumn("base_failed", F.expr(
         "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    bands = scored.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx(
+    distinct = scored.where("NOT base_failed").groupBy("lang", "text_hash").agg(
+        F.min("log_perplexity").alias("log_perplexity"))
+    bands = distinct.groupBy("lang").agg(F.percentile_approx(
         "log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    room = (F.col("q")[1] - F.col("q")[0]) * spread * F.sqrt(
+    room = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(FLOOR)) * spread * F.sqrt(
         1 + F.lit(slack_words) / F.greatest("n_words", F.lit(1)))
     inside = F.expr("NOT base_failed AND log_perplexity BETWEEN low AND high")
     return scored.join(on_every_salt(bands), ["lang", "salt"], "left").withColumn(
         "low", F.col("q")[0] - room).withColumn("high", F.col("q")[1] + room).withColumn(
-            "kept", F.coalesce(inside, F.lit(False))).drop("lang", "q", "salt").withColumnRenamed("id", id_col)
+            "kept", F.coalesce(inside, F.lit(False))).drop(
+                "lang", "q", "salt", "text_hash").withColumnRenamed("id", id_col)

@@ -115,3 +115,27 @@ def test_odd_rows(spark):
     assert len(got) == 5
     assert [(r["doc_id"], r["kept"]) for r in got if r["kept"]] == [(3, True)]
     assert pr.judge(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [26, 240])  # 30 % and 80 % of the rows are one text
+def test_copies_do_not_move_the_band(spark, copies):
+    rng = random.Random(1)
+    letters = "abcdefghij"
+    base = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(400)]
+    docs = [(i, " ".join(rng.choices(base, k=300)), "en") for i in range(60)]
+    copy = " ".join(rng.choices(base, k=300))
+    shuffled = " ".join("".join(rng.choices(letters, k=6)) for _ in range(800))  # above the band
+    easy = " ".join("t" * rng.randint(4, 44) for _ in range(120))  # below it
+    docs += [(98, shuffled, "en"), (99, easy, "en"), *((1000 + i, copy, "en") for i in range(copies))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in pr.judge(df).collect()}
+    assert not got[98]["base_failed"] and got[98]["log_perplexity"] > got[98]["high"]
+    assert not got[99]["base_failed"] and got[99]["log_perplexity"] < got[99]["low"]
+    assert all(got[i]["kept"] for i in range(60))
+
+
+def test_band_has_a_floor(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    got, = pr.judge(df).collect()
+    assert got["kept"] and got["high"] - got["low"] >= 10 * pr.FLOOR
