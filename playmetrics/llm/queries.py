@@ -8,7 +8,7 @@ from playmetrics.llm import (
     decontaminate, lattice_lm, pack_harmonic, perplexity_rules, quality_rff, reshard_flow,
     secret_ledger, simhash_pivots, suffix_dedup, superkmer_dedup,
 )
-from playmetrics.llm.common import read_table, text_of
+from playmetrics.llm.common import new_path, read_table, text_of
 
 
 def op1_secret_ledger(spark, sf_dir):
@@ -58,14 +58,16 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 
 def op6_flow_resharding(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    rows = docs.select(
-        "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int").alias("old"),
-        reshard_flow.size_of("text").alias("size"), F.crc32(text_of("text")).alias("text_crc32"),
-        F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("row"))
-    assigned, _ = reshard_flow.assign(rows, shards=NEW_SHARDS)
-    return reshard_flow.with_slots(assigned).select(
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int").alias("old_shard")
+    layout = reshard_flow.write_layout(docs.select("*", dealt), "old_shard")
+    layout, _ = reshard_flow.rewrite_affected(spark, layout, "text", new_path(spark, "resharded"),
+                                              shards=NEW_SHARDS)
+    rows = reshard_flow.read_layout(spark, layout, docs.schema).select(
+        "doc_id", reshard_flow.size_of("text").alias("size"),
+        F.crc32(text_of("text")).alias("text_crc32"), dealt, "shard", "block", "row")
+    return reshard_flow.with_slots(rows.withColumn("old", F.lit(0))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op7_rff_quality(spark, sf_dir):

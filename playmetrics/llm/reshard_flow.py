@@ -18,7 +18,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from playmetrics.llm.common import text_of, write_table
+from playmetrics.llm.common import new_path, text_of, write_table
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int], price=None) -> dict:
@@ -129,13 +129,39 @@ def with_slots(assigned: DataFrame) -> DataFrame:
         "slot", (F.col("base") + F.col("k") - 1).cast("long")).drop("base", "k")
 
 
+def write_layout(docs: DataFrame, shard_col: str) -> dict[int, str]:
+    """``docs`` in Parquet folders of the shared folder, one for each shard: {shard: folder}.
+
+    ``shard_col`` holds integers, no nulls.
+    """
+    spark = docs.sparkSession
+    out = new_path(spark, "layout")
+    docs.write.partitionBy(shard_col).parquet(out)
+    found = spark.read.schema(docs.schema).parquet(out).select(shard_col).distinct().collect()
+    return {r[0]: f"{out}/{shard_col}={r[0]}" for r in found}
+
+
+def read_layout(spark: SparkSession, layout: dict[int, str], schema) -> DataFrame:
+    """Rows of the Parquet folders {shard: folder} with ``shard``, ``block`` (the file), ``row``."""
+    out = spark.createDataFrame([], schema).select("*", F.lit(0).alias("shard"), F.lit("").alias(
+        "block"), F.lit(0).cast("long").alias("row"))
+    for j, path in sorted(layout.items()):
+        out = out.unionByName(spark.read.schema(schema).parquet(path).select(
+            "*", F.lit(j).alias("shard"), F.col("_metadata.file_path").alias("block"),
+            F.col("_metadata.row_index").alias("row")))
+    return out
+
+
 def rewrite_affected(spark: SparkSession, layout: dict[int, str], text_col: str, out: str,
                      capacities=None, shards: int = 16, price=None) -> tuple[dict, dict]:
     """Reshard Parquet folders {shard: folder}; returns the new layout and the flow.
 
     Only shards that send or receive bytes are written, each to ``out``/shard=<n>; the others
-    keep their folder. Nothing is overwritten, so a job that dies leaves the old layout whole.
+    keep their folder, and a shard without rows has none. Nothing is overwritten, so a job that
+    dies leaves the old layout whole.
     """
+    if not layout:
+        return {}, {}
     read = [spark.read.parquet(path).select(
         F.struct("*").alias("doc"), F.lit(i).alias("old"), size_of(text_col).alias("size"),
         F.col("_metadata.file_path").alias("block"), F.col("_metadata.row_index").alias("row"))
@@ -146,8 +172,8 @@ def rewrite_affected(spark: SparkSession, layout: dict[int, str], text_col: str,
     assigned, flow = assign(rows.drop("doc"), capacities, shards, price)
     touched = {x for (i, j), n in flow.items() if i != j for x in (i, j)}
     moved = rows.where(F.col("old").isin(sorted(touched))).join(
-        assigned.select("block", "row", "shard"), ["block", "row"])
-    moved.select("doc.*", "shard").hint("rebalance", "shard").write.partitionBy(
-        "shard").parquet(out)
-    kept = {j for (_, j) in flow}
+        assigned.select("block", "row", "shard").hint("merge"), ["block", "row"])  # a row each
+    # straight from the join: texts are shuffled once, and a task writes a file for each shard
+    moved.select("doc.*", "shard").write.partitionBy("shard").parquet(out)
+    kept = {r["shard"] for r in assigned.select("shard").distinct().collect()}
     return {j: f"{out}/shard={j}" if j in touched else layout[j] for j in sorted(kept)}, flow

@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,34 @@ def test_rewrite_only_affected(spark, tmp_path):
     got = {j: sorted(r["doc_id"] for r in spark.read.parquet(p).collect()) for j, p in layout.items()}
     assert [len(got[j]) for j in range(4)] == [20, 20, 20, 20]
     assert sorted(sum(got.values(), [])) == sorted([*range(40), *range(100, 120), *range(200, 220)])
+
+
+def test_query_reads_what_it_wrote(spark, monkeypatch):
+    d, calls, write = "/root/testdata/sf0.001", [], rf.rewrite_affected
+
+    def spy(*args, **how):
+        calls.append(write(*args, **how))
+        return calls[-1]
+
+    monkeypatch.setattr(rf, "rewrite_affected", spy)
+    got = op6_flow_resharding(spark, d).collect()
+    (layout, flow), = calls
+    assert any(i != j for i, j in flow)
+    docs = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for j, path in layout.items():
+        files = {r["doc_id"]: r.asDict() for r in spark.read.parquet(path).collect()}
+        assert all(files[i] == docs[i] for i in files)  # whole rows, texts included
+        mine = [r for r in got if r["shard"] == j]
+        assert {r["doc_id"] for r in mine} == set(files)
+        assert sorted(r["slot"] for r in mine) == list(range(len(files)))
+        for r in mine:
+            raw = (files[r["doc_id"]]["text"] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+
+
+def test_query_on_few_and_no_rows(spark, tmp_path):
+    for n in (0, 3):
+        spark.createDataFrame([(i, "x" * 50) for i in range(n)], "doc_id long, text string").write.parquet(
+            str(tmp_path / f"{n}" / "documents.parquet"))
+        got = op6_flow_resharding(spark, str(tmp_path / f"{n}")).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(n))
