@@ -75,6 +75,34 @@ _OP4 = r"""WITH
     FROM W LEFT JOIN L USING (doc_id)"""
 
 
+_OP13 = r"""WITH
+    D AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    K AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT)
+            AS size, -ln((CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')
+              || ':' || md5(t)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+            / ((length(regexp_replace(t, '[^\p{L}]+', '', 'g')) + 1)::DOUBLE / (length(t) + 1)::DOUBLE) AS key
+          FROM D),
+    Z AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) AS i
+          FROM K GROUP BY source),
+    V AS (SELECT *, [5, 2, 1][CAST((i - 1) % 3 + 1 AS INTEGER)] AS w FROM Z),
+    C AS (SELECT *, sum(2 * z) OVER o AS capped, sum(w) OVER (ORDER BY (2 * z) / w, i ROWS BETWEEN
+            CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(z) OVER () AS total
+          FROM V WINDOW o AS (ORDER BY (2 * z) / w, i ROWS UNBOUNDED PRECEDING)),
+    L AS (SELECT max((total * 3 / 2.0::DOUBLE - (capped - 2 * z)) / open) AS level FROM C
+          WHERE 2 * z > w * (total * 3 / 2.0::DOUBLE - (capped - 2 * z)) / open),
+    G AS (SELECT source, z, least((2 * z)::DOUBLE, w * coalesce(level, 0)) AS target FROM V, L),
+    E AS (SELECT *, CASE WHEN z > 0 THEN least(floor(target / z), 2) ELSE 0 END AS epochs FROM G),
+    P AS (SELECT K.*, z, target, epochs, floor(target) - epochs * z - coalesce(sum(size) OVER (
+            PARTITION BY K.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND
+            1 PRECEDING), 0) AS room
+          FROM K JOIN E ON K.source IS NOT DISTINCT FROM E.source)
+    SELECT doc_id, size, z AS source_size, target,
+           CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken, source,
+           CAST(epochs AS INTEGER) AS epochs
+    FROM P"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_secret_ledger": _op1(), "op4_superkmer_dedup": _OP4,
-            "op5_benchmark_windows": _OP5}
+            "op5_benchmark_windows": _OP5,
+            "op13_exponential_mix": _OP13}
