@@ -75,6 +75,26 @@ _OP4 = r"""WITH
     FROM W LEFT JOIN L USING (doc_id)"""
 
 
+_OP11 = """WITH
+    V AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) =
+                len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+    S AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+                 CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * r.x[i]))
+                      AS BIGINT) AS score
+          FROM V a JOIN V r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+    P AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM S WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM P JOIN S USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY row_number() OVER w <= 3"""
+
+
 _OP13 = r"""WITH
     D AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
     K AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT)
@@ -105,4 +125,4 @@ _OP13 = r"""WITH
 def oracle_sql() -> dict[str, str]:
     return {"op1_secret_ledger": _op1(), "op4_superkmer_dedup": _OP4,
             "op5_benchmark_windows": _OP5,
-            "op13_exponential_mix": _OP13}
+            "op11_angular_negatives": _OP11, "op13_exponential_mix": _OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playmetrics.llm import (
-    decontaminate, embedding_whitening, lattice_lm, mix_sources, pack_harmonic, perplexity_rules, quality_rff, reshard_flow,
+    angular_negatives, decontaminate, embedding_whitening, lattice_lm, mix_sources, pack_harmonic, perplexity_rules, quality_rff, reshard_flow,
     secret_ledger, simhash_pivots, suffix_dedup, superkmer_dedup,
 )
 from playmetrics.llm.common import new_path, read_table, text_of
@@ -92,6 +92,12 @@ def op10_suffix_dedup(spark, sf_dir):
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_angular_negatives(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angular_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
 def op12_whitening(spark, sf_dir):
     return embedding_whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -105,5 +111,5 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_ledger, op2_perplexity_bands, op3_harmonic_packing, op4_superkmer_dedup,
     op5_benchmark_windows, op6_flow_resharding, op7_rff_quality,
     op8_lattice_likelihood, op9_simhash_pivots, op10_suffix_dedup,
-    op12_whitening, op13_exponential_mix,
+    op11_angular_negatives, op12_whitening, op13_exponential_mix,
 )}
