@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playmetrics.functions.text import damage_text, repair_text
-from playmetrics.operators import artists, cleaning as cl, distinct, geo, songs, subs, users
-from playmetrics.plans import rollups
+from playmetrics.operators import (
+    artists, cleaning as cl, distinct, geo, pruned, songs, subs, users,
+)
+from playmetrics.plans import bitmaps, materialize, rollups
 from playmetrics.sources import read_events, state_dim, testview as tv
 from playmetrics.sources.schemas import US_STATES, US_TERRITORIES
 
@@ -48,6 +50,8 @@ LOOKUP_USER = "17"
 HARD_STATE = "CA"
 HARD_SONG = "Brand#3"
 SPLIT_USERS = 1500
+# A scope of no tile: some states and months.
+RANGE_STATES, RANGE_YEAR, RANGE_MONTHS = ("CA", "CO", "AZ"), 1997, (3, 8)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -84,6 +88,26 @@ def _inline_table(spark, d, artist=ARTIST):
     return geo.map_join_inline(counts, tv.nation_dim(spark, d, with_regions=True))
 
 
+def _user_bitmaps(spark, d):
+    """(bitmaps, sums) of the harder view, written once as a dashboard's listens are."""
+    listens = materialize(_H(spark, d), "entry-listens")
+    return (bitmaps.user_bitmaps(listens, bitmaps.number_values(listens)),
+            bitmaps.listen_sums(listens))
+
+
+def _users_of_range(spark, d):
+    cells = _user_bitmaps(spark, d)[0].where(
+        F.col("state").isin(*RANGE_STATES) & (F.col("year") == RANGE_YEAR)
+        & F.col("month").between(*RANGE_MONTHS))
+    known = bitmaps.users_by(cells, include_null=False, alias="n_known").scalar()
+    return bitmaps.users_by(cells).withColumn("n_known", known)
+
+
+def _users_as_artists(spark, d):
+    """The harder view with a name for each user: more names than a top-N keeps."""
+    return _H(spark, d).withColumn("artist", F.concat(F.lit("user "), F.col("userId")))
+
+
 def _docs_damaged(spark, d, times):
     docs = tv.table(spark, d, "documents")
     return docs.select("doc_id", damage_text("text", times).alias("text"))
@@ -140,6 +164,18 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top50_binding": lambda s, d: artists.top_artists(_H(s, d), None, 50),
         "kpis_nulls": lambda s, d: users.kpis(_H(s, d)),
         "monthly_fractional": lambda s, d: users.monthly_listening(_H(s, d), HARD_STATE),
+        # A10, D3, D4 from bitmaps; A4, A5, O7 by pruning; J4, P9 behind a filter in the scan
+        "kpis_all_scopes_bitmaps": lambda s, d: bitmaps.kpis_all_scopes_from_bitmaps(
+            *_user_bitmaps(s, d)),
+        "monthly_users_bitmaps": lambda s, d: bitmaps.users_by(
+            _user_bitmaps(s, d)[0], ("year", "month")),
+        "users_of_range_bitmaps": _users_of_range,
+        "top50_pruned": lambda s, d: pruned.top_artists_pruned(_H(s, d), None, 50),
+        "top_users_pruned": lambda s, d: pruned.top_artists_pruned(
+            _users_as_artists(s, d), None, 10),
+        "top_users_pruned_state": lambda s, d: pruned.top_artists_pruned(
+            _users_as_artists(s, d), HARD_STATE, 10, buckets=256, first=16),
+        "relabeled_listens_filtered": lambda s, d: users.relabel_ever_paid_filtered(_L(s, d)),
         "top_artists_all_scopes_nulls": lambda s, d: rollups.top_artists_all_scopes(_H(s, d), 3),
         "top_artists_all_scopes_deep": lambda s, d: rollups.top_artists_all_scopes(_H(s, d), 1001),
         "map_prep_us": lambda s, d: geo.map_prep(_hard_counts(s, d), HARD_SONG, state_dim(s)),
@@ -374,6 +410,18 @@ def _top_all_scopes_sql(n: int) -> str:
             f" WHERE rank <= {n}")
 
 
+_USERS_SQL = ("CAST(count(DISTINCT userId) + coalesce(max(CASE WHEN userId IS NULL THEN 1 "
+              "ELSE 0 END), 0) AS BIGINT)")
+_TOP_USERS_SQL = ("SELECT 'user ' || userId AS artist, count(*) AS listens FROM L {where} "
+                  "GROUP BY userId ORDER BY listens DESC, artist NULLS FIRST LIMIT 10")
+_KPIS_ALL_SCOPES_SQL = (
+    f"SELECT {_SCOPE}, total_users, avg_duration, paid_duration FROM ("
+    f"SELECT state, grouping(state) AS g, {_USERS_SQL} AS total_users, "
+    "avg(duration) AS avg_duration, "
+    "sum(CASE WHEN subscription = 'paid' THEN duration END) AS paid_duration "
+    "FROM L GROUP BY GROUPING SETS ((), (state)))")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = core_oracle_sql()
     if corpus_pipeline is not None:
@@ -446,6 +494,27 @@ def core_oracle_sql() -> dict[str, str]:
         "top50_binding": wh + _top_artists_sql(n=50),
         "kpis_nulls": wh + _kpis_sql(),
         "monthly_fractional": wh + _monthly_sql(f"WHERE state = '{HARD_STATE}'"),
+        # A10, D3, D4 from bitmaps; A4, A5, O7 by pruning; J4, P9 behind a filter in the scan
+        "kpis_all_scopes_bitmaps": lambda s, d: bitmaps.kpis_all_scopes_from_bitmaps(
+            *_user_bitmaps(s, d)),
+        "monthly_users_bitmaps": lambda s, d: bitmaps.users_by(
+            _user_bitmaps(s, d)[0], ("year", "month")),
+        "users_of_range_bitmaps": _users_of_range,
+        "top50_pruned": lambda s, d: pruned.top_artists_pruned(_H(s, d), None, 50),
+        "top_users_pruned": lambda s, d: pruned.top_artists_pruned(
+            _users_as_artists(s, d), None, 10),
+        "top_users_pruned_state": lambda s, d: pruned.top_artists_pruned(
+            _users_as_artists(s, d), HARD_STATE, 10, buckets=256, first=16),
+        "relabeled_listens_filtered": lambda s, d: users.relabel_ever_paid_filtered(_L(s, d)),
+        "kpis_all_scopes_bitmaps": wh + _KPIS_ALL_SCOPES_SQL,
+        "monthly_users_bitmaps": wh + f"SELECT year, month, {_USERS_SQL} AS n_users FROM L "
+                                      "GROUP BY year, month",
+        "users_of_range_bitmaps": wh + f"SELECT {_USERS_SQL} AS n_users, "
+            f"count(DISTINCT userId) AS n_known FROM L WHERE state IN {RANGE_STATES} "
+            f"AND year = {RANGE_YEAR} AND month BETWEEN {RANGE_MONTHS[0]} AND {RANGE_MONTHS[1]}",
+        "top50_pruned": wh + _top_artists_sql(n=50),
+        "top_users_pruned": wh + _TOP_USERS_SQL.format(where=""),
+        "top_users_pruned_state": wh + _TOP_USERS_SQL.format(where=f"WHERE state = '{HARD_STATE}'"),
         "top_artists_all_scopes_nulls": wh + _top_all_scopes_sql(3),
         "top_artists_all_scopes_deep": wh + _top_all_scopes_sql(1001),
         "map_prep_us": _with(_H_SQL, _HC_SQL, _states_sql(US_STATES))
@@ -535,13 +604,7 @@ def core_oracle_sql() -> dict[str, str]:
               "CAST(sum(count) OVER (PARTITION BY g, state) AS DOUBLE) * 100.0 AS percentage "
               "FROM (SELECT state, subscription, count(*) AS count, grouping(state) AS g "
               "FROM L GROUP BY GROUPING SETS ((subscription), (state, subscription)))",
-        "kpis_all_scopes": wl
-            + f"SELECT {_SCOPE}, total_users, avg_duration, paid_duration FROM ("
-              "SELECT state, grouping(state) AS g, CAST(count(DISTINCT userId) + "
-              "coalesce(max(CASE WHEN userId IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) "
-              "AS total_users, avg(duration) AS avg_duration, "
-              "sum(CASE WHEN subscription = 'paid' THEN duration END) AS paid_duration "
-              "FROM L GROUP BY GROUPING SETS ((), (state)))",
+        "kpis_all_scopes": wl + _KPIS_ALL_SCOPES_SQL,
         "monthly_listening_all_scopes": wl
             + f"SELECT {_SCOPE}, year, month, month_name, subscription, total_duration FROM ("
               "SELECT state, year, month, month_name, subscription, grouping(state) AS g, "
@@ -552,6 +615,7 @@ def core_oracle_sql() -> dict[str, str]:
               "(state, year, month, month_name, subscription)))",
     }
     sql["relabeled_listens_split"] = sql["relabeled_listens"]
+    sql["relabeled_listens_filtered"] = sql["relabeled_listens"]
     # the incremental paths must give exactly the direct results
     sql["kpis_all_scopes_from_fold"] = sql["kpis_all_scopes"]
     sql["top_artists_all_scopes_from_counts"] = sql["top_artists_all_scopes"]

@@ -8,11 +8,13 @@ from .distinct import distinct_count, distinct_values, row_count, states_list
 from .geo import (attach_boundaries, exclude_states, in_alaska_box, in_hawaii_box,
                   in_rectangle, listens_bounds, map_join_inline, map_prep, map_scale,
                   only_state)
+from .membership import bloom_words, with_membership
+from .pruned import pruned_share, top_artists_pruned, top_pruned
 from .scope import NATIONWIDE, in_scope
 from .songs import state_songs, top_free_songs, top_paid_songs, top_songs
 from .subs import breakdown_labels, subscription_breakdown
 from .users import (ever_paid_users, kpi_labels, kpis, monthly_listening,
-                    relabel_ever_paid, user_rows)
+                    relabel_ever_paid, relabel_ever_paid_filtered, rows_to_join, user_rows)
 
 __all__ = [
     "artist_by_state", "artist_list", "artist_state_listens", "artist_totals", "artists_over",
@@ -24,5 +26,6 @@ __all__ = [
     "listens_bounds", "map_join_inline", "map_prep", "map_scale", "only_state", "NATIONWIDE",
     "in_scope", "state_songs", "top_free_songs", "top_paid_songs", "top_songs",
     "breakdown_labels", "subscription_breakdown", "ever_paid_users", "kpi_labels", "kpis",
-    "monthly_listening", "relabel_ever_paid", "user_rows",
+    "monthly_listening", "relabel_ever_paid", "relabel_ever_paid_filtered", "rows_to_join", "user_rows",
+    "bloom_words", "with_membership", "pruned_share", "top_artists_pruned", "top_pruned",
 ]

@@ -20,6 +20,7 @@ from pyspark.sql.types import MapType
 
 from ..functions.labels import count_label
 from .distinct import distinct_count_with_null
+from .membership import WORDS, bloom_words, with_membership
 from .scope import in_scope, is_national
 
 PAID = "paid"
@@ -74,6 +75,12 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     paid_flag = F.max(F.when(F.col("subscription") == F.lit(PAID), 1).otherwise(0))
     per_user = (df.groupBy("userId")
                 .agg(F.count(F.lit(1)).alias("__n"), paid_flag.alias("__paid")))
+    return _relabel_by(df, per_user, max_hot_users, salt_buckets)
+
+
+def _relabel_by(df: DataFrame, per_user: DataFrame, max_hot_users: int,
+                salt_buckets: int | None) -> DataFrame:
+    """``df`` relabelled by ``per_user``: (userId, rows of ``df`` __n, flag __paid)."""
     # from the per-user table; reading the flag too makes its exchange the one used below,
     # so ``df`` is not computed again for the total
     total = per_user.agg(F.sum(F.when(F.col("__paid") >= 0, F.col("__n")))).scalar()
@@ -99,6 +106,38 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
     ])
 
 
+def _with_open(df: DataFrame, words: int) -> DataFrame:
+    """``df`` and ``__open``: True on the rows that only a join can settle, those not paid yet
+    of a user who may have paid."""
+    paid = df.where(F.col("subscription") == F.lit(PAID))
+    tested = with_membership(df, bloom_words(paid, "userId", words), "userId", "__may", words)
+    open_ = F.col("__may") & ~F.col("subscription").eqNullSafe(F.lit(PAID))
+    return tested.withColumn("__open", open_).drop("__may")
+
+
+def relabel_ever_paid_filtered(df: DataFrame, max_hot_users: int = 100_000,
+                               salt_buckets: int | None = None, words: int = WORDS) -> DataFrame:
+    """`relabel_ever_paid`, moving only rows whose label can change.
+
+    A Bloom filter of the users with a paid row is tested in the scan. Rows that are paid
+    already, have no id, or fail the test keep their label where they are; only the others are
+    counted per user and joined, hot users apart as in `relabel_ever_paid`. Reads ``df`` a few
+    times to shuffle less of it; `rows_to_join` says how much less."""
+    tested = _with_open(df, words)
+    rest = tested.where("__open").drop("__open")
+    counts = rest.groupBy("userId").agg(F.count(F.lit(1)).alias("__n"))
+    per_user = counts.join(ever_paid_users(df).withColumn("__paid", F.lit(1)), "userId", "left").select(
+        "userId", "__n", F.coalesce("__paid", F.lit(0)).alias("__paid"))
+    return tested.where("NOT __open").drop("__open").unionByName(
+        _relabel_by(rest, per_user, max_hot_users, salt_buckets))
+
+
+def rows_to_join(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row: ``rows``, and ``joined``, those that `relabel_ever_paid_filtered` shuffles."""
+    return _with_open(df, words).agg(F.count(F.lit(1)).alias("rows"),
+                                     F.count(F.when(F.col("__open"), 1)).alias("joined"))
+
+
 def _folded_with_ever_paid(df: DataFrame, *more_keys: str) -> DataFrame:
     """One row per (user[, more keys], year, month, level) with summed duration and
     the level relabelled to 'paid' for users who ever paid.

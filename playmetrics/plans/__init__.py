@@ -1,3 +1,5 @@
+from .bitmaps import (kpis_all_scopes_from_bitmaps, listen_sums, number_values, user_bitmaps,
+                      users_by)
 from .materialize import (append_tile_parts, checkpoint_dir, materialize, materialize_dashboard,
                           reliable_checkpoint, tiles_from_parts)
 from .rollups import (dashboard_tables, kpis_all_scopes, kpis_all_scopes_from_fold,
@@ -6,6 +8,7 @@ from .rollups import (dashboard_tables, kpis_all_scopes, kpis_all_scopes_from_fo
                       top_songs_all_scopes, user_month_fold)
 
 __all__ = [
+    "kpis_all_scopes_from_bitmaps", "listen_sums", "number_values", "user_bitmaps", "users_by",
     "append_tile_parts", "checkpoint_dir", "materialize", "materialize_dashboard",
     "reliable_checkpoint", "tiles_from_parts",
     "dashboard_tables", "listen_counts", "user_month_fold", "kpis_all_scopes",
