@@ -10,16 +10,23 @@ sides; ties in every top-N are broken by name on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playmetrics.functions.text import damage_text, repair_text
 from playmetrics.operators import (
-    artists, cleaning as cl, distinct, geo, pruned, songs, subs, users,
+    artists, cleaning as cl, dictionary, distinct, geo, pruned, songs, subs, users,
+)
+from playmetrics.plans import (
+    append_tile_parts, bitmaps, fresh_tiles, materialize, refresh_parts, rollups, scratch_path,
+    tiles_from_parts,
+)
+from playmetrics.sources import (
+    ingest, ingested, quarantine, read_auth_events, read_boundaries, read_events, read_listen_events, state_dim,
+    testview as tv, variant,
 )
-from playmetrics.plans import bitmaps, materialize, rollups
-from playmetrics.sources import read_events, state_dim, testview as tv
 from playmetrics.sources.schemas import US_STATES, US_TERRITORIES
 
 try:  # the training-data operators are optional; nothing else here needs them
@@ -108,6 +115,78 @@ def _users_as_artists(spark, d):
     return _H(spark, d).withColumn("artist", F.concat(F.lit("user "), F.col("userId")))
 
 
+def _feed(df, name):
+    """The folder of JSON lines that ``df`` is written to, in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.json(path) if df.columns != ["value"] else df.write.text(path)
+    return path
+
+
+def _boundary_feed(spark, d):
+    path = scratch_path(spark, "boundaries")
+    tv.nation_boundaries(spark, d).write.parquet(path)
+    return read_boundaries(spark, path)
+
+
+def _page_views(spark, d):
+    rows, _ = variant.read_events_inferred(spark, _feed(tv.page_view_lines(spark, d), "page-views"))
+    return rows.select("event_id", "user", "kind", "value", "amount", F.col("extra")["k"].alias("k"))
+
+
+def _undated(spark, d):
+    """The harder view; rows without a user have no month either. Written once."""
+    dated = F.col("userId").isNotNull()
+    return materialize(_H(spark, d).withColumns({
+        c: F.when(dated, F.col(c)) for c in ("ts", "year", "month", "month_name")}), "entry-undated")
+
+
+def _refreshed(spark, d, tile):
+    """Tiles kept fresh: all but some rows of each year's March first, then everything."""
+    listens, name = _undated(spark, d), f"entry-{uuid.uuid4().hex}"
+    refresh_parts(listens.where("NOT (month <=> 3 AND artist IS NULL)"), name)
+    refresh_parts(listens, name)
+    return fresh_tiles(spark, name)[tile]
+
+
+def _appended(spark, d, tile):
+    """Tiles from two batches that both have rows without a month, the second one run twice."""
+    listens, name = _undated(spark, d), f"entry-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("year") < 1998, F.col("state").isNull())
+    append_tile_parts(listens.where(first), name)
+    append_tile_parts(listens.where(~first), name)
+    return tiles_from_parts(spark, append_tile_parts(listens.where(~first), name))[tile]
+
+
+def _ingested(spark, d):
+    """``events`` as a feed folder that grows between loads, loaded thrice."""
+    events, feed, store = tv.table(spark, d, "events"), scratch_path(spark, "feed"), scratch_path(spark, "store")
+
+    def read(s, paths):
+        return s.read.schema(events.schema).parquet(*paths)
+
+    for part in (F.col("event_id") % 3 < 2, F.col("event_id") % 3 == 2, None):
+        if part is not None:
+            events.where(part).write.mode("append").parquet(feed)
+        ingest(spark, feed, store, read, "*.parquet")
+    return ingested(spark, store)
+
+
+def _cleaned_by_dictionary(spark, d):
+    """Damaged events cleaned by a dictionary that was begun on half of them."""
+    raw = tv.damaged_listen_events(spark, d)
+    begun = dictionary.repair_dictionary(raw.where("sessionId % 2 = 0"))
+    known = materialize(dictionary.repair_dictionary(raw, begun), "entry-dictionary")
+    return dictionary.clean_by_dictionary(raw, known, "UTC")
+
+
+def _scaled_kpis(spark, d):
+    """KPIs as of a far larger feed, so that no label is 0."""
+    k = users.kpis(_H(spark, d))
+    return k.select((k["total_users"] * 1234).alias("total_users"),
+                    (k["avg_duration"] * 17).alias("avg_duration"),
+                    (k["paid_duration"] * 97_531).alias("paid_duration"))
+
+
 def _docs_damaged(spark, d, times):
     docs = tv.table(spark, d, "documents")
     return docs.select("doc_id", damage_text("text", times).alias("text"))
@@ -181,10 +260,34 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "map_prep_us": lambda s, d: geo.map_prep(_hard_counts(s, d), HARD_SONG, state_dim(s)),
         "map_join_inline_57": lambda s, d: geo.map_join_inline(
             _hard_counts(s, d), state_dim(s, include_territories=True)),
-        # A parquet feed through the reader
+        # A parquet feed through the reader; feeds of JSON lines, good and bad
         "read_parquet_feed": lambda s, d: read_events(
-            s, f"{d}/events.parquet", "event_id bigint, user_id bigint, event_type string, "
-            "value double", "parquet"),
+            s, f"{d}/events.parquet", tv.DRIVER_SCHEMAS["events"], "parquet"),
+        "listen_feed": lambda s, d: cl.clean(read_listen_events(
+            s, _feed(tv.raw_listen_events(s, d), "listens")), time_zone="UTC"),
+        "auth_feed": lambda s, d: read_auth_events(
+            s, _feed(tv.audit_events(s, d).drop("event_id", "event_type"), "auth")),
+        "auth_feed_checked": lambda s, d: quarantine.read_auth_events_checked(
+            s, _feed(tv.audit_lines(s, d), "auth-lines"))[0],
+        "auth_feed_quarantined": lambda s, d: quarantine.read_auth_events_checked(
+            s, _feed(tv.audit_lines(s, d), "auth-lines"))[1].groupBy("reason").agg(
+                F.count("*").alias("n"), F.count_distinct("file", "offset").alias("places")),
+        "split_json_good": lambda s, d: quarantine.split_json(
+            tv.props_lines(s, d), "line", "k bigint", ("event_id",))[0],
+        "split_json_bad": lambda s, d: quarantine.split_json(
+            tv.props_lines(s, d), "line", "k bigint", ("event_id",))[1],
+        # Files by manifest; C1: stale months, batches; P7, P8: names repaired once
+        "ingested_events": _ingested,
+        "refreshed_top_artists": lambda s, d: _refreshed(s, d, "top_artists"),
+        "refreshed_kpis": lambda s, d: _refreshed(s, d, "kpis"),
+        "refreshed_monthly": lambda s, d: _refreshed(s, d, "monthly_listening"),
+        "appended_kpis": lambda s, d: _appended(s, d, "kpis"),
+        "clean_by_dictionary": _cleaned_by_dictionary,
+        # Feeds of unknown columns; S8
+        "page_views_inferred": _page_views,
+        "status_changes_inferred": lambda s, d: variant.read_events_inferred(
+            s, _feed(tv.status_lines(s, d), "status"))[0],
+        "boundary_feed": _boundary_feed,
         "monthly_listening": lambda s, d: users.monthly_listening(_L(s, d)),
         "monthly_listening_state": lambda s, d: users.monthly_listening(_L(s, d), STATE),
         # D1, D2, D3, D4, D5
@@ -223,6 +326,19 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # P2, P5, P6, P7, P8
         "listen_projection": lambda s, d: cl.listen_view(tv.raw_listen_events(s, d)),
         "clean_events": lambda s, d: cl.clean(tv.raw_listen_events(s, d), time_zone="UTC"),
+        "clean_events_damaged": lambda s, d: cl.clean(
+            tv.damaged_listen_events(s, d), time_zone="UTC"),
+        "artist_by_state_raw_damaged": lambda s, d: artists.artist_by_state(cl.clean(
+            cl.where_clean_equals(tv.damaged_listen_events(s, d), "artist", ARTIST + tv.ACCENT)),
+            ARTIST + tv.ACCENT),
+        "clean_events_ts": lambda s, d: cl.clean(tv.raw_listen_events(s, d)).select(
+            "userId", "song", "artist", F.unix_millis("ts").alias("ts_ms")),
+        "damaged_text": lambda s, d: _docs_damaged(s, d, 1),
+        "repair_text_three_layers": lambda s, d: _docs_damaged(s, d, 3).select(
+            "doc_id", repair_text("text", layers=3).alias("text")),
+        "kpi_labels_scaled": lambda s, d: users.kpi_labels(_scaled_kpis(s, d)),
+        "top_users_all_scopes_deep": lambda s, d: rollups.top_artists_all_scopes(
+            _users_as_artists(s, d), 1001),
         "repair_text": lambda s, d: _docs_damaged(s, d, 2).select(
             "doc_id", repair_text("text").alias("text")),
         "repair_text_once": lambda s, d: _docs_damaged(s, d, 1).select(
@@ -301,6 +417,12 @@ _H_SQL = f"""L AS (
   JOIN part ON l_partkey = p_partkey
   JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey)"""
+_U_SQL = (_H_SQL.replace("L AS (", "U0 AS (", 1) + """,
+L AS (
+  SELECT * REPLACE (CASE WHEN userId IS NOT NULL THEN ts END AS ts,
+                    CASE WHEN userId IS NOT NULL THEN year END AS year,
+                    CASE WHEN userId IS NOT NULL THEN month END AS month,
+                    CASE WHEN userId IS NOT NULL THEN month_name END AS month_name) FROM U0)""")
 _HC_SQL = (f"C AS (SELECT song AS artist, state, count(*) AS listens FROM L "
            f"WHERE song = '{HARD_SONG}' GROUP BY song, state)")
 
@@ -325,6 +447,22 @@ _AUDIT_SQL = """A AS (
          event_id, event_type
   FROM events)"""
 
+_AUTH_COLS = ("userId, lastName, firstName, gender, city, state, zip, lat, lon, level, "
+              "sessionId, itemInSession, registration, success, userAgent, ts")
+
+_PROPS_SQL = """P0 AS (
+  SELECT event_id, CASE event_id % 10
+           WHEN 3 THEN substr(props, 1, length(props) - 1) WHEN 4 THEN '{"k": "x"}'
+           WHEN 5 THEN '[' || props || ']' WHEN 6 THEN '  '
+           WHEN 7 THEN props || ' ' || props ELSE props END AS line
+  FROM events),
+P AS (
+  SELECT *, CASE WHEN regexp_matches(line, '^\\{[^{}]*\\}\\s*\\S') THEN 'text after the object'
+                 WHEN NOT json_valid(line) THEN 'not JSON'
+                 WHEN json_type(line) <> 'OBJECT' THEN 'not an object'
+                 WHEN json_type(line, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 'wrong type'
+            END AS reason FROM P0)"""
+
 _DIM_SQL = """D AS (
   SELECT r_name || '/' || n_name AS NAME, n_name AS state
   FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -383,6 +521,15 @@ def _kpis_sql(where: str = "") -> str:
             f"FROM L {where}")
 
 
+def _labels_sql(source: str) -> str:
+    return ("SELECT CAST(CAST(round_even(total_users / 1000.0, 0) AS BIGINT) AS VARCHAR) || 'k+' "
+            "AS users_label, "
+            "CAST(CAST(round_even(avg_duration / 60.0, 0) AS BIGINT) AS VARCHAR) || ' MIN' "
+            "AS avg_label, "
+            "CAST(CAST(round_even(paid_duration / 3600000.0, 0) AS BIGINT) AS VARCHAR) "
+            f"|| 'k+ H' AS paid_label FROM {source}")
+
+
 def _monthly_sql(where: str = "") -> str:
     return (f"SELECT year, month, month_name, "
             f"CASE WHEN userId IN (SELECT userId FROM L WHERE subscription = 'paid') "
@@ -422,6 +569,16 @@ _KPIS_ALL_SCOPES_SQL = (
     "FROM L GROUP BY GROUPING SETS ((), (state)))")
 
 
+_MONTHLY_ALL_SCOPES_SQL = (
+    f"SELECT {_SCOPE}, year, month, month_name, subscription, total_duration FROM ("
+    "SELECT state, year, month, month_name, subscription, grouping(state) AS g, "
+    "sum(duration) / 60.0 AS total_duration FROM (SELECT state, year, month, "
+    "month_name, CASE WHEN userId IN (SELECT userId FROM L WHERE subscription = "
+    "'paid') THEN 'paid' ELSE subscription END AS subscription, duration FROM L) "
+    "GROUP BY GROUPING SETS ((year, month, month_name, subscription), "
+    "(state, year, month, month_name, subscription)))")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = core_oracle_sql()
     if corpus_pipeline is not None:
@@ -477,14 +634,10 @@ def core_oracle_sql() -> dict[str, str]:
                                     f"FROM ({_breakdown_sql()})",
         "kpis": wl + _kpis_sql(),
         "kpis_state": wl + _kpis_sql(state),
-        "kpi_labels": wl + "SELECT "
-            "CAST(CAST(round_even(total_users / 1000.0, 0) AS BIGINT) AS VARCHAR) || 'k+' "
-            "AS users_label, "
-            "CAST(CAST(round_even(avg_duration / 60.0, 0) AS BIGINT) AS VARCHAR) || ' MIN' "
-            "AS avg_label, "
-            "CAST(CAST(round_even(paid_duration / 3600000.0, 0) AS BIGINT) AS VARCHAR) "
-            "|| 'k+ H' AS paid_label "
-            f"FROM ({_kpis_sql()})",
+        "kpi_labels": wl + _labels_sql(f"({_kpis_sql()})"),
+        "kpi_labels_scaled": wh + _labels_sql(
+            "(SELECT total_users * 1234 AS total_users, avg_duration * 17 AS avg_duration, "
+            f"paid_duration * 97531 AS paid_duration FROM ({_kpis_sql()}))"),
         "ever_paid_users": wl + "SELECT DISTINCT userId FROM L "
                                 "WHERE subscription = 'paid' AND userId IS NOT NULL",
         "relabeled_listens": wl + "SELECT userId, artist, song, state, duration, "
@@ -523,7 +676,27 @@ def core_oracle_sql() -> dict[str, str]:
         "map_join_inline_57": _with(_H_SQL, _HC_SQL, _states_sql(US_STATES + US_TERRITORIES))
             + "SELECT C.artist, C.state AS state_x, C.listens, U.NAME AS state_y "
               "FROM U LEFT JOIN C ON U.state = C.state",
-        "read_parquet_feed": "SELECT event_id, user_id, event_type, value FROM events",
+        "read_parquet_feed": "SELECT * FROM events",
+        "auth_feed": _with(_AUDIT_SQL) + f"SELECT {_AUTH_COLS} FROM A",
+        "auth_feed_checked": _with(_AUDIT_SQL) + f"SELECT {_AUTH_COLS} FROM A "
+                                                 "WHERE sessionId % 10 <> 8",
+        "auth_feed_quarantined": _with(_AUDIT_SQL) + "SELECT 'not JSON' AS reason, count(*) AS n, "
+                                 "count(*) AS places FROM A WHERE sessionId % 10 = 8",
+        "split_json_good": _with(_PROPS_SQL) + "SELECT event_id, "
+            "CAST(json_extract(line, '$.k') AS BIGINT) AS k FROM P WHERE reason IS NULL",
+        "split_json_bad": _with(_PROPS_SQL) + "SELECT event_id, reason, line FROM P "
+                                              "WHERE reason IS NOT NULL AND trim(line) <> ''",
+        "page_views_inferred": "SELECT event_id, CAST(user_id AS VARCHAR) AS user, "
+            "event_type AS kind, value, CASE WHEN event_type = 'purchase' THEN value END AS amount, "
+            "CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+        "status_changes_inferred": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
+                                   "o_orderpriority FROM orders",
+        "ingested_events": "SELECT * FROM events",
+        "refreshed_top_artists": _with(_U_SQL) + _top_all_scopes_sql(10),
+        "refreshed_kpis": _with(_U_SQL) + _KPIS_ALL_SCOPES_SQL,
+        "refreshed_monthly": _with(_U_SQL) + _MONTHLY_ALL_SCOPES_SQL,
+        "appended_kpis": _with(_U_SQL) + _KPIS_ALL_SCOPES_SQL,
+        "boundary_feed": _with(_BOUNDS_SQL) + "SELECT * FROM B",
         "monthly_listening": wl + _monthly_sql(),
         "monthly_listening_state": wl + _monthly_sql(state),
         "distinct_values": _with(_AUDIT_SQL) + "SELECT DISTINCT success FROM A",
@@ -581,8 +754,7 @@ def core_oracle_sql() -> dict[str, str]:
         "null_level_rows": _with(_AUDIT_SQL)
             + "SELECT * FROM A WHERE level IS NULL AND userId IS NOT NULL",
         "auth_projection": _with(_AUDIT_SQL)
-            + "SELECT userId, lastName, firstName, gender, city, state, zip, lat, lon, level, "
-              "sessionId, itemInSession, registration, success, userAgent, ts FROM A",
+            + f"SELECT {_AUTH_COLS} FROM A",
         "listen_projection": _with(_RAW_SQL)
             + "SELECT userId, lastName, firstName, gender, song, artist, duration, sessionId, "
               "itemInSession, auth, level AS subscription, city, state, zip, lat, lon, "
@@ -592,6 +764,16 @@ def core_oracle_sql() -> dict[str, str]:
               "itemInSession, auth, level AS subscription, city, state, zip, lat, lon, "
               "registration, userAgent, ts, CAST(year(ts) AS INTEGER) AS year, "
               "CAST(month(ts) AS INTEGER) AS month, monthname(ts) AS month_name FROM R",
+        "artist_by_state_raw_damaged": wl + f"SELECT artist || '{tv.ACCENT}' AS artist, state, "
+            f"count(*) AS listens FROM L WHERE artist = '{ARTIST}' GROUP BY artist, state",
+        "clean_events_ts": _with(_RAW_SQL) + "SELECT userId, song, artist, epoch_ms(ts) AS ts_ms "
+                                             "FROM R",
+        # each byte of the text's UTF-8 becomes the character of that number
+        "damaged_text": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string("
+            "list_transform(regexp_extract_all(hex(encode(text)), '..'), "
+            "lambda x: chr(CAST('0x' || x AS INTEGER))), '') END AS text FROM documents",
+        "top_users_all_scopes_deep": _with(_H_SQL.replace("CASE WHEN l_linenumber <> 6 THEN p_name END",
+            "CASE WHEN l_linenumber <> 7 THEN 'user ' || o_custkey END")) + _top_all_scopes_sql(1001),
         "repair_text": "SELECT doc_id, text FROM documents",
         "repair_text_once": "SELECT doc_id, text FROM documents",
         "repair_text_compat": "SELECT doc_id, text FROM documents",
@@ -605,17 +787,15 @@ def core_oracle_sql() -> dict[str, str]:
               "FROM (SELECT state, subscription, count(*) AS count, grouping(state) AS g "
               "FROM L GROUP BY GROUPING SETS ((subscription), (state, subscription)))",
         "kpis_all_scopes": wl + _KPIS_ALL_SCOPES_SQL,
-        "monthly_listening_all_scopes": wl
-            + f"SELECT {_SCOPE}, year, month, month_name, subscription, total_duration FROM ("
-              "SELECT state, year, month, month_name, subscription, grouping(state) AS g, "
-              "sum(duration) / 60.0 AS total_duration FROM (SELECT state, year, month, "
-              "month_name, CASE WHEN userId IN (SELECT userId FROM L WHERE subscription = "
-              "'paid') THEN 'paid' ELSE subscription END AS subscription, duration FROM L) "
-              "GROUP BY GROUPING SETS ((year, month, month_name, subscription), "
-              "(state, year, month, month_name, subscription)))",
+        "monthly_listening_all_scopes": wl + _MONTHLY_ALL_SCOPES_SQL,
     }
     sql["relabeled_listens_split"] = sql["relabeled_listens"]
     sql["relabeled_listens_filtered"] = sql["relabeled_listens"]
+    sql["repair_text_three_layers"] = sql["repair_text"]
+    sql["listen_feed"] = sql["clean_events"]
+    sql["clean_events_damaged"] = sql["clean_events"].replace(
+        "song, artist,", f"song || '{tv.ACCENT}' AS song, artist || '{tv.ACCENT}' AS artist,", 1)
+    sql["clean_by_dictionary"] = sql["clean_events_damaged"]
     # the incremental paths must give exactly the direct results
     sql["kpis_all_scopes_from_fold"] = sql["kpis_all_scopes"]
     sql["top_artists_all_scopes_from_counts"] = sql["top_artists_all_scopes"]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 WIDE = r"[^\x00-\xff]"        # some character does not fit in Latin-1
 NON_ASCII = r"[^\x00-\x7f]"   # some character is outside ASCII
 
+#: Layers of damage undone by default.
 MAX_LAYERS = 2
 
 
@@ -67,8 +68,12 @@ def _lossy_decode(x: Column) -> Column:
     return F.make_valid_utf8(_latin1_bytes_as_string(x))
 
 
-def repair_text(c: Column | str, mode: str = "intended") -> Column:
-    """Undo up to two layers of UTF-8-read-as-Latin-1 damage.
+def repair_text(c: Column | str, mode: str = "intended", layers: int = MAX_LAYERS) -> Column:
+    """Undo up to ``layers`` layers of UTF-8-read-as-Latin-1 damage.
+
+    ``layers`` (1 or more) counts in ``mode='intended'`` only: text damaged more often comes
+    back with the rest of its damage. Each more layer makes the expression longer, and costs
+    only the texts that have it.
 
     ``mode='intended'``: each layer is applied only when it yields valid UTF-8,
     so correct text, text with characters above U+00FF, and NULL pass unchanged.
@@ -81,7 +86,9 @@ def repair_text(c: Column | str, mode: str = "intended") -> Column:
     """
     t = _col(c)
     if mode == "intended":
-        return F.when(t.rlike(NON_ASCII), _layers(t, MAX_LAYERS)).otherwise(t)
+        if layers < 1:
+            raise ValueError("layers must be 1 or more")
+        return F.when(t.rlike(NON_ASCII), _layers(t, layers)).otherwise(t)
     if mode == "compat":
         unchanged = (t.isNull() | ~t.rlike(NON_ASCII) | t.rlike(WIDE)
                      | (F.instr(t, "?") > 0))

@@ -4,10 +4,12 @@ from .artists import (artist_by_state, artist_list, artist_state_listens, artist
 from .cleaning import (auth_view, clean, complete_rows, drop_null_users, listen_view,
                        null_audit, null_level_rows, null_user_rows, where_clean_equals,
                        with_calendar)
+from .dictionary import clean_by_dictionary, repair_by_dictionary, repair_dictionary
 from .distinct import distinct_count, distinct_values, row_count, states_list
 from .geo import (attach_boundaries, exclude_states, in_alaska_box, in_hawaii_box,
                   in_rectangle, listens_bounds, map_join_inline, map_prep, map_scale,
                   only_state)
+from .lookup import attach
 from .membership import bloom_words, with_membership
 from .pruned import pruned_share, top_artists_pruned, top_pruned
 from .scope import NATIONWIDE, in_scope
@@ -17,6 +19,7 @@ from .users import (ever_paid_users, kpi_labels, kpis, monthly_listening,
                     relabel_ever_paid, relabel_ever_paid_filtered, rows_to_join, user_rows)
 
 __all__ = [
+    "attach", "clean_by_dictionary", "repair_by_dictionary", "repair_dictionary",
     "artist_by_state", "artist_list", "artist_state_listens", "artist_totals", "artists_over",
     "artists_over_count", "top_artist_at", "top_artists", "top_artists_display", "top_n", "auth_view", "clean",
     "complete_rows", "drop_null_users", "listen_view", "null_audit", "null_level_rows",

@@ -32,7 +32,8 @@ def clean(df: DataFrame, repair_mode: str = "intended",
 
     Repairs ``artist`` and ``song`` text, keeps the 19 listen columns with
     ``level`` as ``subscription``, turns epoch-ms ``ts`` into a timestamp and
-    adds the calendar columns. With ``time_zone=None`` ``ts`` is a TIMESTAMP
+    adds the calendar columns (``repair_mode='none'``: names are repaired already). With
+    ``time_zone=None`` ``ts`` is a TIMESTAMP
     and the calendar follows the session time zone (pin it); with a zone name
     ``ts`` is that zone's wall-clock TIMESTAMP_NTZ and the calendar no longer
     depends on the session. One projection, all native expressions, so
@@ -42,7 +43,8 @@ def clean(df: DataFrame, repair_mode: str = "intended",
     cols = []
     for c in LISTEN_COLUMNS:
         if c in ("artist", "song"):
-            cols.append(repair_text(F.col(c), repair_mode).alias(c))
+            cols.append(F.col(c) if repair_mode == "none"
+                        else repair_text(F.col(c), repair_mode).alias(c))
         elif c == "level":
             cols.append(F.col(c).alias("subscription"))
         elif c == "ts":

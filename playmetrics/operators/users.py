@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 from ..functions.labels import count_label
 from .distinct import distinct_count_with_null
+from .lookup import attach
 from .membership import WORDS, bloom_words, with_membership
 from .scope import in_scope, is_national
 
@@ -81,25 +81,9 @@ def relabel_ever_paid(df: DataFrame, max_hot_users: int = 100_000,
 def _relabel_by(df: DataFrame, per_user: DataFrame, max_hot_users: int,
                 salt_buckets: int | None) -> DataFrame:
     """``df`` relabelled by ``per_user``: (userId, rows of ``df`` __n, flag __paid)."""
-    # from the per-user table; reading the flag too makes its exchange the one used below,
-    # so ``df`` is not computed again for the total
-    total = per_user.agg(F.sum(F.when(F.col("__paid") >= 0, F.col("__n")))).scalar()
-    is_hot = F.col("__n") * F.lit(max_hot_users) > total
-    known = F.col("userId").isNotNull()
-    hot = per_user.where(known & is_hot).select("userId", F.col("__paid").alias("__hot"))
-    cold = per_user.where(known & ~is_hot).select(
-        "userId", F.col("__paid").alias("__cold"), F.lit(0).cast("long").alias("__salt"))
-
-    buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.join(F.broadcast(hot), on="userId", how="left")
-    spread = F.col("userId").isNull() | F.col("__hot").isNotNull()
-    hashable = [F.col(f.name) for f in df.schema.fields
-                if not isinstance(f.dataType, MapType)]  # hashing a map is an error
-    salt = F.when(spread, F.pmod(F.xxhash64(*hashable),
-                                 F.lit(buckets)) + 1).otherwise(F.lit(0).cast("long"))
-    joined = tagged.withColumn("__salt", salt).join(cold, on=["userId", "__salt"], how="left")
-    ever_paid = known & (F.coalesce(F.col("__hot"), F.col("__cold")) == 1)
-    return joined.select(*[
+    flagged = attach(df, per_user, "userId", "__paid", max_hot_users, salt_buckets)
+    ever_paid = F.coalesce(F.col("__paid") == 1, F.lit(False))
+    return flagged.select(*[
         F.when(ever_paid, F.lit(PAID)).otherwise(F.col(c)).alias(c)
         if c == "subscription" else F.col(c)
         for c in df.columns

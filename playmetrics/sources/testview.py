@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import damage_text
 from ..functions.time import calendar_columns, ntz_to_epoch_millis
 from .schemas import US_STATES
 
@@ -207,3 +208,56 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ntz_to_epoch_millis("ts").alias("ts"),
         "event_id", "event_type",
     )
+
+
+#: An accented ending, so that damage changes a name.
+ACCENT = " Beyoncé"
+
+
+def damaged_listen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`raw_listen_events` with accented artists and songs, damaged as often as the item's
+    number modulo 3 says: never, once or twice."""
+    times = F.col("itemInSession") % 3
+    return raw_listen_events(spark, sf_dir).withColumns({
+        c: F.when(times == 0, name).when(times == 1, damage_text(name, 1))
+        .otherwise(damage_text(name, 2))
+        for c in ("artist", "song") for name in [F.concat(F.col(c), F.lit(ACCENT))]})
+
+
+def props_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, line): the JSON text of ``events.props``, broken by the id's last digit: 3 cut
+    short, 4 a text for the number, 5 an array, 6 blank, 7 twice on a line."""
+    digit, props = F.col("event_id") % 10, F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", F.when(
+        digit == 3, F.substring(props, F.lit(1), F.length(props) - 1)).when(
+        digit == 4, F.lit('{"k": "x"}')).when(digit == 5, F.concat(F.lit("["), props, F.lit("]")))
+        .when(digit == 6, F.lit("  ")).when(digit == 7, F.concat_ws(" ", props, props))
+        .otherwise(props).alias("line"))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): `audit_events` as JSON lines; those whose session's last digit is 8 are cut short."""
+    e = audit_events(spark, sf_dir).drop("event_id", "event_type")
+    line = F.to_json(F.struct("*"))
+    return e.select(F.when(F.col("sessionId") % 10 == 8, F.substring(line, F.lit(1), F.length(line) - 1))
+                    .otherwise(line).alias("value"))
+
+
+def page_view_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): ``events`` as JSON lines of unequal shape: ``user`` a text on every fourth
+    event, ``amount`` on purchases only, ``extra`` an object."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    return e.select(F.concat(
+        F.lit('{"event_id": '), "event_id", F.lit(', "user": '),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), user, F.lit('"'))).otherwise(user),
+        F.lit(', "kind": "'), "event_type", F.lit('", "value": '), F.col("value").cast("string"),
+        F.when(F.col("event_type") == "purchase", F.concat(
+            F.lit(', "amount": '), F.col("value").cast("string"))).otherwise(F.lit("")),
+        F.lit(', "extra": '), "props", F.lit("}")).alias("value"))
+
+
+def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): ``orders`` as JSON lines."""
+    return table(spark, sf_dir, "orders").select(F.to_json(F.struct(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).alias("value"))
