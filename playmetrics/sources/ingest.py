@@ -5,7 +5,8 @@ twice. The manifest holds (file, size, time) of every file taken in. A load list
 leaves out what the manifest has, reads the rest, writes their rows as a batch and commits the
 batch's manifest last. A file listed again as it was is not read again; one that changed is
 read anew and its old rows no longer count; a load that dies before its commit leaves rows that
-no reader looks at. What a feed no longer lists stays in the table.
+no reader looks at. What a feed no longer lists stays in the table;
+Spark lists no empty file, so a file emptied counts as gone.
 
 Listing and comparing are tables; only the names of new files and of batches reach the driver,
 where Spark's own reader keeps them as well.

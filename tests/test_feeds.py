@@ -1,0 +1,178 @@
+"""Feeds: quarantined lines with their place, unknown columns, files taken in once."""
+
+import os
+
+import pytest
+
+from playmetrics.plans import drop_scratch, materialize, scratch_path
+from playmetrics.sources import (
+    infer_fields, ingest, ingested, line_counts, list_files, manifest, new_files,
+    read_events_checked, read_events_inferred, read_listen_events_checked, split_json, typed_columns,
+)
+from playmetrics.sources.variant import column_names
+
+LINES = {
+    '{"k": 69}': None, '{"k": 69': "not JSON", '{"k": "x"}': "wrong type", "": "", "  ": "",
+    "garbage": "not JSON", '[{"k":1}]': "not an object", "5": "not an object",
+    '{"k": 1} x': "text after the object", '{"k":1}{"k":2}': "text after the object",
+    '{"k":1},{"k":2}': "text after the object", "null": "not an object", '{"k":null}': None, "{}": None,
+    '{"K":3}': None, '{"k":1.5}': "wrong type", '{"z":"}{ \\" }{"}': None,
+    '{"a":[{"x":1},{"x":[2,{}]}],"k":4}': None, '{"k": 7}  \r': None, "bäd é": "not JSON",
+}
+
+
+def write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "wb") as f:
+        f.write(text.encode() if isinstance(text, str) else text)
+
+
+@pytest.fixture()
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_every_line_is_good_bad_or_blank(spark, tmp_path, small_splits):
+    d = str(tmp_path / "feed")
+    write(d, "a.json", "\n".join(LINES))
+    write(d, "b.json", "\n".join([*reversed(LINES), '{"k": 5}\n']))
+    write(d, "empty.json", "")
+    good, bad = read_events_checked(spark, d, "k bigint")
+    want = sorted(r for r in LINES.values() if r) * 2
+    rows = bad.collect()
+    assert sorted(r["reason"] for r in rows) == sorted(want)
+    assert {r["line"]: r["reason"] for r in rows} == {k: v for k, v in LINES.items() if v}
+    counts = line_counts(spark, d).first()
+    assert good.count() + len(rows) + counts["blank"] == counts["lines"]
+    assert sorted(r["k"] for r in good.where("k IS NOT NULL").collect()) == [4, 4, 5, 7, 7, 69, 69]
+    for r in rows:  # the place is the line's
+        with open(r["file"].removeprefix("file:").replace("///", "/"), "rb") as f:
+            f.seek(r["offset"])
+            assert f.read(len(r["line"].encode())) == r["line"].encode()
+    assert len({(r["file"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_good_lines_equal_a_plain_read(spark, tmp_path):
+    d = str(tmp_path / "feed")
+    write(d, "a.json", '{"userId":"1","ts":5,"duration":1.5,"more":[1]}\n{"userId":7}\n')
+    good, bad = read_listen_events_checked(spark, d)
+    plain = spark.read.schema(good.schema).json(d)
+    assert sorted(map(str, good.collect())) == sorted(map(str, plain.collect())) and bad.count() == 0
+
+
+def test_split_json_of_a_column(spark):
+    df = spark.createDataFrame([(1, '{"k":1}'), (2, None), (3, "x"), (4, "")], "id long, props string")
+    good, bad = split_json(df, "props", "k bigint", ("id",))
+    assert [tuple(r) for r in good.collect()] == [(1, 1)]
+    assert [tuple(r) for r in bad.collect()] == [(3, "not JSON", "x")]
+    assert split_json(df.where("false"), "props", "k bigint")[0].collect() == []
+
+
+# ------------------------------------------------------------------ unknown columns
+
+def test_columns_of_every_line_are_found(spark):
+    rows = ['{"a":1,"b":2.5,"c":{"d":[1,2]},"e":null,"F g":true,"m":1}',
+            '{"a":3,"b":2,"m":"s","big":12345678901234567890,"x.y":1,"A":7,"it\'s":3,"q\'\\"":4,'
+            '"back`t":1,"o":{"p":1,"P":2},"mix":[1,"a"],"r":1e3}', "[1]", None, "", "oops"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, line string")
+    fields = dict(infer_fields(df, "line"))
+    assert fields == {
+        "a": "BIGINT", "A": "BIGINT", "b": "DOUBLE", "c": "STRUCT<`d`: ARRAY<BIGINT>>", "e": "STRING",
+        "F g": "BOOLEAN", "m": "STRING", "big": "DECIMAL(20,0)", "x.y": "BIGINT", "it's": "BIGINT",
+        "q'\"": "BIGINT", "back`t": "BIGINT", "o": "STRING", "mix": "ARRAY<STRING>", "r": "DOUBLE"}
+    good, bad = typed_columns(df, "line", keep=("id",))
+    one, two = (r.asDict(recursive=True) for r in good.orderBy("id").collect())
+    assert (one["A"], one["a_2"], two["A"], two["a_2"]) == (None, 1, 7, 3)
+    assert one["c"] == {"d": [1, 2]} and one["e"] is None and one["m"] == "1" and two["m"] == "s"
+    assert two["mix"] == ["1", "a"] and two["it's"] == 3 and two["q'\""] == 4 and two["o"] == '{"P":2,"p":1}'
+    assert int(two["big"]) == 12345678901234567890 and two["back`t"] == 1 and two["x.y"] == 1
+    assert {r["line"] for r in bad.collect()} == {"[1]", "oops"}
+
+
+def test_no_objects_no_columns(spark):
+    df = spark.createDataFrame([("[1]",), ("",)], "line string")
+    assert infer_fields(df, "line") == [] and infer_fields(df.where("false"), "line") == []
+    good, bad = typed_columns(df, "line")
+    assert good.count() == 0 and bad.count() == 1
+    assert column_names([("Id", ""), ("ID", ""), ("x", "")], ("id",)) == ["Id_2", "ID_3", "x"]
+
+
+def test_inferred_feed(spark, tmp_path):
+    d = str(tmp_path / "views")
+    write(d, "a.json", '{"page":"/a","ms":5}\n{"page":"/b","ms":7.5,"rare":true}\nbroken\n')
+    rows, bad = read_events_inferred(spark, d)
+    assert rows.dtypes == [("ms", "double"), ("page", "string"), ("rare", "boolean")]
+    assert sorted(tuple(r) for r in rows.where("rare IS NULL").collect()) == [(5.0, "/a", None)]
+    assert bad.count() == 1
+
+
+# ------------------------------------------------------------------ files
+
+def read_json(spark, paths):
+    return spark.read.schema("k bigint").json(paths)
+
+
+def keys(spark, store):
+    return sorted(r["k"] for r in ingested(spark, store).collect())
+
+
+def test_files_are_taken_in_once(spark, tmp_path):
+    feed, store = str(tmp_path / "feed"), str(tmp_path / "store")
+    write(feed, "one.json", '{"k":1}\n{"k":2}\n')
+    write(f"{feed}/deep er", "two.json", '{"k":3}\n')
+    write(feed, "none.json", "")
+    assert list_files(spark, feed, "*.json").count() == 2  # Spark lists no empty file
+    assert ingest(spark, feed, store, read_json, "*.json") and keys(spark, store) == [1, 2, 3]
+    assert ingest(spark, feed, store, read_json, "*.json") is None  # listed again as it was
+    write(feed, "three.json", '{"k":3}\n')  # the same row in another file counts
+    assert [os.path.basename(r["path"]) for r in new_files(spark, feed, store, "*.json").collect()] == ["three.json"]
+    ingest(spark, feed, store, read_json, "*.json")
+    assert keys(spark, store) == [1, 2, 3, 3]
+    write(feed, "one.json", '{"k":10}\n{"k":20}\n{"k":30}\n')  # replaced
+    ingest(spark, feed, store, read_json, "*.json")
+    assert keys(spark, store) == [3, 3, 10, 20, 30]
+    os.remove(f"{feed}/three.json")  # what is no longer listed stays
+    assert ingest(spark, feed, store, read_json, "*.json") is None
+    assert keys(spark, store) == [3, 3, 10, 20, 30] and manifest(spark, store).count() == 4
+
+
+def test_a_load_that_died_is_not_seen(spark, tmp_path, monkeypatch):
+    feed, store = str(tmp_path / "feed"), str(tmp_path / "store")
+    write(feed, "one.json", '{"k":1}\n')
+    ingest(spark, feed, store, read_json)
+    write(feed, "two.json", '{"k":2}\n')
+    read_json(spark, [f"{feed}/two.json"]).write.parquet(f"{store}/rows/00000002-dead")  # no manifest
+    assert keys(spark, store) == [1]
+    os.makedirs(f"{store}/manifest/00000002-dead")  # begun, not complete
+    assert keys(spark, store) == [1]
+    ingest(spark, feed, store, read_json)
+    assert keys(spark, store) == [1, 2]
+
+
+def test_a_file_that_changes_while_it_is_read(spark, tmp_path):
+    feed, store = str(tmp_path / "feed"), str(tmp_path / "store")
+    write(feed, "one.json", '{"k":1}\n')
+
+    def late(spark, paths):
+        write(feed, "one.json", '{"k":1}\n{"k":2}\n')
+        return read_json(spark, paths)
+
+    with pytest.raises(RuntimeError, match="changed while it was read"):
+        ingest(spark, feed, store, late)
+    ingest(spark, feed, store, read_json)
+    assert keys(spark, store) == [1, 2]
+    with pytest.raises(ValueError, match="holds no batch"):
+        ingested(spark, str(tmp_path / "nothing"))
+
+
+def test_scratch_is_dropped_on_request(spark):
+    other = spark.newSession()
+    path = scratch_path(other, "x")
+    table = materialize(spark.range(3), "kept")
+    assert spark.sparkContext.applicationId in path and table.count() == 3
+    assert drop_scratch(spark) and not drop_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
