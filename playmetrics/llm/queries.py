@@ -58,16 +58,18 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 
 def op6_flow_resharding(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int").alias("old_shard")
-    layout = reshard_flow.write_layout(docs.select("*", dealt), "old_shard")
-    layout, _ = reshard_flow.rewrite_affected(spark, layout, "text", new_path(spark, "resharded"),
-                                              shards=NEW_SHARDS)
-    rows = reshard_flow.read_layout(spark, layout, docs.schema).select(
-        "doc_id", reshard_flow.size_of("text").alias("size"),
-        F.crc32(text_of("text")).alias("text_crc32"), dealt, "shard", "block", "row")
-    return reshard_flow.with_slots(rows.withColumn("old", F.lit(0))).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+    def old_shard(doc_id):
+        return F.pmod(F.xxhash64(doc_id), F.lit(OLD_SHARDS)).cast("int")
+
+    before = reshard_flow.write_layout(docs, old_shard("doc_id"))
+    after = reshard_flow.rewrite_affected(spark, before, "text", new_path(spark, "resharded"),
+                                          shards=NEW_SHARDS, schema=docs.schema)
+    rows = reshard_flow.read_layout(spark, after.layout, docs.schema)
+    return rows.select(
+        F.col("doc.doc_id").alias("doc_id"), reshard_flow.size_of("doc.text").alias("size"),
+        F.crc32(text_of("doc.text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), old_shard("doc.doc_id").alias("old_shard"))
 
 
 def op7_rff_quality(spark, sf_dir):

@@ -55,46 +55,103 @@ def test_query_law(spark):
     assert abs(moved - must) < 0.05 * must
 
 
-def test_hot_and_null_shards(spark):
-    rows = spark.range(900).select(
-        F.when(F.col("id") < 600, 0).when(F.col("id") < 700, F.lit(None)).otherwise(1).alias("old"),
-        F.lit(10).cast("long").alias("size"), (F.col("id") % 7).alias("block"), F.col("id").alias("row"))
-    out, flow = rf.assign(rows, shards=3)
-    got = rf.with_slots(out).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
-    assert sorted((r["shard"], r["n"], r["m"]) for r in got) == [(0, 300, 299), (1, 300, 299), (2, 300, 299)]
-    assert sum(n for (i, j), n in flow.items() if i != j) == 4000
-    none, _ = rf.assign(rows.where("false"), shards=3)
-    assert rf.with_slots(none).count() == 0
-
-
-def test_rewrite_only_affected(spark, tmp_path):
-    old = {}
-    for i, n in enumerate((40, 20, 20, 0)):
-        old[i] = str(tmp_path / f"old{i}")
-        spark.createDataFrame([(i * 100 + k, "x" * 9, "s") for k in range(n)],
-                              "doc_id long, text string, shard string").drop("shard").write.parquet(old[i])
-    layout, flow = rf.rewrite_affected(spark, old, "text", str(tmp_path / "new"), shards=4)
-    assert flow == {(0, 0): 200, (0, 3): 200, (1, 1): 200, (2, 2): 200}
-    assert layout[1] == old[1] and layout[2] == old[2]
-    got = {j: sorted(r["doc_id"] for r in spark.read.parquet(p).collect()) for j, p in layout.items()}
-    assert [len(got[j]) for j in range(4)] == [20, 20, 20, 20]
-    assert sorted(sum(got.values(), [])) == sorted([*range(40), *range(100, 120), *range(200, 220)])
+def written(spark, folder, files, schema="doc_id long, text string, shard string"):
+    """A layout of one file for each list of rows: {shard: [[rows], ...]}."""
+    layout = {}
+    for j, lists in files.items():
+        for k, rows in enumerate(lists):
+            path = str(folder / f"old{j}-{k}")
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+            layout.setdefault(j, []).extend(rf._named(f) for f in spark.read.parquet(path).inputFiles())
+    return layout
+
+
+def contents(spark, layout, schema="doc_id long, text string, shard string"):
+    """{shard: [(slot, row)]} as read back."""
+    out = {}
+    for r in rf.read_layout(spark, layout, schema).collect():
+        out.setdefault(r["shard"], []).append((r["slot"], tuple(r["doc"])))
+    assert all(sorted(s for s, _ in rows) == list(range(len(rows))) for rows in out.values())
+    return out
+
+
+def rows(start, n):
+    return [(start + k, "x" * 9, "s") for k in range(n)]
+
+
+def test_whole_files_move_in_the_manifest_only(spark, tmp_path):
+    old = written(spark, tmp_path, {0: [rows(0, 10), rows(10, 10), rows(20, 10), rows(30, 10)],
+                                    1: [rows(100, 20)], 2: [rows(200, 20)]})
+    new = rf.rewrite_affected(spark, old, "text", str(tmp_path / "new"), shards=4)
+    assert new.flow == {(0, 0): 200, (0, 3): 200, (1, 1): 200, (2, 2): 200}
+    assert new.rewritten == [] and not (tmp_path / "new").exists()  # every cut falls between files
+    assert new.layout == {0: old[0][:2], 1: old[1], 2: old[2], 3: old[0][2:]}
+
+
+def test_only_cut_files_are_written(spark, tmp_path):
+    old = written(spark, tmp_path, {0: [rows(0, 8), rows(8, 9), rows(17, 30)], 3: [rows(100, 1)]})
+    new = rf.rewrite_affected(spark, old, "text", str(tmp_path / "new"), shards=4)
+    assert new.rewritten == old[0][1:]  # the cuts at 12, 24 and 36 of 48 rows
+    kept = {f for fs in new.layout.values() for f in fs}
+    assert old[0][0] in kept and old[3][0] in kept and not kept & set(new.rewritten)
+    again = spark.read.parquet(str(tmp_path / "new"))
+    assert again.count() == 39  # the rows of the cut files, no more
+    got = contents(spark, new.layout)
+    assert {j: len(r) for j, r in got.items()} == {0: 12, 1: 12, 2: 12, 3: 12}
+    assert sorted(r for rs in got.values() for _, r in rs) == sorted(rows(0, 47) + rows(100, 1))
+    assert sum(n for (i, j), n in new.flow.items() if i != j) == 350
+
+
+def test_one_file_holds_most_rows_and_one_row_most_bytes(spark, tmp_path):
+    big = [(k, "y" * (3_000_000 if k == 5 else 20), None) for k in range(60)]
+    old = written(spark, tmp_path, {-1: [big], 7: [rows(100, 3)]})
+    new = rf.rewrite_affected(spark, old, "text", str(tmp_path / "new"), shards=3)
+    got = contents(spark, new.layout)
+    assert sorted((r for rs in got.values() for _, r in rs), key=str) == sorted(big + rows(100, 3), key=str)
+    assert set(got) <= {0, 1, 2}
+
+
+def test_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    names = "doc_id long, text string, shard int, old_shard int, block string, row long, file string, doc long, shard_ int"
+    docs = [(k if k % 5 else None, None if k % 7 == 0 else "" if k % 7 == 1 else "é" * (k % 40),
+             k, -k, "b", k, "f", 1, None) for k in range(90)]
+    docs += docs[3:20]
+    df = spark.createDataFrame(docs, names)
+    layout = rf.write_layout(df.repartition(3), F.pmod(F.col("row"), F.lit(4)))
+    assert set(layout) == {0, 1, 2, 3}
+    new = rf.rewrite_affected(spark, layout, "text", str(tmp_path / "new"), shards=6)
+    got = contents(spark, new.layout, df.schema)
+    assert sorted((r for rs in got.values() for _, r in rs), key=str) == sorted(docs, key=str)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    query = op6_flow_resharding(spark, str(tmp_path)).collect()
+    assert len(query) == len(docs)
+    want = sorted((str(d[0]), len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())) for d in docs)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in query) == want
+
+
+def test_nothing_to_reshard(spark, tmp_path):
+    assert rf.rewrite_affected(spark, {}, "text", str(tmp_path / "new")) == ({}, {}, [])
+    assert rf.read_layout(spark, {}, "doc_id long, text string").collect() == []
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert rf.write_layout(none, F.lit(0)) == {}
 
 
 def test_query_reads_what_it_wrote(spark, monkeypatch):
-    d, calls, write = "/root/testdata/sf0.001", [], rf.rewrite_affected
+    d, calls, write = "/root/testdata/sf0.01", [], rf.rewrite_affected
 
     def spy(*args, **how):
-        calls.append(write(*args, **how))
-        return calls[-1]
+        calls.append((args[1], write(*args, **how)))
+        return calls[-1][1]
 
     monkeypatch.setattr(rf, "rewrite_affected", spy)
     got = op6_flow_resharding(spark, d).collect()
-    (layout, flow), = calls
-    assert any(i != j for i, j in flow)
+    (before, after), = calls
+    old = {f: j for j, fs in before.items() for f in fs}
+    assert any(i != j for i, j in after.flow) and 0 < len(after.rewritten) <= len(old)
     docs = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    for j, path in layout.items():
-        files = {r["doc_id"]: r.asDict() for r in spark.read.parquet(path).collect()}
+    for j, paths in after.layout.items():
+        files = {r["doc_id"]: r.asDict() for r in spark.read.schema(
+            "doc_id long, text string, lang string, source string, n_chars long").parquet(*paths).collect()}
         assert all(files[i] == docs[i] for i in files)  # whole rows, texts included
         mine = [r for r in got if r["shard"] == j]
         assert {r["doc_id"] for r in mine} == set(files)
