@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from playmetrics.functions.geometry import project, shape_area, unproject
 from playmetrics.functions.text import damage_text, repair_text
 from playmetrics.operators import (
     artists, cleaning as cl, dictionary, distinct, geo, pruned, songs, subs, users,
@@ -27,7 +28,7 @@ from playmetrics.sources import (
     ingest, ingested, quarantine, read_auth_events, read_boundaries, read_events, read_listen_events, state_dim,
     testview as tv, variant,
 )
-from playmetrics.sources.schemas import US_STATES, US_TERRITORIES
+from playmetrics.sources.schemas import ALASKA_BOX, US_STATES, US_TERRITORIES
 
 try:  # the training-data operators are optional; nothing else here needs them
     import corpus_pipeline
@@ -179,6 +180,29 @@ def _cleaned_by_dictionary(spark, d):
     return dictionary.clean_by_dictionary(raw, known, "UTC")
 
 
+def _shapes(spark, d):
+    return materialize(geo.with_shapes(tv.part_shapes(spark, d)), "entry-shapes")
+
+
+def _shape_facts(spark, d):
+    return _shapes(spark, d).select(
+        "p_partkey", "problem", F.round("area", 9).alias("area"),
+        *[F.round(c, 9).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])
+
+
+def _clipped_shapes(spark, d):
+    return geo.clip_shapes(_shapes(spark, d), *ALASKA_BOX).select(
+        "p_partkey", F.round(shape_area("shape"), 9).alias("area"))
+
+
+def _projected(spark, d):
+    """Points on the equal-area map and back."""
+    there = tv.customer_points(spark, d).withColumn("p", project(F.col("lon"), F.col("lat")))
+    again = there.withColumn("q", unproject(F.col("p")["x"], F.col("p")["y"]))
+    return again.select("c_custkey", *[F.round(F.col("p")[c], 3).alias(c) for c in ("x", "y")],
+                        *[F.round(F.col("q")[c], 6).alias(c) for c in ("lon", "lat")])
+
+
 def _scaled_kpis(spark, d):
     """KPIs as of a far larger feed, so that no label is 0."""
     k = users.kpis(_H(spark, d))
@@ -288,6 +312,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "status_changes_inferred": lambda s, d: variant.read_events_inferred(
             s, _feed(tv.status_lines(s, d), "status"))[0],
         "boundary_feed": _boundary_feed,
+        # Rings, clipping, projection
+        "shape_facts": _shape_facts,
+        "clipped_shapes": _clipped_shapes,
+        "projected_points": _projected,
         "monthly_listening": lambda s, d: users.monthly_listening(_L(s, d)),
         "monthly_listening_state": lambda s, d: users.monthly_listening(_L(s, d), STATE),
         # D1, D2, D3, D4, D5
@@ -463,6 +491,34 @@ P AS (
                  WHEN json_type(line, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 'wrong type'
             END AS reason FROM P0)"""
 
+_SHAPES_SQL = """P AS (
+  SELECT p_partkey, p_partkey % 8 AS kind, -175.0::DOUBLE + p_partkey % 50 AS x,
+         45.0::DOUBLE + p_size % 20 AS y, 0.5::DOUBLE + p_size / 16.0::DOUBLE AS s,
+         CASE p_partkey % 8 WHEN 2 THEN 'ring not closed' WHEN 3 THEN 'not a polygon'
+                            WHEN 4 THEN 'not a number' END AS problem,
+         p_partkey % 8 NOT IN (2, 3, 4, 5) AS shown
+  FROM part)"""
+
+
+def _overlap_sql(a: float, b: float, width: float, height: float) -> str:
+    """Area that a rectangle of a part's shape, placed and sized in arm widths, has in the box."""
+    (x0, x1), (y0, y1) = ALASKA_BOX
+    return (f"greatest(0, least(x + s * {a + width}, {x1}) - greatest(x + s * {a}, {x0})) * "
+            f"greatest(0, least(y + s * {b + height}, {y1}) - greatest(y + s * {b}, {y0}))")
+
+
+_PROJECTED_SQL = """WITH P AS (
+  SELECT c_custkey, c_custkey % 360 - 180 + 0.25::DOUBLE AS lon, c_custkey % 179 - 89 + 0.5::DOUBLE AS lat
+  FROM customer),
+Q AS (
+  SELECT *, 6370997.0::DOUBLE * sqrt(2 / (1 + sin(radians(45)) * sin(radians(lat))
+              + cos(radians(45)) * cos(radians(lat)) * cos(radians(lon + 100)))) AS k FROM P)
+SELECT c_custkey, round(k * cos(radians(lat)) * sin(radians(lon + 100)), 3) AS x,
+       round(k * (cos(radians(45)) * sin(radians(lat))
+                  - sin(radians(45)) * cos(radians(lat)) * cos(radians(lon + 100))), 3) AS y,
+       round(lon, 6) AS lon, round(lat, 6) AS lat
+FROM Q"""
+
 _DIM_SQL = """D AS (
   SELECT r_name || '/' || n_name AS NAME, n_name AS state
   FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -696,6 +752,18 @@ def core_oracle_sql() -> dict[str, str]:
         "refreshed_kpis": _with(_U_SQL) + _KPIS_ALL_SCOPES_SQL,
         "refreshed_monthly": _with(_U_SQL) + _MONTHLY_ALL_SCOPES_SQL,
         "appended_kpis": _with(_U_SQL) + _KPIS_ALL_SCOPES_SQL,
+        "shape_facts": _with(_SHAPES_SQL) + "SELECT p_partkey, problem, "
+            "CASE WHEN kind = 5 THEN 0.0 WHEN problem IS NULL THEN round(3 * s * s "
+            "- (kind = 0)::INT * s * s / 16 + (kind = 1)::INT * s * s, 9) END AS area, "
+            "CASE WHEN shown THEN round(x, 9) END AS x_min, CASE WHEN shown THEN round(y, 9) END AS y_min, "
+            "CASE WHEN shown THEN round(x + s * CASE WHEN kind = 1 THEN 4 ELSE 2 END, 9) END AS x_max, "
+            "CASE WHEN shown THEN round(y + 2 * s, 9) END AS y_max FROM P",
+        "clipped_shapes": _with(_SHAPES_SQL) + "SELECT * FROM (SELECT p_partkey, round("
+            + _overlap_sql(0, 0, 2, 1) + " + " + _overlap_sql(0, 1, 1, 1)
+            + " - (kind = 0)::INT * " + _overlap_sql(0.25, 0.25, 0.25, 0.25)
+            + " + (kind = 1)::INT * " + _overlap_sql(3, 0, 1, 1)
+            + ", 9) AS area FROM P WHERE shown) WHERE area > 0",
+        "projected_points": _PROJECTED_SQL,
         "boundary_feed": _with(_BOUNDS_SQL) + "SELECT * FROM B",
         "monthly_listening": wl + _monthly_sql(),
         "monthly_listening_state": wl + _monthly_sql(state),

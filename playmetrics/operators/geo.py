@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import (
+    clip_shape, project_shape, read_shape, shape_area, shape_box,
+)
 from ..functions.scale import clipped_minmax
 from ..sources.schemas import ALASKA_BOX, HAWAII_BOX
 
@@ -104,6 +107,50 @@ def in_rectangle(df: DataFrame, lon_range, lat_range, lon: str = "lon",
     return df.where(F.col(lon).between(x0, x1) & F.col(lat).between(y0, y1))
 
 
+BOX = ("x_min", "y_min", "x_max", "y_max")
+
+
+def with_shapes(boundaries: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Boundaries with their WKT read (S8): ``shape``, ``problem`` (NULL if it was read), and the
+    shape's ``area`` and box (``x_min, y_min, x_max, y_max``) in the units of its coordinates.
+    Write the result (`materialize`) where several queries share it."""
+    def facts(r):
+        return F.struct(r["shape"].alias("shape"), r["problem"].alias("problem"),
+                        shape_area(r["shape"]).alias("area"), shape_box(r["shape"]).alias("box"))
+
+    # one expression, so that the text is read once a row
+    read = boundaries.withColumn("__facts", F.element_at(F.transform(
+        F.array(read_shape(geometry)), facts), 1))
+    f = F.col("__facts")
+    return read.select(*boundaries.columns, f["shape"].alias("shape"), f["problem"].alias("problem"),
+                       f["area"].alias("area"), *[f["box"][n].alias(n) for n in BOX])
+
+
+def clip_shapes(df: DataFrame, lon_range, lat_range, shape: str = "shape") -> DataFrame:
+    """Rows whose shape reaches into a lon/lat rectangle, the shape cut to it.
+
+    Rows with a box from `with_shapes` are left out by it first, plain ranges of columns."""
+    (x0, x1), (y0, y1) = lon_range, lat_range
+    if set(BOX) <= set(df.columns):
+        df = df.where((F.col("x_min") <= x1) & (F.col("x_max") >= x0)
+                      & (F.col("y_min") <= y1) & (F.col("y_max") >= y0))
+    cut = df.withColumn(shape, clip_shape(shape, (x0, x1), (y0, y1)))
+    return cut.where(F.size(shape) > 0)
+
+
+def clip_outlying(df: DataFrame, state: str = "state", shape: str = "shape") -> DataFrame:
+    """Alaska and Hawaii without their outlying islands; other rows as they are."""
+    code = F.col(state)
+    cut = F.when(code == "AK", clip_shape(shape, *ALASKA_BOX)).when(
+        code == "HI", clip_shape(shape, *HAWAII_BOX)).otherwise(F.col(shape))
+    return df.withColumn(shape, cut)
+
+
+def project_shapes(df: DataFrame, shape: str = "shape") -> DataFrame:
+    """Shapes in degrees as shapes in metres of the equal-area map of the United States."""
+    return df.withColumn(shape, project_shape(shape))
+
+
 def in_alaska_box(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     return in_rectangle(df, *ALASKA_BOX, lon=lon, lat=lat)
 

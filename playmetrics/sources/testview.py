@@ -261,3 +261,39 @@ def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value): ``orders`` as JSON lines."""
     return table(spark, sf_dir, "orders").select(F.to_json(F.struct(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).alias("value"))
+
+
+def part_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, geometry): a WKT shape for each part, an L of arm width s at (x, y).
+
+    By the key modulo 8: 0 with a square hole, 1 with a second square, 2 not closed, 3 a point,
+    4 with a word for a number, 5 empty, 6 the L alone, 7 the L clockwise with heights."""
+    kind = F.col("p_partkey") % 8
+    x, y = -175.0 + F.col("p_partkey") % 50, 45.0 + F.col("p_size") % 20
+    s = 0.5 + F.col("p_size") / 16.0
+
+    def ring(*points, z=""):
+        return F.concat(F.lit("("), F.concat_ws(", ", *[
+            F.concat((x + s * a).cast("string"), F.lit(" "), (y + s * b).cast("string"), F.lit(z))
+            for a, b in points]), F.lit(")"))
+
+    def square(a, b, side):
+        return ring((a, b), (a + side, b), (a + side, b + side), (a, b + side), (a, b))
+
+    corners = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]
+    shape = ring(*corners)
+    text = (F.when(kind == 0, F.concat(F.lit("POLYGON ("), shape, F.lit(", "), square(0.25, 0.25, 0.25), F.lit(")")))
+            .when(kind == 1, F.concat(F.lit("MULTIPOLYGON (("), shape, F.lit("), ("), square(3, 0, 1), F.lit("))")))
+            .when(kind == 2, F.concat(F.lit("POLYGON ("), ring(*corners[:-1]), F.lit(")")))
+            .when(kind == 3, F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" 0)")))
+            .when(kind == 4, F.lit("POLYGON ((0 0, 1 0, 1 one, 0 0))")).when(kind == 5, F.lit("MULTIPOLYGON EMPTY"))
+            .when(kind == 6, F.concat(F.lit("polygon("), shape, F.lit(")")))
+            .otherwise(F.concat(F.lit("POLYGON Z ("), ring(*corners[::-1], z=" 12.5"), F.lit(")"))))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("geometry"))
+
+
+def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, lon, lat): a point for each customer, all over the globe."""
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 360 - 180 + F.lit(0.25)).alias("lon"),
+        (F.col("c_custkey") % 179 - 89 + F.lit(0.5)).alias("lat"))
