@@ -1,12 +1,16 @@
 """Quality rules: n-gram perplexity bands beside plain text rules.
 
-Spark counts character 4-grams of all texts for each language and turns them
-into a modified Kneser-Ney model (continuation counts below the highest order,
-three discounts for each order and language). The interpolated parts go into
-sorted hash arrays: each n-gram and context falls into one of 2 ** ``hash_bits``
-slots of its order, so no array can outgrow that, however large the corpus;
-n-grams that share a slot share the larger share. The arrays are broadcast. A
-document's perplexity is kept within a band of its language: the quartiles of
+Spark counts character 4-grams of all texts for each language and turns them into a modified
+Kneser-Ney model (continuation counts below the highest order, three discounts for each order
+and language): a table of every counted 4-gram, keyed by language and its 48-bit code (the
+classes of its four characters, so no two share a key), with its log probability. Scoring
+wants it in sorted hash arrays, of codes and of logs, for each language. As many of the most
+frequent 4-grams as ``frequent`` allows are broadcast as such arrays; the 4-grams of a document that
+are not among them go, with their count, to the table by a shuffle join on (language, code).
+Both give the same probability, so ``frequent`` decides what moves and never a verdict. No
+4-gram is unknown, since the model is made of the very texts it judges.
+
+A document's perplexity is kept within a band of its language: the quartiles of
 log perplexity over its distinct texts that pass the rules (copies count once),
 widened on both sides by ``spread`` times their distance, ``FLOOR`` at least, and more for
 short texts, whose means vary more: times sqrt(1 + ``slack_words`` / words).
@@ -31,8 +35,8 @@ from playmetrics.llm.common import slices, text_of, write_table
 
 ORDER, BITS = 4, 12
 SYMBOLS = b"#*$%&|<>"
-#: The model's tables: uniform share, K-grams, contexts of K-grams.
-TABLES = ("v", *(f"{t}{k}" for t in "gc" for k in range(1, ORDER + 1)))
+#: 4-grams that are broadcast at most, 16 bytes each.
+FREQUENT = 1 << 20
 #: Keys that the rows of one language are dealt to where they meet its discounts or band.
 SALTS = 64
 #: The least distance of a language's quartiles of log perplexity that its band is made of: a
@@ -102,38 +106,13 @@ def _count(batches):
         yield from out(lang, parts)
 
 
-def slots(table: str, lang: str, keys: np.ndarray, hash_bits: int) -> np.ndarray:
-    import xxhash
-
-    x = keys.astype(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(f"{table}/{lang}"))
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x >> np.uint64(64 - hash_bits)).astype(np.uint32)
-
-
-def _slotted(hash_bits: int):
-    def run(batches):
-        for b in batches:
-            tables, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keys, slot = b.column(2).to_numpy(), np.zeros(len(b), np.int64)
-            groups: dict[tuple, list[int]] = {}
-            for i, pair in enumerate(zip(tables, langs)):
-                groups.setdefault(pair, []).append(i)
-            for (table, lang), rows in groups.items():
-                slot[rows] = slots(table, lang, keys[rows], hash_bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slot), b.column(3)],
-                                             ["table", "slot", "share"])
-
-    return run
-
-
 def on_every_salt(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(table, lang, key, share) from (lang, key, n): table gK has the discounted share of each
-    K-gram, cK what each context of K-grams passes down, v the uniform share of a language."""
+    """(lang, key, n, log) from (lang, key, n): the natural logarithm of each 4-gram's last
+    character given those before."""
     levels = [counts.select(F.lit(ORDER).alias("k"), "lang", "key", "n")]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters come before
         levels.insert(0, levels[0].groupBy(
@@ -156,47 +135,56 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         "k", "lang", "key", F.shiftright("key", BITS).alias("ctx"), "n",
         F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2"))
         .otherwise(F.col("d3")).alias("d"))
+    # a context has a row for each character after it at most, 4095 as there are classes
     contexts = part.groupBy("k", "lang", "ctx").agg(
-        F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("share"))
-    shares = part.join(contexts.select("k", "lang", "ctx", "total"), ["k", "lang", "ctx"]).select(
-        F.concat(F.lit("g"), F.col("k").cast("string")).alias("table"), "lang", "key",
-        ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
-    return shares.unionByName(contexts.select(
-        F.concat(F.lit("c"), F.col("k").cast("string")).alias("table"), "lang",
-        F.col("ctx").alias("key"), "share")).unionByName(
-            every.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("share"))
-            .select(F.lit("v").alias("table"), "lang", F.lit(0).cast("long").alias("key"), "share"))
-
-
-def hash_arrays(model: DataFrame, hash_bits: int = 22) -> dict:
-    """{table: (sorted slots, shares)}; at most 2 ** ``hash_bits`` entries each."""
-    slotted = write_table(model.select("table", "lang", "key", "share").mapInArrow(
-        _slotted(hash_bits), "table string, slot long, share double").groupBy(
-            "table", "slot").agg(F.max("share").cast("float").alias("share")), "perplexity-slots")
-    out = {}
-    for name in TABLES:  # one at a time, 8 bytes a slot
-        rows = slotted.where(F.col("table") == name).select(
-            F.col("slot").cast("int"), "share").toArrow()
-        slot, share = rows.column("slot").to_numpy(), rows.column("share").to_numpy()
-        at = np.argsort(slot)
-        out[name] = (slot[at].astype(np.uint32), share[at])
-    return out
-
-
-def log_probabilities(keys: np.ndarray, lang: str, arrays: dict, hash_bits: int) -> np.ndarray:
-    """Natural logarithm of each gram's last character given those before."""
-    def look(table, k):
-        have, share = arrays[table]
-        want = slots(table, lang, k, hash_bits)
-        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-        return np.where(have[at] == want, share[at], np.nan).astype(np.float64)
-
-    p = look("v", np.zeros(len(keys), np.int64))
+        F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("down"))
+    shares = write_table(part.join(contexts, ["k", "lang", "ctx"]).select(
+        "k", "lang", "key", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"),
+        "down"), "perplexity-shares")
+    # order by order: an n-gram's share, and what its context passes down to its last n - 1
+    known = shares.where("k = 1").groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select(
+        "lang", F.lit(0).cast("long").alias("tail"), "p")
     for k in range(1, ORDER + 1):
-        gram = keys & ((1 << BITS * k) - 1)
-        down = look(f"c{k}", gram >> BITS)
-        p = np.where(np.isnan(down), p, np.nan_to_num(look(f"g{k}", gram)) + down * p)
-    return np.log(p)
+        tail = F.col("key").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+        level = shares.where(F.col("k") == k).withColumn("tail", tail)
+        p = (F.col("share") + F.col("down") * F.col("p")).alias("p")
+        # a tail likewise has a row for each character before it at most
+        known = level.join(known, ["lang", "tail"]).select("lang", F.col("key").alias("tail"), "n", p)
+        known = known if k == ORDER else known.drop("n")
+    return known.select("lang", F.col("tail").alias("key"), "n", F.log("p").alias("log"))
+
+
+def frequent_arrays(model: DataFrame, frequent: int = FREQUENT) -> tuple[dict, bool]:
+    """({language: (sorted codes, logs)}, whether that is all of ``model``).
+
+    The 4-grams found 2 ** e times or more, for the least e that leaves ``frequent`` at most."""
+    by_size = model.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()
+    total, least, sizes = 0, None, dict((r["e"], r["count"]) for r in by_size)
+    for e in sorted(sizes, reverse=True):
+        if total + sizes[e] > frequent:
+            break
+        total, least = total + sizes[e], e
+    out: dict[str, tuple] = {}
+    if least is not None:
+        rows = model.where(F.col("n") >= F.lit(2 ** least)).select("lang", "key", "log").toArrow()
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+        of, keys = langs.indices.to_numpy(), rows.column("key").to_numpy()
+        logs = rows.column("log").to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            at = np.flatnonzero(of == i)
+            at = at[np.argsort(keys[at])]
+            out[lang] = keys[at], logs[at]
+    return out, total == sum(sizes.values())
+
+
+def look(arrays: dict, lang: str, keys: np.ndarray) -> np.ndarray:
+    """Logs of the codes, NaN where the arrays lack them."""
+    have, logs = arrays.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
+    if not len(have):
+        return np.full(len(keys), np.nan)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return np.where(have[at] == keys, logs[at], np.nan)
 
 
 def repeated_window_words(words: list[bytes], width: int = 8) -> int:
@@ -231,9 +219,10 @@ def text_rules(text: bytes) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_window_words(words))
 
 
-def _score(arrays, hash_bits: int):
+def _score(arrays):
     names = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-             "log_perplexity", "text_hash"]
+             "n_grams", "log_sum", "rare", "text_hash"]
+    rare_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
     def run(batches):
         import xxhash
@@ -242,24 +231,41 @@ def _score(arrays, hash_bits: int):
             raw = [t.as_py() for t in b.column(2)]
             rules = list(zip(*map(text_rules, raw))) if raw else [[]] * 5
             texts, langs = [codes(t) for t in raw], b.column(1).to_pylist()
-            mean = np.full(len(raw), np.nan)
+            n_grams, log_sum = np.zeros(len(raw), np.int64), np.zeros(len(raw))
+            rare: list[list] = [[] for _ in raw]
             for lang, rows in _by_language(langs, texts):
                 keys, of = grams([texts[i] for i in rows])
                 kinds, at = np.unique(keys, return_inverse=True)
-                logs = log_probabilities(kinds, lang, arrays.value, hash_bits)[at]
-                mean[rows] = -np.bincount(of, logs) / np.bincount(of)
+                logs = look(arrays.value, lang, kinds)
+                lacking = np.isnan(logs)
+                n_grams[rows] = np.bincount(of)
+                log_sum[rows] = np.bincount(of, np.nan_to_num(logs)[at])
+                if lacking.any():
+                    far = np.flatnonzero(lacking[at])
+                    pairs, count = np.unique(np.stack([of[far], at[far]]), axis=1, return_counts=True)
+                    for (i, kind), n in zip(pairs.T, count):
+                        rare[rows[i]].append({"key": int(kinds[kind]), "n": int(n)})
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in rules),
-                 pa.array(mean, mask=np.isnan(mean)),
+                 pa.array(n_grams), pa.array(log_sum), pa.array(rare, rare_type),
                  pa.array(map(xxhash.xxh3_128_digest, raw), pa.binary())], names)
 
     return run
 
 
+def _with_rare(scored: DataFrame, model: DataFrame) -> DataFrame:
+    """``scored`` with the logs of the 4-grams that the arrays lack added to ``log_sum``."""
+    asked = scored.where(F.size("rare") > 0).select("row", "lang", F.inline("rare"))
+    found = asked.withColumnRenamed("n", "times").join(model, ["lang", "key"]).groupBy("row").agg(
+        F.sum(F.col("times") * F.col("log")).alias("more"))
+    return scored.join(found, "row", "left").withColumn(
+        "log_sum", F.col("log_sum") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          spread: float = 5.0, slack_words: int = 50, hash_bits: int = 22) -> DataFrame:
+          spread: float = 5.0, slack_words: int = 50, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: ``id_col``, the text rules, base_failed, log_perplexity, the band
-    (low, high) and kept."""
+    (low, high) and kept. ``frequent``: 4-grams that are broadcast at most."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"),
                                                              F.lit("")).alias("lang"),
@@ -267,13 +273,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, key long, n long")
     counts = write_table(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")),
                          "perplexity-grams")
-    arrays = hash_arrays(kneser_ney(counts), hash_bits)
+    model = write_table(kneser_ney(counts), "perplexity-model")
+    arrays, complete = frequent_arrays(model, frequent)
     kind = rows.schema["id"].dataType.simpleString()
     scored = write_table(rows.mapInArrow(
-        _score(spark.sparkContext.broadcast(arrays), hash_bits),
+        _score(spark.sparkContext.broadcast(arrays)),
         f"id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, log_perplexity double, text_hash binary").withColumn("salt", F.pmod(
-            F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "perplexity-scored")
+        "n_repeat_words long, n_grams long, log_sum double, rare array<struct<key:long,n:long>>, "
+        "text_hash binary").withColumn("row", F.monotonically_increasing_id()).withColumn(
+            "salt", F.pmod("row", F.lit(SALTS)).cast("int")), "perplexity-scored")
+    if not complete:
+        scored = write_table(_with_rare(scored, model), "perplexity-summed")
+    # a text of no characters has no perplexity
+    scored = scored.withColumn("log_perplexity", F.when(
+        F.col("n_grams") > 0, -F.col("log_sum") / F.col("n_grams"))).drop(
+        "row", "rare", "log_sum", "n_grams")
     scored = scored.withColumn("base_failed", F.expr(
         "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     distinct = scored.where("NOT base_failed").groupBy("lang", "text_hash").agg(

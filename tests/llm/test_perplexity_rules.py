@@ -80,20 +80,69 @@ def test_model_against_brute_force(spark):
     p, keys = brute_model(texts)
     df = spark.createDataFrame([("x", bytearray(t)) for t in texts], "lang string, text binary")
     counts = df.mapInArrow(pr._count, "lang string, key long, n long").groupBy("lang", "key").sum("n")
-    arrays = pr.hash_arrays(pr.kneser_ney(counts.toDF("lang", "key", "n")), 30)
-    some = np.array([*keys[:300], *[k ^ 5 for k in keys[:300]], 1 << 40])
-    got = pr.log_probabilities(some, "x", arrays, 30)
-    assert got == pytest.approx([math.log(p(k)) for k in some.tolist()], rel=1e-4)
+    model = pr.kneser_ney(counts.toDF("lang", "key", "n")).collect()
+    assert {(r["key"], r["n"]) for r in model} == set(Counter(keys).items())
+    for r in model:
+        assert r["log"] == pytest.approx(math.log(p(r["key"])), rel=1e-12)
     # every context's shares sum to one
     ctx = keys[50] >> 12
     alphabet = {k & 4095 for k in keys}
     assert sum(p((ctx << 12) | c) for c in alphabet) == pytest.approx(1, abs=1 / len(alphabet))
 
 
-def test_arrays_are_bounded(spark):
-    df = spark.range(5000).selectExpr("'g4' AS table", "'x' AS lang", "id AS key", "0.5D AS share")
-    slots, _ = pr.hash_arrays(df, 8)["g4"]
-    assert len(slots) == 256 and (np.diff(slots.astype(int)) > 0).all()
+def test_arrays_hold_the_most_frequent(spark):
+    df = spark.range(5000).selectExpr("concat('l', id % 3) AS lang", "id AS key", "id + 1 AS n", "-0.5D - id AS log")
+    for most, least in ((10_000, 1), (5000, 1), (4999, 2), (1000, 4096), (10, None)):
+        arrays, complete = pr.frequent_arrays(df, most)
+        held = sorted(k for keys, _ in arrays.values() for k in keys.tolist())
+        assert held == ([] if least is None else list(range(least - 1, 5000))) and complete == (most >= 5000)
+        for lang, (keys, logs) in arrays.items():
+            assert (np.diff(keys) > 0).all() and (logs == -0.5 - keys).all()
+    got = pr.look(arrays | {"x": (np.array([3, 9]), np.array([0.1, 0.2]))}, "x", np.array([2, 3, 9, 10]))
+    assert got[[1, 2]].tolist() == [0.1, 0.2] and np.isnan(got[[0, 3]]).all()
+    assert np.isnan(pr.look({}, "x", np.array([1]))).all()
+
+
+def quartile_band(values):
+    """Of Spark's percentile_approx at full accuracy: the value at rank ceil(share * n)."""
+    x = sorted(values)
+    return [x[max(0, math.ceil(q * len(x)) - 1)] for q in (0.25, 0.75)]
+
+
+@pytest.mark.parametrize("frequent", [pr.FREQUENT, 3000, 0])
+def test_whole_result_against_brute_force(spark, frequent):
+    """log_perplexity and kept of every document, however few 4-grams are broadcast."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(
+        "/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(-1, None, "en"), (-2, "", None), (-3, "tout seul " * 15, None), (-4, docs[0][1], docs[0][2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
+    got = {r["doc_id"]: r for r in pr.judge(df, frequent=frequent).collect()}
+    by_lang = defaultdict(list)
+    for i, text, lang in docs:
+        by_lang[lang].append((i, (text or "").encode()))
+    for lang, rows in by_lang.items():
+        full = [t for _, t in rows if len(pr.codes(t))]
+        p, _ = brute_model(full) if full else (None, None)
+        cache, value = {}, {}
+        for i, t in rows:
+            if len(pr.codes(t)):
+                keys = pr.grams([pr.codes(t)])[0].tolist()
+                for k in keys:
+                    if k not in cache:
+                        cache[k] = math.log(p(k))
+                value[i] = -sum(cache[k] for k in keys) / len(keys)
+        rules = {i: brute_rules(t.decode()) for i, t in rows}
+        failed = {i: w < 20 or 100 * r > 30 * w for i, (w, _, _, _, r) in rules.items()}
+        distinct = {t: value[i] for i, t in rows if not failed[i]}
+        low, high = quartile_band(distinct.values()) if distinct else (0, 0)
+        for i, _ in rows:
+            if i not in value:
+                assert got[i]["log_perplexity"] is None and not got[i]["kept"]
+                continue
+            assert got[i]["log_perplexity"] == pytest.approx(value[i], rel=1e-9)
+            room = max(high - low, pr.FLOOR) * 5 * math.sqrt(1 + 50 / max(rules[i][0], 1))
+            inside = low - room <= value[i] <= high + room
+            assert got[i]["kept"] == (inside and not failed[i]), i
 
 
 def test_band_rejects_both_sides(spark):
