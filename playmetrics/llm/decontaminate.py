@@ -4,7 +4,10 @@ Benchmark items become windows of ``width`` normalised words (an item of fewer
 words is one window). Their hashes go to every task as a set, behind a check
 of its size; each document tests all its windows against it, carries the
 words of the windows that pass, and those are verified against the
-benchmark's own words. A set beyond the bound is joined by a shuffle instead.
+benchmark's own words. Of a benchmark beyond the bound the tasks get a Bloom
+filter of its hashes, of fixed size: windows that fail it stop there, those
+that pass are joined by hash and then verified in the same way. The result is
+the same on both sides of the bound.
 
 Normalised: A-Z lower-cased, words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 Null or empty texts have no words and no hits; null item ids can hit but are
@@ -19,6 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playmetrics.llm.common import text_of, write_table
+from playmetrics.operators.membership import WORDS, bloom_words, with_membership
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same on a text that has not been lower-cased.
@@ -43,12 +47,11 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str,
                        F.xxhash64("g").alias("hash")).distinct()
 
 
-def _candidates(sets: dict[int, list[int] | None]) -> Column:
-    """Array of (pos, len, gram) of column ``w``; a length without a set takes every window."""
+def _candidates(sets: dict[int, list[int]]) -> Column:
+    """Array of (pos, len, gram) of column ``w``, of the windows whose hash is in a set."""
     found = []
     for n, hashes in sorted(sets.items()):
-        test = "true" if hashes is None else (
-            f"xxhash64(slice(w, i, {n})) IN ({', '.join(f'{h}L' for h in hashes)})")
+        test = f"xxhash64(slice(w, i, {n})) IN ({', '.join(f'{h}L' for h in hashes)})"
         found.append(F.expr(
             f"CASE WHEN size(w) >= {n} THEN transform(filter(sequence(1, size(w) - {n - 1}), "
             f"i -> {test}), i -> struct(i - 1 AS pos, {n} AS len, "
@@ -57,28 +60,44 @@ def _candidates(sets: dict[int, list[int] | None]) -> Column:
     return F.concat(*found)
 
 
+def _passed(rows: DataFrame, grams: DataFrame, bloom: int) -> DataFrame:
+    """(row, pos, len, gram) of the windows of ``rows`` (row, w) that have a benchmark hash."""
+    lengths = [r["len"] for r in grams.select("len").distinct().collect()]  # ``width`` at most
+    windows = F.concat(*[F.expr(
+        f"CASE WHEN size(w) >= {n} THEN transform(sequence(1, size(w) - {n - 1}), i -> struct("
+        f"i - 1 AS pos, {n} AS len, xxhash64(slice(w, i, {n})) AS hash)) "
+        "ELSE CAST(array() AS array<struct<pos:int,len:int,hash:bigint>>) END") for n in lengths])
+    keys = grams.select("hash").distinct()
+    tested = with_membership(rows.select("row", F.inline(windows)),
+                             bloom_words(keys, "hash", bloom), "hash", "may", bloom)
+    # few are left: their hashes are looked up, then their words are fetched
+    met = tested.where("may").select("row", "pos", "len", "hash").join(keys, "hash", "left_semi")
+    at = met.groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("at"))
+    return rows.join(at, "row").select("row", F.inline(F.transform("at", lambda x: F.struct(
+        x["pos"].alias("pos"), x["len"].alias("len"),
+        F.array_join(F.slice("w", x["pos"] + 1, x["len"]), " ").alias("gram")))))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id",
                        benchmark_text_col: str = "text", width: int = 13,
-                       max_set: int = 200_000) -> DataFrame:
+                       max_set: int = 200_000, bloom: int = WORDS) -> DataFrame:
     """One row per document: id, ``row`` (its number), ``n_words``, ``hit`` (positions), ``items``.
 
-    ``max_set``: the most windows that are sent to the tasks as a set.
+    ``max_set``: the most windows, counted with their items, that are sent to the tasks as a
+    set; ``bloom``: 64-bit words of the filter beyond that (some 1.5 windows a word to be of use).
     """
     grams = write_table(benchmark_windows(benchmark, item_col, benchmark_text_col, width),
                         "benchmark-windows")
-    keys = grams.select("len", "hash").distinct()
-    small = keys.limit(max_set + 1).count() <= max_set
-    if small:
-        listed = {r["len"]: r["h"] for r in keys.groupBy("len").agg(
-            F.collect_list("hash").alias("h")).collect()}
-    else:
-        listed = {r["len"]: None for r in keys.select("len").distinct().collect()}
+    small = grams.limit(max_set + 1).count() <= max_set
     rows = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("w"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "w",
                        F.size("w").cast("long").alias("n_words"))
     nothing = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
     if small:
+        keys = grams.select("len", "hash").distinct()
+        listed = {r["len"]: r["h"] for r in keys.groupBy("len").agg(
+            F.collect_list("hash").alias("h")).collect()}
         scanned = write_table(rows.select(
             "row", "id", "n_words", (_candidates(listed) if listed else nothing).alias("found")),
             "benchmark-scan")
@@ -86,8 +105,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         hits = met.join(F.broadcast(grams.select("item", "len", "gram")), ["len", "gram"])
     else:
         scanned = write_table(rows, "benchmark-scan")
-        met = scanned.select("row", F.inline(_candidates(listed)))
-        hits = met.join(grams.select("item", "len", "gram"), ["len", "gram"])
+        hits = _passed(scanned, grams, bloom).join(grams.select("item", "len", "gram"), ["len", "gram"])
     per_row = hits.groupBy("row").agg(
         F.collect_set(F.struct("pos", "len")).alias("at"), F.collect_set("item").alias("items"))
     per_row = per_row.select("row", "items", F.array_distinct(F.flatten(F.transform(

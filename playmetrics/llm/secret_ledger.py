@@ -135,9 +135,12 @@ def update_ledger(versions: DataFrame, path_col: str, text_col: str, rules=RULES
 
 
 def read_ledger(spark, ledger: str) -> DataFrame:
-    """One row per blob: all scans of it (a blob gets a new row for each run that added to it)."""
+    """One row per blob: all scans of it, each rule version once.
+
+    A blob gets a new row for each run that added to it; two runs at a time may both have
+    scanned it, with the same spans. Equal scans are one before a blob's rows meet."""
     rows = spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-    return rows.groupBy("blob").agg(F.flatten(F.collect_list("scans")).alias("scans"))
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("scans"))).alias("scans"))
 
 
 def findings(versions: DataFrame, path_col: str, text_col: str, ledger: str,

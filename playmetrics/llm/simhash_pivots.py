@@ -31,6 +31,7 @@ from playmetrics.llm.common import text_of, write_table
 #: Fixed seed of the pivots.
 SEED = 42
 PER_GROUP = 8
+SMALL = 16
 MAX_BUCKET = 20_000
 
 
@@ -129,15 +130,14 @@ def _rest(path: str, limit: int) -> list[int]:
 
 def _dealt_again(hot: DataFrame, paths: list[str], limit: int) -> DataFrame:
     """Rows of too large buckets, by the blocks of the bits they may still differ in."""
-    parts = []
-    for path in paths:
-        for g, block in enumerate(blocks_of(_rest(path, limit), limit + 1)):
-            # the bits of a block: distances to the references that have one of them each
-            parts.append(F.when(F.col("path") == path, F.struct(
-                F.lit(f"{path}.{g}").alias("path"), F.xxhash64(
-                    "key", F.col("fp").bitwiseAND(F.lit(signed(mask_of(block))))).alias("key"))))
-    keys = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return hot.select("fp", F.explode(keys).alias("b")).select("fp", "b.path", "b.key")
+    # the bits of a block: distances to the references that have one of them each
+    masks = hot.sparkSession.createDataFrame(
+        [(path, f"{path}.{g}", signed(mask_of(block))) for path in paths
+         for g, block in enumerate(blocks_of(_rest(path, limit), limit + 1))],
+        "path string, next string, mask long")
+    # limit + 1 rows a path, and paths are as many as the dealing is deep
+    return hot.join(F.broadcast(masks), "path").select("fp", F.col("next").alias("path"), F.xxhash64(
+        "key", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
 
 
 def bucket_links(fps: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -225,7 +225,11 @@ def _links_batch(links):
 
 
 def links(fps: DataFrame, limit: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Distinct fingerprints (column ``fp``) to links (a, b) that span each component."""
+    """Distinct fingerprints (column ``fp``) to links (a, b) that span each component.
+
+    Buckets of more than ``max_bucket`` are dealt again (never those of ``SMALL`` or fewer, whose
+    pairs are sooner compared than dealt)."""
+    max_bucket = max(max_bucket, SMALL)
     rows = fps.select("fp", F.explode(_bucket_keys(F.col("fp"), limit)).alias("b")).select(
         "fp", "b.path", "b.key")
     done = None
@@ -233,7 +237,9 @@ def links(fps: DataFrame, limit: int = 2, max_bucket: int = MAX_BUCKET) -> DataF
         hot = write_table(rows.groupBy("path", "key").count().where(
             F.col("count") > max_bucket).select("path", "key"), "simhash-hot")
         paths = [r["path"] for r in hot.select("path").distinct().collect()]
+        # a path with ``limit`` bits left or fewer cannot be dealt again: its buckets stay as they are
         paths = [p for p in paths if len(_rest(p, limit)) > limit]
+        hot = hot.where(F.col("path").isin(paths))
         cool = rows.join(hot, ["path", "key"], "left_anti") if paths else rows
         done = cool if done is None else done.unionByName(cool)
         if not paths:

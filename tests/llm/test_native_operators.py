@@ -56,8 +56,8 @@ def test_benchmark_hits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS hit")
     want = {1: (20, ["1"], True), 2: (2, ["2"], True), 3: (0, [], False), 4: (0, [], False),
             None: (2, [], False), 5: (0, [], False)}
-    for max_set in (200_000, 1):  # the set, and the shuffle join beyond its bound
-        found = dc.verdict(dc.find_contamination(docs, bench, max_set=max_set)).collect()
+    for max_set, bloom in ((200_000, 1), (1, 1), (1, 1 << 10)):  # the set, and the filter beyond its bound
+        found = dc.verdict(dc.find_contamination(docs, bench, max_set=max_set, bloom=bloom)).collect()
         assert len(found) == 7
         assert {r["doc_id"]: (r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in found} == want
     left = dc.decontaminate(docs, bench)
@@ -67,3 +67,33 @@ def test_benchmark_hits(spark):
     assert cut[2] == "a -." and cut[3] is None and cut[4] == "one short"
     assert dc.decontaminate(docs.where("false"), bench).count() == 0
     assert dc.decontaminate(docs, bench.where("false")).count() == 7
+
+
+def test_both_sides_of_the_bound_agree(spark):
+    d = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    copies = bench.unionByName(bench.selectExpr("item_id + 1000 AS item_id", "text"))  # other ids
+    for b in (bench, copies):
+        one, two = (sorted((r["doc_id"], r["n_words"], sorted(r["hit"]), sorted(r["items"])) for r in
+                    dc.find_contamination(docs, b, max_set=m).collect()) for m in (200_000, 1))
+        assert one == two and any(hit for _, _, hit, _ in one)
+
+
+def test_runs_at_a_time_count_a_scan_once(spark, docs):
+    ledger = sl.update_ledger(docs, "doc_id", "text")
+    want = sorted(str(r["spans"]) for r in sl.findings(docs, "doc_id", "text", ledger).collect())
+    spark.read.schema(sl.LEDGER_SCHEMA).parquet(ledger).write.mode("append").parquet(f"{ledger}-again")
+    spark.read.schema(sl.LEDGER_SCHEMA).parquet(f"{ledger}-again").write.mode("append").parquet(ledger)
+    again = sorted(str(r["spans"]) for r in sl.findings(docs, "doc_id", "text", ledger).collect())
+    assert again == want
+
+
+def test_very_long_text(spark):
+    text = "word " * 200_000 + "password=abcdefgh1 " + " ".join(f"b{i}" for i in range(13)) + " x" * 50_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(f"b{i}" for i in range(13)))], "item_id long, text string")
+    for max_set in (200_000, 0):
+        (r,) = dc.find_contamination(docs, bench, max_set=max_set).collect()
+        assert sorted(r["hit"]) == list(range(200_002, 200_015)) and r["items"] == ["7"]
+    (r,) = sl.findings(docs, "doc_id", "text", sl.update_ledger(docs, "doc_id", "text")).collect()
+    assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == [("assign", 1_000_000, 1_000_018)]

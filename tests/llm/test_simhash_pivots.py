@@ -43,9 +43,10 @@ def test_query_against_brute_force(spark):
         assert got[doc]["component_id"] == docs[c][0]
 
 
-@pytest.mark.parametrize("max_bucket", [3, 20_000])
-def test_links_of_dense_fingerprints(spark, max_bucket):
+@pytest.mark.parametrize("small, max_bucket", [(1, 4), (16, 1), (16, 2), (16, 20_000)])
+def test_links_of_dense_fingerprints(spark, monkeypatch, small, max_bucket):
     """A ball of near fingerprints and random ones; small buckets force dealing again."""
+    monkeypatch.setattr(sp, "SMALL", small)
     rng = np.random.default_rng(1)
     fps = {int(x) for x in rng.integers(0, 1 << 63, 40)}
     centre = 0x0123456789abcdef
@@ -85,3 +86,14 @@ def test_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "None", "None"]
     assert sp.components(df.where("false")).count() == 0
     assert sp.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_finished_buckets_keep_their_links(spark, monkeypatch):
+    """Buckets that are too large but have no bits left to deal by stay where they are."""
+    monkeypatch.setattr(sp, "SMALL", 1)
+    far = 1 << 62 | 1 << 50 | 1 << 40
+    fps = [0b0, 0b1, 0b10, 0b11, far, far | 1 << 30]
+    df = spark.createDataFrame([(sp.signed(x),) for x in fps], "fp long")
+    edges = sp.links(df, 1, 1)
+    label = {r["node"]: r["label"] for r in sp.connected(edges).collect()}
+    assert len({label[sp.signed(x)] for x in fps[:4]}) == 1 and label[0] != label[far] == label[far | 1 << 30]
