@@ -13,6 +13,13 @@ most once from each chunk of rows. Sorting goes by a 64-bit hash, and equality
 is always checked word by word. Strings are packed per bucket: the words once,
 then their numbers, compressed.
 
+A bucket is held by one task, so neither all of them nor one minimiser may fill it: their
+number follows the number of windows, and a minimiser with more windows than ``HOT`` (a passage
+that a third of the documents share, each with other words around it) sends its windows one by
+one to as many buckets as it takes, by (minimiser, window hash). Equal windows still meet. Both
+numbers are estimated on one document in ``SAMPLE``, chosen by a hash; they decide where
+windows go and never what is found.
+
 Words: ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no words.
 A null id is smaller than any other; rows with equal ids never remove words
 from each other. Texts shorter than ``width`` words keep all their words.
@@ -33,6 +40,10 @@ from playmetrics.llm.common import (
 
 #: Words that a task gathers before it packs them.
 CHUNK_WORDS = 2_000_000
+#: Windows of one minimiser, and of one bucket, that are about as many as a task should hold.
+HOT, BUCKET_WINDOWS = 200_000, 1_000_000
+#: One document in so many is looked at before, to size the buckets.
+SAMPLE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
 
@@ -141,8 +152,36 @@ def unpacked(blob: bytes):
                                          counts.astype(np.int64)]
 
 
-def _chunk(docs, width: int, gram: int, buckets: int):
-    """docs: [(id, text hash, word numbers)], and the words; yields (bucket, kind, payload)."""
+class Minimisers:
+    """Windows by minimiser, as estimated: the hot ones and how many buckets each takes."""
+
+    def __init__(self, hot: dict[int, int], buckets: int):
+        self.buckets = buckets
+        self.keys = np.array(sorted(hot), np.int64).view(np.uint64)
+        order = np.argsort(self.keys)
+        self.salts = np.array([hot[k] for k in sorted(hot)], np.uint64)[order]
+        self.keys = self.keys[order]
+
+    def bucket(self, least: np.ndarray) -> np.ndarray:
+        return (mixed(least) % np.uint64(self.buckets)).astype(np.int64)
+
+    def hot(self, least: np.ndarray) -> np.ndarray:
+        """The place of each minimiser among the hot ones, -1 where it is not."""
+        if not len(self.keys):
+            return np.full(len(least), -1)
+        at = np.minimum(np.searchsorted(self.keys, least), len(self.keys) - 1)
+        return np.where(self.keys[at] == least, at, -1)
+
+    def dealt(self, least: np.ndarray, which: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The bucket of each window of a hot minimiser."""
+        salt = mixed(hashes) % self.salts[which]
+        return self.bucket(least + _MIX * (salt + np.uint64(1)))
+
+
+def _chunk(docs, width: int, gram: int, to: Minimisers | None):
+    """docs: [(id, text hash, word numbers)], and the words; yields (bucket, kind, payload).
+
+    Without ``to``: (minimiser, windows to be sent)."""
     import xxhash
 
     docs, words = docs
@@ -161,7 +200,13 @@ def _chunk(docs, width: int, gram: int, buckets: int):
     doc_ids = np.array([d[0] for d in docs], dtype=np.int64)
     hashes = np.array([d[1] for d in docs], dtype=np.int64)
     gone = np.zeros(n, bool)
-    gone[at] = repeated(ids, at, doc_ids[doc[at]], window_hashes(h, width)[at], width)
+    whole = window_hashes(h, width)
+    gone[at] = repeated(ids, at, doc_ids[doc[at]], whole[at], width)
+    if to is None:
+        yield from zip(*(x.tolist() for x in np.unique(
+            least[inside & ~gone].view(np.int64), return_counts=True)))
+        return
+    buckets = to.buckets
 
     next_to = np.concatenate(([False], doc[1:n] == doc[:n - 1]))
     starts, count = runs_of(gone, next_to)
@@ -171,10 +216,15 @@ def _chunk(docs, width: int, gram: int, buckets: int):
         yield int(mixed(np.array([starts[0]]))[0] % np.uint64(buckets)), 1, b"".join(
             c.astype(np.int64).tobytes() for c in (doc_ids[d], hashes[d], a, a + count + width - 1))
     same = next_to & np.concatenate(([False], least[1:] == least[:-1]))
-    starts, count = runs_of(inside & ~gone, same)
+    which = to.hot(least)
+    starts, count = runs_of(inside & ~gone & (which < 0), same)
+    bucket = to.bucket(least[starts])
+    alone = np.flatnonzero(inside & ~gone & (which >= 0))
+    if len(alone):
+        starts, count = np.concatenate((starts, alone)), np.concatenate((count, np.ones(len(alone), count.dtype)))
+        bucket = np.concatenate((bucket, to.dealt(least[alone], which[alone], whole[alone])))
     if not len(starts):
         return
-    bucket = (mixed(least[starts]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     starts, count, bucket = starts[order], count[order], bucket[order]
     d = doc[starts]
@@ -185,14 +235,18 @@ def _chunk(docs, width: int, gram: int, buckets: int):
                                         starts[a:z] - begin[d[a:z]], count[a:z])
 
 
-def _super_kmers(width: int, gram: int, buckets: int, chunk_words: int):
+def _super_kmers(width: int, gram: int, to: Minimisers | None, chunk_words: int):
     def run(batches):
         docs, number, held, seen = [], Numbers(), 0, set()
 
         def flush():
-            rows = list(_chunk((docs, list(number)), width, gram, buckets))
+            rows = list(_chunk((docs, list(number)), width, gram, to))
             docs.clear(), number.clear(), seen.clear()
-            if rows:
+            if rows and to is None:
+                least, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least, pa.int64()), pa.array(n, pa.int64())], ["least", "n"])
+            elif rows:
                 b, k, p = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b, pa.int32()), pa.array(k, pa.int8()), pa.array(p, pa.binary())],
@@ -258,17 +312,31 @@ def _sort_bucket(width: int):
     return run
 
 
+def _sized(rows: DataFrame, width: int, gram: int, buckets: int | None,
+           chunk_words: int) -> Minimisers:
+    """Buckets for ``rows`` (id, h, text), from a sample of them."""
+    some = rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(SAMPLE)) == 0)
+    windows = write_table(some.mapInArrow(
+        _super_kmers(width, gram, None, chunk_words), "least long, n long").groupBy("least").agg(
+            F.sum("n").alias("n")), "super-k-mer-sample")
+    total = (windows.agg(F.sum("n")).first()[0] or 0) * SAMPLE
+    # HOT windows each, so there are no more of them than the text allows
+    hot = {r["least"]: -(-r["n"] * SAMPLE // HOT) for r in windows.where(
+        F.col("n") * SAMPLE > HOT).collect()}
+    least = 4 * shuffle_partitions(rows.sparkSession)
+    return Minimisers(hot, buckets or max(least, -(-total // BUCKET_WINDOWS)))
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 13, gram: int = 4,
                    buckets: int | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(id, h, start, end): words start to end - 1 of the document go; spans may overlap.
 
     ``h``: XXH64 of the text, so that rows with equal ids stay apart; a null id is ``NULL_ID``.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col))
                        .alias("h"), text_of(text_col).cast("binary").alias("text"))
-    sent = rows.mapInArrow(_super_kmers(width, gram, buckets, chunk_words),
+    to = _sized(rows, width, gram, buckets, chunk_words)
+    sent = rows.mapInArrow(_super_kmers(width, gram, to, chunk_words),
                            "bucket int, kind byte, payload binary")
     return sent.groupBy("bucket").applyInArrow(_sort_bucket(width), _REMOVED)
 
