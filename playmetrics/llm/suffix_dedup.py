@@ -12,9 +12,15 @@ between two neighbouring occurrences of a symbol, plus one, is the new common
 prefix. Neighbours with a common prefix of ``width`` or more are the same string.
 
 The transform, the prefixes and the positions are read and rewritten from front
-to back each round. A collection is bounded (segments of under 2 * ``width`` bytes,
-``COLLECTION`` bytes at a time or one minimiser's segments), so these streams stay in the
-task's memory instead of files on a machine's own disk.
+to back each round. A collection is ``COLLECTION`` bytes or one minimiser's segments in one
+bucket, so these streams stay in the task's memory instead of files on a machine's own disk.
+The number of buckets follows the bytes sent. A minimiser with more than ``HOT`` bytes of
+segments (a line that many documents share, each with other text around it) is dealt over
+several: its segments are cut by where in a string the minimiser lies, and go by (minimiser,
+that place's range, hash of the bytes that every string of the range has around it). Equal
+strings have it in the same place with the same bytes around, so they still meet. Both numbers
+are estimated on one document in ``SAMPLE``, chosen by a hash; they decide where segments go and
+never what is found.
 
 Before it sends anything, a task drops segments equal to an earlier one of its
 own rows, so copies travel once from each chunk. Hashes only propose; segments
@@ -33,10 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from playmetrics.llm.common import (
-    NULL_ID, ids_of, shuffle_partitions, text_of, write_table,
-)
-from playmetrics.llm.superkmer_dedup import mixed, ragged, sliding_min
+from playmetrics.llm.common import NULL_ID, ids_of, text_of, write_table
+from playmetrics.llm.minimisers import Minimisers, mixed, sized
+from playmetrics.llm.superkmer_dedup import ragged, sliding_min
 
 #: Bytes of text that a task works on together.
 CHUNK = 2_500_000
@@ -44,6 +49,12 @@ CHUNK = 2_500_000
 PACK = 48_000_000
 #: Bytes of segments whose transform is built together.
 COLLECTION = 250_000
+#: Bytes of one minimiser's segments, and of a bucket's, that are about as many as a task should hold.
+HOT, BUCKET_BYTES = 8_000_000, 32_000_000
+#: One document in so many is looked at before, to size the buckets.
+SAMPLE = 32
+#: Ranges of a string's minimiser place by which a hot minimiser's segments are cut.
+RANGES = 8
 DONE = 255  # never a byte of UTF-8
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
@@ -236,9 +247,49 @@ def merge_spans(doc, h, a, b):
     return doc[new], h[new], a[new], np.maximum.reduceat(b, np.flatnonzero(new))
 
 
-def _chunk(pieces, width: int, gram: int):
+def cut_segments(at, lens, least, place, periodic, hashes: Hashes, width: int, gram: int):
+    """(segment, start, len, place, hash) of pieces that have each string of the segments once.
+
+    A piece holds the strings whose first minimiser is the one at ``place`` and lies in one range
+    of places in the string; ``hash`` is of the bytes around it that all of these have."""
+    seg, pos = np.flatnonzero(~periodic), (at + place)[~periodic]
+    more = np.flatnonzero(periodic)
+    if len(more):  # all its places, by the whole hash: a string's own bytes say which is its first
+        n = lens[more] - gram + 1
+        held, places = np.repeat(more, n), ragged(at[more], n)
+        hit = hashes.of(places, gram) == least[held]
+        seg, pos = np.concatenate((seg, held[hit])), np.concatenate((pos, places[hit]))
+    order = np.lexsort((pos, seg))
+    seg, pos = seg[order], pos[order]
+    low, high = at[seg], np.minimum(pos, (at + lens)[seg] - width)
+    again = np.flatnonzero(seg[1:] == seg[:-1]) + 1
+    low[again] = np.maximum(low[again], pos[again - 1] + 1)
+    low = np.maximum(low, pos + gram - width)
+    room = width - gram + 1
+    bounds = [room * j // RANGES for j in range(RANGES + 1)]
+    out = []
+    for j, (a, z) in enumerate(zip(bounds, bounds[1:])):
+        first, last = np.maximum(low, pos - z + 1), np.minimum(high, pos - a)
+        k = np.flatnonzero(first <= last)
+        n = np.full(len(k), a + gram + room - z)
+        core = hashes.of(pos[k] - a, n) + np.uint64(j)
+        out.append((seg[k], first[k], last[k] - first[k] + width, pos[k] - first[k], core))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _equal_earlier(at, lens, hashes, flat, piece, doc, h, offset):
+    """(spans of the ranges, sorted, that equal one of a smaller document or an earlier one of the
+    same text; mask of the others)."""
+    lead = first_equal(flat, at, lens, hashes)
+    t, u = piece[at], piece[at[lead]]
+    gone = (doc[t] > doc[u]) | ((doc[t] == doc[u]) & (h[t] == h[u]) & (lead != np.arange(len(at))))
+    a = at[gone] + offset[t[gone]]
+    return merge_spans(doc[t[gone]], h[t[gone]], a, a + lens[gone]), ~gone
+
+
+def _chunk(pieces, width: int, gram: int, to: Minimisers):
     """pieces: [(id, text hash, offset, bytes)]: spans found, and the segments to send as
-    (doc, h, start, len, minimiser, place, periodic, hash, bytes)."""
+    (bucket, doc, h, start, len, minimiser, place, periodic, hash, bytes)."""
     pieces = sorted(pieces, key=lambda x: x[:3])
     flat = np.frombuffer(b"".join(x[3] for x in pieces), np.uint8)
     size = np.array([len(x[3]) for x in pieces])
@@ -249,15 +300,32 @@ def _chunk(pieces, width: int, gram: int):
     at, count, least, place, periodic = segments(flat, piece, hashes, width, gram)
     lens = count + width - 1
     whole = hashes.of(at, lens)
-    lead = first_equal(flat, at, lens, whole)
-    t, u = piece[at], piece[at[lead]]
-    gone = (doc[t] > doc[u]) | ((doc[t] == doc[u]) & (h[t] == h[u]) & (lead != np.arange(len(at))))
-    a = at[gone] + offset[t[gone]]
-    spans = merge_spans(doc[t[gone]], h[t[gone]], a, a + lens[gone])
-    k = ~gone
-    at, lens, t = at[k], lens[k], t[k]
-    return spans, (doc[t], h[t], at + offset[t], lens, least[k], place[k], periodic[k],
-                   (whole[k] >> np.uint64(32)).astype(np.uint32), flat[ragged(at, lens)])
+    spans, k = _equal_earlier(at, lens, whole, flat, piece, doc, h, offset)
+    t = piece[at]
+    at, lens, t, least, place, periodic, whole = (
+        x[k] for x in (at, lens, t, least, place, periodic, whole))
+    bucket, which = to.bucket(least), to.hot(least)
+    hot = np.flatnonzero(which >= 0)
+    if len(hot):
+        seg, a, n, p, core = cut_segments(at[hot], lens[hot], least[hot], place[hot], periodic[hot],
+                                          hashes, width, gram)
+        # equal pieces of unequal segments, which is most of a text that says one thing over and over
+        order = np.argsort(a, kind="stable")
+        seg, a, n, p, core = (x[order] for x in (seg, a, n, p, core))
+        more, kept = _equal_earlier(a, n, hashes.of(a, n), flat, piece, doc, h, offset)
+        spans = merge_spans(*(np.concatenate(x) for x in zip(spans, more)))
+        seg, a, n, p, core = (x[kept] for x in (seg, a, n, p, core))
+        seg, k = hot[seg], which < 0
+        at, lens, place = (np.concatenate((x[k], y)) for x, y in ((at, a), (lens, n), (place, p)))
+        bucket = np.concatenate((bucket[k], to.dealt(least[seg], which[seg], core)))
+        t, least = (np.concatenate((x[k], x[seg])) for x in (t, least))
+        periodic = np.concatenate((periodic[k], np.zeros(len(seg), bool)))
+        whole = np.concatenate((whole[k], hashes.of(a, n)))
+        order = np.lexsort((at, t))
+        at, lens, place, bucket, t, least, periodic, whole = (
+            x[order] for x in (at, lens, place, bucket, t, least, periodic, whole))
+    return spans, (bucket, doc[t], h[t], at + offset[t], lens, least, place, periodic,
+                   (whole >> np.uint64(32)).astype(np.uint32), flat[ragged(at, lens)])
 
 
 def _packed(spans, sent, buckets: int):
@@ -265,12 +333,11 @@ def _packed(spans, sent, buckets: int):
     spans = merge_spans(*(np.concatenate(x) for x in zip(*spans)))
     if len(spans[0]):
         yield int(spans[1][0] % buckets), 1, b"".join(c.astype(np.int64).tobytes() for c in spans)
-    doc, h, start, lens, least, place, periodic, whole, flat = (
+    bucket, doc, h, start, lens, least, place, periodic, whole, flat = (
         np.concatenate(x) for x in zip(*sent))
     if not len(doc):
         return
     at = np.cumsum(lens) - lens
-    bucket = (least % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((least, bucket))
     edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -308,19 +375,25 @@ def _unpacked(blob: bytes):
             periodic.astype(bool), whole, flat)
 
 
-def _segments_sent(width: int, gram: int, buckets: int, chunk: int):
+def _segments_sent(width: int, gram: int, to: Minimisers, chunk: int, count: bool = False):
+    """Packed segments by bucket; with ``count`` (minimiser, bytes of its segments)."""
     def run(batches):
         pieces, held, seen, spans, sent = [], 0, set(), [], []
 
         def work():
-            found, segments_ = _chunk(pieces, width, gram)
+            found, segments_ = _chunk(pieces, width, gram, to)
             spans.append(found)
             sent.append(segments_)
             pieces.clear()
             seen.clear()
 
         def flush():
-            rows = list(_packed(spans, sent, buckets))
+            if count:
+                least, lens = (np.concatenate([x[k] for x in sent]) for k in (5, 4))
+                kinds, of = np.unique(least.view(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(
+                    np.bincount(of, lens, len(kinds)).astype(np.int64))], ["least", "n"])
+            rows = [] if count else list(_packed(spans, sent, to.buckets))
             spans.clear()
             sent.clear()
             for b, k, p in rows:
@@ -452,16 +525,27 @@ def _bucket(width: int, gram: int):
     return run
 
 
+def _sized(rows: DataFrame, width: int, gram: int, buckets: int | None, chunk: int) -> Minimisers:
+    """Buckets for ``rows`` (id, h, text), from a sample of them."""
+    def counted(some):
+        return some.mapInArrow(_segments_sent(width, gram, Minimisers({}, 1), chunk, True),
+                               "least long, n long")
+
+    room = width - gram + 1  # pieces hold more bytes than the segment they are cut from
+    growth = -(-(RANGES * width + room) // (width + room))
+    return sized(rows, counted, SAMPLE, HOT, BUCKET_BYTES, buckets, growth)
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100, gram: int = 24,
                    buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(id, h, start, end): bytes start to end - 1 of the text go; spans may overlap.
 
     ``h``: XXH64 of the text, so that rows with equal ids stay apart; a null id is ``NULL_ID``.
     """
-    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col))
                        .alias("h"), text_of(text_col).cast("binary").alias("text"))
-    sent = rows.mapInArrow(_segments_sent(width, gram, buckets, chunk),
+    to = _sized(rows, width, gram, buckets, chunk)
+    sent = rows.mapInArrow(_segments_sent(width, gram, to, chunk),
                            "bucket int, kind byte, payload binary")
     return sent.groupBy("bucket").applyInArrow(_bucket(width, gram),
                                                "id long, h long, start long, end long")

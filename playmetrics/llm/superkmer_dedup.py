@@ -35,8 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from playmetrics.llm.common import (
-    NULL_ID, ids_of, shuffle_partitions, text_of, write_table,
+    NULL_ID, ids_of, text_of, write_table,
 )
+from playmetrics.llm.minimisers import Minimisers, _MIX, mixed, sized
 
 #: Words that a task gathers before it packs them.
 CHUNK_WORDS = 2_000_000
@@ -44,7 +45,6 @@ CHUNK_WORDS = 2_000_000
 HOT, BUCKET_WINDOWS = 200_000, 1_000_000
 #: One document in so many is looked at before, to size the buckets.
 SAMPLE = 32
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
 
 
@@ -56,12 +56,6 @@ class Numbers(dict):
         return number
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` values, from running sums; wraps on purpose."""
     n = len(h) - width + 1
@@ -152,32 +146,6 @@ def unpacked(blob: bytes):
                                          counts.astype(np.int64)]
 
 
-class Minimisers:
-    """Windows by minimiser, as estimated: the hot ones and how many buckets each takes."""
-
-    def __init__(self, hot: dict[int, int], buckets: int):
-        self.buckets = buckets
-        self.keys = np.array(sorted(hot), np.int64).view(np.uint64)
-        order = np.argsort(self.keys)
-        self.salts = np.array([hot[k] for k in sorted(hot)], np.uint64)[order]
-        self.keys = self.keys[order]
-
-    def bucket(self, least: np.ndarray) -> np.ndarray:
-        return (mixed(least) % np.uint64(self.buckets)).astype(np.int64)
-
-    def hot(self, least: np.ndarray) -> np.ndarray:
-        """The place of each minimiser among the hot ones, -1 where it is not."""
-        if not len(self.keys):
-            return np.full(len(least), -1)
-        at = np.minimum(np.searchsorted(self.keys, least), len(self.keys) - 1)
-        return np.where(self.keys[at] == least, at, -1)
-
-    def dealt(self, least: np.ndarray, which: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The bucket of each window of a hot minimiser."""
-        salt = mixed(hashes) % self.salts[which]
-        return self.bucket(least + _MIX * (salt + np.uint64(1)))
-
-
 def _chunk(docs, width: int, gram: int, to: Minimisers | None):
     """docs: [(id, text hash, word numbers)], and the words; yields (bucket, kind, payload).
 
@@ -315,16 +283,10 @@ def _sort_bucket(width: int):
 def _sized(rows: DataFrame, width: int, gram: int, buckets: int | None,
            chunk_words: int) -> Minimisers:
     """Buckets for ``rows`` (id, h, text), from a sample of them."""
-    some = rows.where(F.pmod(F.xxhash64("h", "id"), F.lit(SAMPLE)) == 0)
-    windows = write_table(some.mapInArrow(
-        _super_kmers(width, gram, None, chunk_words), "least long, n long").groupBy("least").agg(
-            F.sum("n").alias("n")), "super-k-mer-sample")
-    total = (windows.agg(F.sum("n")).first()[0] or 0) * SAMPLE
-    # HOT windows each, so there are no more of them than the text allows
-    hot = {r["least"]: -(-r["n"] * SAMPLE // HOT) for r in windows.where(
-        F.col("n") * SAMPLE > HOT).collect()}
-    least = 4 * shuffle_partitions(rows.sparkSession)
-    return Minimisers(hot, buckets or max(least, -(-total // BUCKET_WINDOWS)))
+    def counted(some):
+        return some.mapInArrow(_super_kmers(width, gram, None, chunk_words), "least long, n long")
+
+    return sized(rows, counted, SAMPLE, HOT, BUCKET_WINDOWS, buckets)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 13, gram: int = 4,

@@ -109,3 +109,68 @@ def test_periodic_texts(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert run(df) == brute(docs, 100)
     assert sum(r[2] for r in run(df)) > 0
+
+
+def hot_documents(rng, n, width):
+    """Three in ten share a passage shorter than ``width``, each with other text around it; some
+    are equal in part, some say one thing over and over."""
+    own = lambda k: "".join(rng.choices("abcdefghijklmnop ", k=k))
+    passage = own(width * 7 // 10)
+    docs = []
+    for i in range(n):
+        a, z = own(width), own(width)
+        docs.append((i, a + (passage if i % 10 < 3 else own(9)) + z))
+    docs += [(n + i, docs[3 * i][1][5:-7]) for i in range(25)]
+    docs += [(2 * n + i, own(3) + ("xy" * width if i % 2 else "z" * 2 * width) + own(i)) for i in range(30)]
+    return docs
+
+
+@pytest.mark.parametrize("sample", [1, 5])
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_hot_minimiser_is_split(spark, monkeypatch, sample, ranges):
+    for name, value in (("HOT", 2000), ("SAMPLE", sample), ("BUCKET_BYTES", 500), ("RANGES", ranges)):
+        monkeypatch.setattr(sd, name, value)
+    docs = hot_documents(random.Random(8), 300, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert run(df, width=40, gram=8, chunk=2500) == brute(docs, 40)
+    rows = df.selectExpr("doc_id AS id", "xxhash64(text) AS h", "cast(text AS binary) AS text")
+
+    def held(to):
+        """Bytes of the largest (bucket, minimiser)."""
+        sent = rows.mapInArrow(sd._segments_sent(40, 8, to, 2500), "bucket int, kind byte, payload binary")
+        size = {}
+        for r in sent.where("kind = 0").collect():
+            _, _, _, lens, tag, *_ = sd._unpacked(r["payload"])
+            for t, n in zip(tag.tolist(), lens.tolist()):
+                size[r["bucket"], t] = size.get((r["bucket"], t), 0) + n
+        return max(size.values())
+
+    to = sd._sized(rows, 40, 8, None, 2500)
+    assert len(to.keys) and to.buckets > 32
+    # of one range, strings have the minimiser alone in common: that deals nothing apart
+    assert ranges == 1 or held(to) < 0.6 * held(sd.Minimisers({}, to.buckets))
+
+
+def test_cut_segments_have_each_string_once():
+    rng = random.Random(3)
+    for letters in ("a", "ab", "abcdef"):
+        flat = np.frombuffer("".join(rng.choices(letters, k=400)).encode(), np.uint8)
+        hashes = sd.Hashes(flat)
+        at, count, least, place, periodic = sd.segments(flat, np.zeros(400, np.int32), hashes, 20, 5)
+        seg, a, n, p, core = sd.cut_segments(at, count + 19, least, place, periodic, hashes, 20, 5)
+        starts = sorted(x for s, k in zip(a.tolist(), n.tolist()) for x in range(s, s + k - 19))
+        assert starts == list(range(381))
+        key = {}  # equal strings have equal keys
+        for s, x, k, c in zip(seg, a, n, core):
+            for start in range(x, x + k - 19):
+                own = key.setdefault(flat[start:start + 20].tobytes(), (int(least[s]), int(c)))
+                assert own == (int(least[s]), int(c))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefgh ", k=400_000))
+    docs = [(1, long), (2, long[1000:1300]), (3, "short"), (4, "w" * 150_000)]
+    got = {r[0]: r for r in run(spark.createDataFrame(docs, "doc_id long, text string"), chunk=100_000)}
+    assert got[1][1:4] == (400_000, 0, 0) and got[2][1:4] == (300, 300, 1) and got[3][2] == 0
+    assert got[4][2] == 149_999  # all but the first byte
