@@ -13,6 +13,11 @@ scored once; each chunk gets the counts and scores of its own words back. So
 what is shuffled follows distinct words per chunk, not running words, and no
 vocabulary is ever gathered in one place.
 
+The number of buckets follows the bytes of text, so that what one holds (its words, and the
+number of each in every chunk that has it) stays bounded. Words of more than ``LONG`` characters
+(encoded files, texts without spaces) go through the same recursion position by position, in
+blocks, over the pieces that fit there: time and memory in proportion to their length.
+
 Lower-cased A-Z; words ``[^\\x20\\x09-\\x0D]+``, then one end, a token too.
 Training rows are those whose fold is not held out; a null id counts as empty
 text there. Null texts are empty: only the end. Repeated rows count each.
@@ -20,7 +25,9 @@ text there. Null texts are empty: only the end. Repeated rows count each.
 
 from __future__ import annotations
 
+import math
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,10 @@ CHUNK_WORDS = 2_000_000
 #: Share of probability that the 256 byte pieces have together; it is not re-estimated.
 BYTE_SHARE = 1e-3
 MARK = "▁"
+#: Words longer than this are done one at a time; matches are found for so many positions at once.
+LONG, BLOCK = 2048, 65_536
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 64 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,6 +177,63 @@ def lattice(points: np.ndarray, pieces: Pieces, weights: np.ndarray, counts=None
     return alpha[n], expected
 
 
+def _matches(points: np.ndarray, a: int, z: int, pieces: Pieces):
+    """(starts, ends, ids) of the pieces that start at a to z - 1, by start."""
+    found = pieces.edges(points[None, a:z + pieces.longest - 1])
+    at, n, ids = [], [], []
+    for k, x in enumerate(found):
+        hit = np.flatnonzero(x[0, :z - a] >= 0)
+        at.append(hit + a)
+        n.append(np.full(len(hit), k + 1))
+        ids.append(x[0, hit])
+    at, n, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, n, ids))
+    order = np.argsort(at, kind="stable")
+    return at[order], (at + n)[order], ids[order]
+
+
+def _log_sum(options: list[float]) -> float:
+    top = max(options)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in options))
+
+
+def long_lattice(points: np.ndarray, pieces: Pieces, weights: np.ndarray, count=None):
+    """`lattice` for one long word: its log probability; with ``count``, also expected counts."""
+    n = len(points)
+    raw = _log_bytes(points)
+    blocks = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+    alpha = array("d", [0.0])
+    coming: dict[int, list[float]] = {}  # what pieces bring to the ends ahead
+    for a, z in blocks:
+        starts, ends, ids = _matches(points, a, z, pieces)
+        logs, ends = weights[ids].tolist(), ends.tolist()
+        edges = np.searchsorted(starts, np.arange(a, z + 1)).tolist()
+        step = raw[a:z].tolist()
+        for t in range(a, z):
+            here = alpha[t]
+            for i in range(edges[t - a], edges[t - a + 1]):
+                coming.setdefault(ends[i], []).append(here + logs[i])
+            options = coming.pop(t + 1, [])
+            options.append(here + step[t - a])
+            alpha.append(options[0] if len(options) == 1 else _log_sum(options))
+    if count is None:
+        return alpha[n]
+    beta = array("d", bytes(8 * (n + 1)))
+    expected, known = np.zeros(pieces.size + 1), np.frombuffer(alpha)
+    for a, z in reversed(blocks):
+        starts, ends, ids = _matches(points, a, z, pieces)
+        logs, far = weights[ids], ends.tolist()
+        each = logs.tolist()
+        edges = np.searchsorted(starts, np.arange(a, z + 1)).tolist()
+        step = raw[a:z].tolist()
+        for t in range(z - 1, a - 1, -1):
+            options = [beta[far[i]] + each[i] for i in range(edges[t - a], edges[t - a + 1])]
+            options.append(beta[t + 1] + step[t - a])
+            beta[t] = options[0] if len(options) == 1 else _log_sum(options)
+        post = np.exp(known[starts] + logs + np.frombuffer(beta)[ends] - known[n]) * count
+        expected += np.bincount(ids, post, pieces.size + 1)
+    return alpha[n], expected
+
+
 def words_lattice(words: list[bytes], pieces: Pieces, weights: np.ndarray, counts=None):
     """The same over words of any lengths, those of one length together."""
     points = [np.frombuffer((MARK + w.decode("utf-8", "replace")).encode("utf-32-le"), np.uint32)
@@ -175,6 +243,15 @@ def words_lattice(words: list[bytes], pieces: Pieces, weights: np.ndarray, count
         by_length.setdefault(len(p), []).append(i)
     out, expected = np.zeros(len(words)), np.zeros(pieces.size + 1)
     for n, all_ in by_length.items():
+        if n > LONG:
+            for i in all_:
+                p = points[i].astype(np.uint64)
+                if counts is None:
+                    out[i] = long_lattice(p, pieces, weights)
+                else:
+                    out[i], more = long_lattice(p, pieces, weights, counts[i])
+                    expected += more
+            continue
         room = max(1, 400_000 // n)  # bounded memory
         for a in range(0, len(all_), room):
             some = all_[a:a + room]
@@ -348,10 +425,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: ``id_col``, held_out, n_tokens, n_known, train_tokens,
     base_score (unigram words), score (log10 of the marginal probability)."""
-    spark = docs.sparkSession
-    buckets = buckets or 2 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        text_of(text_col).cast("binary").alias("text"))
+    if not buckets:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        buckets = max(2 * shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     chunks = write_table(rows.mapInArrow(
         _encode(buckets, folds, held_out, chunk_words),
         "chunk long, bucket int, train_docs long, body binary, counts binary"), "lattice-chunks")

@@ -83,3 +83,42 @@ def test_chunks_and_odd_rows(spark):
     assert one == sorted(map(str, lm.score_documents(df, buckets=1).collect()))
     assert len(one) == 6 and sum("doc_id=None" in x for x in one) == 1
     assert lm.score_documents(df.where("false")).count() == 0
+
+
+def test_long_words_equal_short_ones(pieces, monkeypatch):
+    """The recursion position by position gives what the one over many words gives."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh theñ中𝔘"), 150)).replace(" ", "") for _ in range(6)]
+    words = [*(t.encode() for t in texts), b"the" * 60, b"a"]
+    weights, counts = pieces.weights(pieces.first), np.arange(1.0, 9.0)
+    want, expected = lm.words_lattice(words, pieces, weights, counts)
+    monkeypatch.setattr(lm, "LONG", 20)
+    for block in (7, 1000):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        got, more = lm.words_lattice(words, pieces, weights, counts)
+        assert got == pytest.approx(want, rel=1e-12) and more == pytest.approx(expected, rel=1e-9, abs=1e-12)
+        assert lm.words_lattice(words, pieces, weights)[0] == pytest.approx(want, rel=1e-12)
+
+
+def test_a_word_of_a_million_characters(pieces):
+    import time
+    rng = np.random.default_rng(3)
+    word = bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000).tolist())
+    weights = pieces.weights(pieces.first)
+    began = time.process_time()
+    logs, _ = lm.words_lattice([word], pieces, weights)
+    assert time.process_time() - began < 30
+    half = [lm.words_lattice([w], pieces, weights)[0][0] for w in (word[:1000], word)]
+    assert logs[0] == half[1] and half[1] == pytest.approx(1000 * half[0], rel=0.05)
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    """The same scores from many small buckets."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: r for r in lm.score_documents(d, rounds=1).collect()}
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 4000)
+    got = lm.score_documents(d, rounds=1, chunk_words=5000).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["n_known"] == want[r["doc_id"]]["n_known"]
+        assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-6)
