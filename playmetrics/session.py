@@ -51,7 +51,9 @@ def get_session(master: str = "local[*]", app: str = "playmetrics",
     # Keep the cluster's checkpoint folder; only a bare local session gets one.
     if not spark.sparkContext.getCheckpointDir() and not spark.conf.get(
             "spark.checkpoint.dir", None):
-        if not master.startswith("local"):
+        # of the session there is, which may be another than the one asked for
+        running = spark.sparkContext.master
+        if running != "local" and not running.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="playmetrics-ckpt-"))
     return spark
