@@ -5,6 +5,8 @@ Rules that hold for every operator unless its docstring says otherwise:
 * a null text is an empty text; an id is an integer and may be null; a null id
   counts as smaller than every other id;
 * rows with the same id are separate documents, none smaller than the other;
+* a text of any length is worked on whole, never a prefix of it; where a task
+  takes a long one in parts, or apart from the others, results do not depend on it;
 * input columns other than the id and the text are never read, so they may
   have any name;
 * an empty table gives an empty result with the same columns.
@@ -44,8 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/playmetrics-llm/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete all tables between steps of this application, for its end; results that still read
+    them are gone after it, other applications' stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

@@ -102,3 +102,9 @@ def test_odd_rows(spark, tmp_path):
             assert out.dtypes == table.dtypes
             out.collect()
         assert cp.packing(spark, table, "").count() >= table.count()
+
+def test_scratch_is_dropped_on_request(spark):
+    from playmetrics.llm.common import drop_scratch, own_dir, write_table
+    table = write_table(spark.range(3), "kept")
+    assert table.count() == 3 and spark.sparkContext.applicationId in own_dir(spark)
+    assert drop_scratch(spark) and not drop_scratch(spark)
