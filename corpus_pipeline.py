@@ -2,7 +2,12 @@
 
 Each stage of ``STAGES`` takes (spark, docs, sf_dir), works on all that the stage before kept
 and returns a DataFrame; ``run`` writes each as Parquet in the shared folder and rereads it.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, whatever their names.
+
+Rows: a null or empty text is an empty text (the classifier scores it as such, and what it keeps
+of them are copies of each other for the near duplicates); a null id is smaller than any other
+and never matches a label; repeated rows are documents each, of which the near duplicates keep
+one; a text of any length is worked on whole. An empty table gives no pieces.
 """
 
 from __future__ import annotations
