@@ -173,9 +173,10 @@ def _ingested(spark, d):
 
 
 def _cleaned_by_dictionary(spark, d):
-    """Damaged events cleaned by a dictionary that was begun on half of them."""
-    raw = tv.damaged_listen_events(spark, d)
-    begun = dictionary.repair_dictionary(raw.where("sessionId % 2 = 0"))
+    """Damaged events, written once as a load's are, cleaned by a dictionary that was begun on half
+    of them."""
+    raw = materialize(tv.damaged_listen_events(spark, d), "entry-damaged")
+    begun = materialize(dictionary.repair_dictionary(raw.where("sessionId % 2 = 0")), "entry-begun")
     known = materialize(dictionary.repair_dictionary(raw, begun), "entry-dictionary")
     return dictionary.clean_by_dictionary(raw, known, "UTC")
 

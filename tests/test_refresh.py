@@ -14,6 +14,8 @@ from playmetrics.plans import (
 )
 from playmetrics.sources.schemas import LISTEN_SCHEMA
 
+from conftest import SF_SMALL
+
 SCHEMA = ("userId string, artist string, song string, state string, duration double, "
           "subscription string, year int, month int, month_name string")
 ROWS = [
@@ -152,6 +154,57 @@ def test_each_name_is_repaired_once(spark):
     assert unknown.where(F.col("artist") == NAMES[1]).count() == 50
 
 
+def reads(df):
+    """How often the plan of ``df`` reads the events, and how often it moves rows."""
+    df.collect()
+    plan = df._jdf.queryExecution().analyzed().toString()
+    physical = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Relation [userId"), physical.count("Exchange hashpartitioning")
+
+
+def test_few_names_are_one_pass(spark, tmp_path):
+    path = f"{tmp_path}/raw"
+    raw(spark, [(a, s) for a in NAMES for s in NAMES]).write.parquet(path)
+    df = spark.read.schema(LISTEN_SCHEMA).parquet(path)
+    repair_dictionary(df).write.parquet(f"{tmp_path}/known")
+    known = spark.read.parquet(f"{tmp_path}/known")
+    assert reads(repair_by_dictionary(df, known)) == (1, 0)
+    changed = known.where("name <> repaired").count()
+    assert reads(repair_by_dictionary(df, known, max_hot=changed)) == (1, 0)
+    assert reads(repair_by_dictionary(df, known, max_hot=changed - 1))[0] > 1
+
+
+def test_reads_grow_with_the_columns_only(spark, tmp_path):
+    path = f"{tmp_path}/raw"
+    raw(spark, [(a, s) for a in NAMES for s in NAMES]).write.parquet(path)
+    df = spark.read.schema(LISTEN_SCHEMA).parquet(path)
+    known = repair_dictionary(spark.createDataFrame(df.collect(), LISTEN_SCHEMA))
+    n = [reads(repair_by_dictionary(df, known, cols, max_hot=1))[0] for cols in (
+        ("artist",), ("artist", "song"), ("artist", "song", "city"))]
+    assert n[2] - n[1] == n[1] - n[0]
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_ascii_names_and_repeated_entries(spark, hot):
+    df = raw(spark, [("plain", NAMES[1]), (None, "plain"), (NAMES[1], None), (NAMES[2], NAMES[2])])
+    entries = [("plain", "other"), (NAMES[1], "x"), (NAMES[1], "y"), (NAMES[1], NAMES[1]),
+               (NAMES[2], None), (None, "z")]
+    known = spark.createDataFrame(entries, "name string, repaired string")
+    got = repair_by_dictionary(df, known, max_hot=hot).select("artist", "song").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        ("plain", "x"), ("plain", "y"), (None, "plain"), ("x", None), ("y", None), (NAMES[2], NAMES[2])]))
+
+
+def test_damaged_events_are_joined_once(spark):
+    import __spark_entry__ as e
+
+    df = e.queries()["clean_by_dictionary"](spark, SF_SMALL)
+    assert not [f for f in df.inputFiles() if "lineitem" in f]
+    want = e.queries()["clean_events_damaged"](spark, SF_SMALL)
+    assert df.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+
+
 def test_layers_are_a_parameter(spark):
     text = "Beyoncé"
     df = spark.createDataFrame([(once(once(once(text))),)], "t string")
